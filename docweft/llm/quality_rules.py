@@ -157,13 +157,27 @@ def keep(docs: DataFrame, text: str = "text", chosen: list[Rule] | None = None)
     chain lets through, unless the sample says that they reject more per second.
     """
     own = docs.columns
-    ordered = order_rules(docs, chosen or rules(), text)
-    out, has_deep = shallow(docs, text), False
-    for rule, _, _ in ordered:
+    out, has_deep, passed = shallow(docs, text), False, []
+    for rule, _, _ in order_rules(docs, chosen or rules(), text):
         if rule.deep and not has_deep:
-            out, has_deep = deep(out), True
-        out = out.where(~F.coalesce(rule.reject, F.lit(True)))
-    return out.select(*[F.col(f"`{c}`") for c in own])
+            out, has_deep, passed = deep(_gate(out, passed)), True, []
+        passed.append(rule)
+    return _gate(out, passed).select(*[F.col(f"`{c}`") for c in own])
+
+
+def _gate(frame: DataFrame, chosen: list[Rule]) -> DataFrame:
+    """Rows that no rule of ``chosen`` rejects, tested in order up to the first hit.
+
+    An exploded array of no or one element drops the rest: the optimiser would push a plain filter below the features,
+    copying their expressions into it and evaluating them again inside each other's lambdas.
+    """
+    if not chosen:
+        return frame
+    chain = None
+    for rule in chosen:
+        hit = F.coalesce(rule.reject, F.lit(True))
+        chain = F.when(hit, F.lit(False)) if chain is None else chain.when(hit, F.lit(False))
+    return frame.withColumn("_pass", F.explode(F.when(chain.otherwise(F.lit(True)), F.array(F.lit(1))))).drop("_pass")
 
 
 def verdicts(docs: DataFrame, text: str = "text", chosen: list[Rule] | None = None) -> DataFrame:
