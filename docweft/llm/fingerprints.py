@@ -67,11 +67,8 @@ def syncmers(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np
         lowest = np.minimum(lowest[: len(lowest) - step], lowest[step:])
         have += step
     at = np.flatnonzero((inner[: len(lowest)] == lowest) | (inner[span - 1 :] == lowest))
-    places = at[:, None] + np.arange(k)
-    value = np.zeros(len(at), dtype=np.uint64)
     half = rolling(points, k // 2)
     value = mixed(half[at] * np.uint64(MULTIPLIER) + half[at + k - k // 2])
-    del places
     return value, at
 
 
@@ -166,15 +163,15 @@ def fingerprints(docs: DataFrame, text: str = "text", rows_per_range: int = 2000
         tagged = base.withColumn("_h", F.lit(""))
     firsts = sorted((int(r[0]), int(r[1]), r[2]) for r in firsts)
     before = {p: firsts[i - 1][0] for i, (p, _, _) in enumerate(firsts)}
-    heads = spark.createDataFrame([(k, h, before[p], p == firsts[0][0]) for p, k, h in firsts], "hk bigint, hh string, back int, wraps boolean")
+    heads = spark.createDataFrame([(k, h, before[p]) for p, k, h in firsts], "hk bigint, hh string, back int")
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     joined = tagged.withColumn("_p", place).withColumn("_k", key)
-    heads = F.broadcast(heads)
-    tails = joined.join(heads, (joined["_k"] == heads["hk"]) & (joined["_h"] == heads["hh"])).dropDuplicates(["_k", "_h"])
-    tails = tails.select(F.col("back").alias("part"), F.lit(True).alias("tail"), "doc_id", "text", "_k", "_h")
-    own = joined.select(F.col("_p").alias("part"), F.lit(False).alias("tail"), "doc_id", "text", "_k", "_h")
+    row = lambda p, tail: F.struct(p.alias("part"), F.lit(tail).alias("tail"))
+    met = joined.join(F.broadcast(heads), (joined["_k"] == heads["hk"]) & (joined["_h"] == heads["hh"]), "left")
+    both = F.when(F.col("hk").isNull(), F.array(row(F.col("_p"), False))).otherwise(F.array(row(F.col("_p"), False), row(F.col("back"), True)))
+    placed = met.withColumn("_to", F.explode(both)).select("_to.part", "_to.tail", "doc_id", "text", "_k", "_h")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, 2000))
-    ready = own.unionByName(tails).repartition(parts, "part").sortWithinPartitions("part", "tail", "_k", "_h").select("part", "tail", "doc_id", "text")
+    ready = placed.repartition(parts, "part").sortWithinPartitions("part", "tail", "_k", "_h").select("part", "tail", "doc_id", "text")
     return ready.mapInArrow(_fingerprint, SCHEMA)
 
 
