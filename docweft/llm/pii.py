@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from docweft.session import table
 #: Kinds in order, base patterns, context words of each kind.
 KINDS = ["email", "ip", "card", "phone"]
 HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -75,16 +76,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out, last = [], 0
     if "@" in text:
         for m in HOST.finditer(text):
-            local = LOCAL.search(text, max(last, m.start() - 1_000), m.start())
-            if local:
-                start = local.start()
-                while start > last and start == m.start() - 1_000:  # a run longer than the first look
-                    start = LOCAL.search(text, last, m.start()).start()
-                    break
+            start = m.start()
+            while start > last and text[start - 1] in LOCAL:
+                start -= 1
+            if start < m.start():
                 out.append((start, 0, m.end()))
                 last = m.end()
     for m in IP.finditer(text):
-        if all(len(p) <= 18 and int(p) <= 255 for p in m.group().split(".")):
+        if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         d = _digits(m.group())
@@ -265,14 +264,12 @@ def all_spans(text: str, model: Boosted) -> tuple[list[tuple[int, int, int]], li
         c = free[i]
         if chance[i] >= model.threshold and _free([c], last):
             chosen.append(c)
-            last = sorted([*last, (c[0], c[2])])
+            insort(last, (c[0], c[2]))
     return base, sorted(base + chosen)
 
 
 def _free(found: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that meet none of the sorted spans."""
-    from bisect import bisect_left
-
     out = []
     for c in found:
         i = bisect_left(taken, (c[2], -1))
