@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,3 +37,9 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/docweft/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now: they go when the driver collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
