@@ -87,3 +87,34 @@ def pack_skip(items: Column, budget: int) -> Column:
             s["used"] + x["tokens"] <= budget, F.struct((s["used"] + x["tokens"]).alias("used"), F.array_append(s["ids"], x["id"]).alias("ids"))
         ).otherwise(s),
     )
+
+
+def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 24, bits: int = 5, seed: int = 9) -> DataFrame:
+    """Approximate cosine top ``k``: signs of random projections as bucket keys in several tables, exact scores of candidates.
+
+    Every vector is indexed. Planes are a few fixed arrays in the plan; a query also looks into the buckets one bit away.
+    """
+    import numpy as np
+
+    dims = len(vectors.select("v").first()[0])
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims)).round(4)
+
+    def keys(v: Column) -> Column:
+        parts = []
+        for t in range(tables):
+            code = None
+            for b in range(bits):
+                plane = F.lit(planes[t, b].tolist())
+                bit = F.when(dot(v, plane) > 0, 1 << b).otherwise(0)
+                code = bit if code is None else code + bit
+            parts.append(F.struct(F.lit(t).alias("t"), code.alias("key")))
+        return F.array(*parts)
+
+    indexed = vectors.select("chunk_id", F.explode(keys(F.col("v"))).alias("b")).select("chunk_id", "b.t", "b.key")
+    asked = queries.select("question_id", F.explode(keys(F.col("q"))).alias("b")).select("question_id", "b.t", "b.key")
+    near = F.array(F.col("key"), *[F.col("key").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
+    asked = asked.select("question_id", "t", F.explode(near).alias("key"))
+    pairs = asked.join(indexed, ["t", "key"]).select("question_id", "chunk_id").distinct()
+    units = vectors.select("chunk_id", unit(F.col("v")).alias("v"))
+    scored = pairs.join(units, "chunk_id").join(queries.select("question_id", unit(F.col("q")).alias("q")), "question_id").select("question_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    return top(scored, k)
