@@ -108,7 +108,6 @@ def deep(featured: DataFrame) -> DataFrame:
 def rules() -> list[Rule]:
     """The production rules, in no particular order."""
     c = F.col
-    mean = c("_word_chars") / c("_n_words")
     return [
         Rule("too_short", c("_n_words") < MIN_WORDS),
         Rule("repeats", 100 * c("_n_repeat_words") > MAX_REPEAT_PERCENT * c("_n_words"), deep=True),
@@ -116,7 +115,7 @@ def rules() -> list[Rule]:
         Rule("capitals", 100 * c("_n_capitals") > MAX_CAPITALS_PERCENT * c("_word_chars")),
         Rule("stutter", 100 * c("_n_stutter") > MAX_STUTTER_PERCENT * c("_n_words")),
         Rule("dup_lines", (c("_n_dup_lines") > 2) & (100 * c("_n_dup_lines") > MAX_DUP_LINES_PERCENT * c("_n_lines"))),
-        Rule("word_length", (mean < WORD_LENGTH[0]) | (mean > WORD_LENGTH[1])),
+        Rule("word_length", (c("_word_chars") < WORD_LENGTH[0] * c("_n_words")) | (c("_word_chars") > WORD_LENGTH[1] * c("_n_words"))),
     ]
 
 
