@@ -67,9 +67,9 @@ def support(claim: str, evidence: str) -> float:
 
 def relation_verdict(claim: str, evidence: str) -> str:
     """SUPPORTED, CONTRADICTED or INSUFFICIENT by numbers, negation, direction and universality of one evidence sentence."""
-    own, there = set(tokens(claim)), set(tokens(evidence))
+    own, there = ({t.rstrip(".%/-") for t in tokens(x)} for x in (claim, evidence))
     words, other = set(re.findall(r"[a-z]+", claim.lower())), set(re.findall(r"[a-z]+", evidence.lower()))
-    subject = {stem(t) for t in own if not NUMBER.fullmatch(t.rstrip(".%"))}
+    subject = {stem(t) for t in own if not NUMBER.fullmatch(t)}
     shared = len(subject & {stem(t) for t in there}) / max(1, len(subject))
     if shared < 0.5:
         return "INSUFFICIENT"
