@@ -39,8 +39,9 @@ END_ID = 1
 UNIT = 8
 RANKS = "byte_bpe_50k.tiktoken"
 GAP = 5e-4
-#: Salts that share the ranking of one length class.
-SALTS = 64
+#: Salts that share the ranking of one length class: their number follows the pieces, up to a table that is safe to broadcast.
+SALTS = (64, 4096)
+PIECES_PER_SALT = 500_000
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -209,7 +210,8 @@ def pack(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, unit: in
     spark = docs.sparkSession
     cut = durable(pieces(docs, text, sequence).withColumn("_tag", F.xxhash64("doc_id", "start", "ids_crc32")))
     kind = F.when(F.col("length") == sequence, F.lit(0)).otherwise(F.ceil(F.col("length") / unit)).cast("int")
-    cut = cut.withColumn("_class", kind).withColumn("_salt", F.pmod("_tag", F.lit(SALTS)).cast("int"))
+    salts = min(SALTS[1], max(SALTS[0], cut.count() // PIECES_PER_SALT))
+    cut = cut.withColumn("_class", kind).withColumn("_salt", F.pmod("_tag", F.lit(salts)).cast("int"))
     counts = durable(cut.groupBy("_class", "_salt").agg(F.count(F.lit(1)).alias("_n")))
     before = Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_class", "_salt", "_shift")
