@@ -16,7 +16,7 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per window and type; rows later than ``late`` behind the newest are dropped by the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
 
 
 def upsert_latest(events: DataFrame, path: str, checkpoint: str, keys: int = 16) -> StreamingQuery:
