@@ -5,8 +5,8 @@ anchors at the same place, so strings can be dealt out by anchor and only string
 
 1. Neighbouring strings of a text share their anchor; each such run is one *span* of bytes. One Arrow map turns a document
    into spans (two per ``WIDTH`` bytes or so) with a hash of the anchor and one of the span.
-2. Spans whose anchor occurs once in the corpus end here: nothing in them repeats. Equal spans are one *class*; a class of
-   two or more repeats as a whole.
+2. Equal spans are one *class*; a class of two or more repeats as a whole. A class that is alone with its anchor ends here:
+   nothing in it repeats elsewhere.
 3. Where one anchor has several classes, one representative of each class, with its bytes, goes to the anchor's shard.
    A shard concatenates them and finds, by induced suffix sorting with common-prefix values, every position whose next
    ``WIDTH`` bytes also start elsewhere. Shards are worked off in parts of whole anchors; an anchor too large for memory is
@@ -196,13 +196,11 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), F.col(text).alias("text"))
     spans = durable(keyed.mapInArrow(_spans, "doc_id bigint, tk bigint, lo int, size int, anchor bigint, span bigint"))
-    shared = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("anchor")
-    hits = durable(spans.join(shared, "anchor", "left_semi"))
-    reclaim(spark)
     place = F.struct("doc_id", "tk", "lo", "size")
-    classes = hits.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_at"))
-    classes = durable(classes)
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_least")).where("_c > 1 AND _least = 1").select("anchor")
+    classes = durable(spans.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_at")))
+    reclaim(spark)
+    # Joins read written tables on both sides, so that a hot anchor or class can be split over tasks at run time.
+    several = durable(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_least")).where("_c > 1 AND _least = 1").select("anchor"))
     chosen = classes.join(several, "anchor", "left_semi").select("anchor", "span", "_at.*")
     of_doc = chosen.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "span", "lo", "size")).alias("_want"))
     met = keyed.join(of_doc.withColumnsRenamed({"doc_id": "_d", "tk": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")))
@@ -215,7 +213,7 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = classes.where("_n > 1").select("anchor", "span", F.lit(True).alias("_whole"))
     part = covered.groupBy("anchor", "span").agg(F.first("covered").alias("covered"))
     verdict = durable(whole.join(part, ["anchor", "span"], "full"))
-    found = hits.join(verdict, ["anchor", "span"])
+    found = spans.join(verdict, ["anchor", "span"])
     own = F.when(F.col("_whole"), F.array(F.struct(F.col("lo").alias("lo"), (F.col("lo") + F.col("size")).alias("hi")))).otherwise(
         F.transform("covered", lambda c: F.struct((c["lo"] + F.col("lo")).alias("lo"), (c["hi"] + F.col("lo")).alias("hi")))
     )
