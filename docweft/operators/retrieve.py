@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 MOST_QUESTIONS = 2000
 
 
+#: Rows of a side that may be broadcast whole.
+MOST_BROADCAST = 20_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; else unmarked, for the planner to place."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

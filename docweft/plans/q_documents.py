@@ -16,7 +16,7 @@ from docweft.plans import q_relational  # noqa: F401  registers what the queries
 from docweft.plans.base import frame, with_ctes
 from docweft.plans.registry import query
 from docweft.session import shared_dir, table
-from docweft.sources import files
+from docweft.sources import documents, files
 
 c = F.col
 
@@ -109,3 +109,20 @@ query("read_csv_reviews", "SELECT doc_id, source, n_chars FROM documents")(lambd
 query("exclusive_write", "SELECT vec_id, label FROM embeddings")(lambda s, f: files.exclusive(table(s, f, "embeddings").select("vec_id", "label"), f"{shared_dir(s)}/once-{uuid.uuid4().hex}"))
 query("replace_per_document", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(lambda s, f: files.replace_partitions(table(s, f, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_regionkey", f"{shared_dir(s)}/parts-{uuid.uuid4().hex}"))
 query("validate_file")(lambda s, f: table(s, f, "documents").select("doc_id", A.text_udf(lambda t: A.validate_bytes((t or "").encode(), "txt"), "string")("text").alias("problem")))
+query("write_jsonl", "SELECT conv_id, turn, role FROM conversations")(lambda s, f: files.round_trip(table(s, f, "conversations").select("conv_id", "turn", "role"), "json", f"{shared_dir(s)}/jsonl-{uuid.uuid4().hex}"))
+
+LINES_ = "SELECT doc_id AS file_id, trim(UNNEST(string_split(text, chr(10)))) AS content FROM documents WHERE NOT contains(text, chr(1))"
+
+
+def docx_elements(spark, sf):
+    """Documents packed as DOCX (a paragraph for every line) and parsed again."""
+
+    def packed(text):
+        return documents.write_docx([("Normal", line) for line in (text or "").split("\n")])
+
+    made = table(spark, sf, "documents").select(c("doc_id").alias("file_id"), F.lit("docx").alias("extension"), A.text_udf(packed, "binary")("text").alias("content"))
+    return documents.extract(made)
+
+
+query("scan_docx", f"SELECT file_id, content FROM ({LINES_}) WHERE content <> ''")(lambda s, f: docx_elements(s, f).select("file_id", "content"))
+query("extract_document", f"SELECT file_id, count(*)::BIGINT AS elements FROM ({LINES_}) WHERE content <> '' GROUP BY 1")(lambda s, f: docx_elements(s, f).groupBy("file_id").agg(F.count("*").alias("elements")))

@@ -191,7 +191,7 @@ query("extractive_fallback", with_ctes(("lines",), FALLBACK))(
 )
 query("novel_span_answer", with_ctes(("questions",), f"SELECT question_id, len(list_filter({sql_tokens('evidence')}, lambda t: NOT list_contains({sql_tokens('question')}, t)))::BIGINT AS novel FROM questions"))(lambda s, f: frame("questions", s, f).select("question_id", F.size(F.filter(T.alnum_tokens(c("evidence")), lambda t: ~F.array_contains(T.alnum_tokens(c("question")), t))).cast("long").alias("novel")))
 query("struct_eval_variants", with_ctes(("questions",), f"SELECT question_id, item_id FROM (SELECT q.question_id, b.item_id, row_number() OVER (PARTITION BY q.question_id ORDER BY len(list_intersect({sql_tokens('q.question')}, {sql_tokens('b.text')})) DESC, b.item_id) AS r FROM questions q, benchmark b) WHERE r <= 5"))(
-    lambda s, f: table(s, f, "benchmark").select("item_id", F.array_distinct(T.alnum_tokens(c("text"))).alias("w")).join(F.broadcast(frame("questions", s, f).select("question_id", F.array_distinct(T.alnum_tokens(c("question"))).alias("q")))).select("question_id", "item_id", F.size(F.array_intersect("q", "w")).alias("v")).withColumn("r", rn(["question_id"], F.desc("v"), "item_id")).where("r <= 5").select("question_id", "item_id")
+    lambda s, f: table(s, f, "benchmark").select("item_id", F.array_distinct(T.alnum_tokens(c("text"))).alias("w")).join(retrieve.small(frame("questions", s, f).select("question_id", F.array_distinct(T.alnum_tokens(c("question"))).alias("q")))).select("question_id", "item_id", F.size(F.array_intersect("q", "w")).alias("v")).withColumn("r", rn(["question_id"], F.desc("v"), "item_id")).where("r <= 5").select("question_id", "item_id")
 )
 
 # Keyed state, batch forms
@@ -215,7 +215,7 @@ def _revision(l):
 
 
 query("archive_revision", with_ctes(("lines",), "SELECT document_id, count(*)::BIGINT AS chunks, max(chunk_index) AS last FROM lines GROUP BY 1"))(lambda s, f: frame("lines", s, f).groupBy("document_id").agg(F.to_json(F.collect_list(F.struct("chunk_id", "chunk_index"))).alias("payload")).select("document_id", F.json_array_length("payload").cast("long").alias("chunks"), F.array_max(F.from_json("payload", "array<struct<chunk_index:bigint>>"))["chunk_index"].alias("last")))
-query("db_scan", with_ctes((), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"))(lambda s, f: table(s, f, "nation").join(F.broadcast(table(s, f, "region")), c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name"))
+query("db_scan", with_ctes((), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"))(lambda s, f: table(s, f, "nation").join(table(s, f, "region"), c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name"))
 query("scan_txt", with_ctes((), "SELECT doc_id, i AS seq, p[i] AS content FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.]) ', '\\1' || chr(10) || chr(10), 'g'), '\\n\\s*\\n') AS p FROM documents), UNNEST(range(1, len(p) + 1)) AS u(i) WHERE trim(p[i]) <> ''"))(
     lambda s, f: table(s, f, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "([.]) ", "$1\n\n"), r"\n\s*\n")).alias("i", "content")).where("trim(content) <> ''").select("doc_id", (c("i") + 1).cast("long").alias("seq"), "content")
 )

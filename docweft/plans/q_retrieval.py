@@ -287,10 +287,10 @@ CLAIM = f"SELECT question_id, chunk_id, round(len(list_filter(q, lambda t: list_
 
 
 def attribution(spark, sf):
-    """Claims against blocks; the claims are a stated, bounded set that is broadcast."""
+    """Claims against blocks; the claims are a stated set, broadcast only up to a counted size."""
     claims = table(spark, sf, "benchmark").where("item_id % 10 = 0").select(c("item_id").alias("question_id"), T.content_tokens(F.substring("text", 1, 50)).alias("q"))
     blocks = frame("lines", spark, sf).where("chunk_index = 0").select("chunk_id", T.content_tokens(c("content")).alias("w"))
-    return blocks.join(F.broadcast(claims)).select("question_id", "chunk_id", F.round(F.size(F.filter("q", lambda t: F.array_contains("w", t))) / F.size("q"), 6).alias("ratio"))
+    return blocks.join(retrieve.small(claims)).select("question_id", "chunk_id", F.round(F.size(F.filter("q", lambda t: F.array_contains("w", t))) / F.size("q"), 6).alias("ratio"))
 
 
 query("attribute_claim", with_ctes(("lines",), f"SELECT question_id, chunk_id, ratio FROM ({CLAIM}) WHERE ratio >= 0.6"))(lambda s, f: attribution(s, f).where("ratio >= 0.6"))

@@ -134,3 +134,14 @@ def test_rerun_with_other_partitions_gives_the_same_rows(spark, sf):
         assert values(registry.queries()["hybrid_rrf"](spark, sf)) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_document_parsers(spark):
+    from docweft.sources import documents as D
+
+    data = D.write_docx([("Heading1", "Top"), ("Normal", "Body & <text>"), ("ListBullet", "one"), ("ListBullet", "two"), ("Heading3", "Deep"), ("Heading2", "Next")])
+    assert [x[1:] for x in D.parse_docx(data)] == [("heading", "Top", 1, "Top"), ("paragraph", "Body & <text>", None, "Top"), ("list", "one\ntwo", None, "Top"), ("heading", "Deep", 3, "Top > Deep"), ("heading", "Next", 2, "Top > Next")]
+    assert [x[1:3] for x in D.parse_txt("﻿# A\n\nsome\ntext\n \n## B".encode())] == [("heading", "A"), ("paragraph", "some\ntext"), ("heading", "B")]
+    files_ = spark.createDataFrame([(1, "docx", bytearray(data)), (2, "pdf", bytearray(b"%PDF-1")), (3, "docx", bytearray(b"x")), (4, "txt", bytearray(b"hi"))], "file_id long, extension string, content binary")
+    rows = {(r.file_id, r.kind, r.problem) for r in D.extract(files_).collect()}
+    assert {(2, None, "no parser"), (3, None, "no zip archive"), (4, "paragraph", None), (1, "list", None)} <= rows
