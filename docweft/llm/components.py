@@ -13,7 +13,8 @@ from docweft.session import durable
 
 
 def _low(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Each node's smallest neighbour, written, so that the join with a node of many edges can be split at run time."""
+    return durable(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -202,13 +202,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: tuple[int, i
         .withColumn("rep", F.coalesce("rep", unnamed))
     )
     nodes = sets.select("rep", F.explode("nodes").alias("node"))
-    shared = nodes.groupBy("node").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", "low")
+    # Aggregates are written before they are joined: a hot node or group can then be split over tasks at run time.
+    shared = durable(nodes.groupBy("node").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", "low"))
     star = nodes.join(shared, "node").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     grouped = components(star)
     roots = grouped.select(F.col("component").alias("node"), "component").distinct()
     member = grouped.unionByName(roots).join(sets.select(F.col("rep").alias("node"), "sid", "copies", "n"), "node")
     member = durable(member)
-    blocks = member.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    blocks = durable(member.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")))
     placed = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     met = placed.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         F.xxhash64("component", F.least("block", "_j"), F.greatest("block", "_j")).alias("task"),
