@@ -31,10 +31,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but stays columnar and compressed; a lost executor costs a re-read, never a
-    recomputation of what came before.
+    recomputation of what came before. Files lie in one folder per application, to be deleted with it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docweft/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/docweft-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
