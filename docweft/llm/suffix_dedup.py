@@ -9,8 +9,8 @@ anchors at the same place, so strings can be dealt out by anchor and only string
    nothing in it repeats elsewhere.
 3. Where one anchor has several classes, one representative of each class, with its bytes, goes to the anchor's shard.
    A shard concatenates them and finds, by induced suffix sorting with common-prefix values, every position whose next
-   ``WIDTH`` bytes also start elsewhere. Shards are worked off in parts of whole anchors; an anchor too large for memory is
-   sorted in scratch files.
+   ``WIDTH`` bytes also start elsewhere. Anchors of very many classes are dealt anew by offset and by the bytes around the
+   anchor. Shards are worked off in parts of whole keys; a key too large for memory is sorted in scratch files.
 4. Covered ranges go back from classes to all their spans, are merged per document, and cut out.
 
 Every step is linear in the number of spans; equal spans are reduced before they travel, so a passage of a million copies
@@ -43,6 +43,9 @@ WIDTH = 400
 #: Bytes of an anchor (a multiple of 8); bytes of text in one part of a shard.
 ANCHOR = 32
 PART_BYTES = 6 << 20
+#: Classes of one anchor from which on it is dealt anew, by blocks of anchor offsets and the bytes all strings of a block share.
+HOT_CLASSES = 256
+OFFSETS = 16
 SLICE = 1 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -124,15 +127,43 @@ def ranges(starts: np.ndarray, width: int = WIDTH) -> list[tuple[int, int]]:
     return list(zip(lows.tolist(), highs.tolist(), strict=True))
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map: ``anchor, span, hot, bytes`` to ``key, anchor, span, base, bytes``, the key being the shard's.
+
+    Equal strings have their anchor at the same offset. Strings of a hot anchor whose offsets lie in one block of
+    ``OFFSETS`` all hold the same core around the anchor, so they can only be equal if their cores are.
+    """
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+
+        def put(*row):
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+
+        for anchor, span, hot, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if not hot:
+                put(anchor, anchor, span, 0, data)
+                continue
+            *_, places, _ = anchors(np.frombuffer(data, dtype=np.uint8), np.array([len(data)]))
+            at, starts = int(places[0]), len(data) - WIDTH
+            for block in range((at - starts) // OFFSETS, at // OFFSETS + 1):
+                low, high = max(0, at - block * OFFSETS - OFFSETS + 1), min(starts, at - block * OFFSETS)
+                core = data[at - block * OFFSETS : at - block * OFFSETS - OFFSETS + 1 + WIDTH]
+                key = xxhash.xxh3_64_intdigest(core, seed=(anchor + block) & 0xFFFFFFFF)
+                put(key - (1 << 63), anchor, span, low, data[low : high + WIDTH])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "anchor", "span", "base", "bytes"])
+
+
 def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map over rows sorted by ``anchor``: ``anchor, span, bytes`` to ``anchor, span, covered``."""
+    """Arrow map over rows sorted by ``key``: ``key, anchor, span, base, bytes`` to ``anchor, span, covered``."""
     folder = tempfile.mkdtemp(prefix="shard-")
 
-    def work(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+    def work(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch | None:
         if len(rows) < 2:
             return None
-        sizes = np.array([len(r[2]) for r in rows], dtype=np.int64)
-        joined = np.frombuffer(b"\x00".join(r[2] for r in rows) + b"\x00", dtype=np.uint8)
+        sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
+        joined = np.frombuffer(b"\x00".join(r[4] for r in rows) + b"\x00", dtype=np.uint8)
         begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         text = joined + np.uint8(1)  # bytes of UTF-8 end below 255
         text[begins + sizes] = 0
@@ -141,9 +172,9 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out: list[list] = [[], [], []]
         for i in np.unique(owner).tolist():
             own = hit[np.searchsorted(owner, i) : np.searchsorted(owner, i, side="right")] - begins[i]
-            out[0].append(rows[i][0])
-            out[1].append(rows[i][1])
-            out[2].append([{"lo": a, "hi": b} for a, b in ranges(own)])
+            out[0].append(rows[i][1])
+            out[1].append(rows[i][2])
+            out[2].append([{"lo": a + rows[i][3], "hi": b + rows[i][3]} for a, b in ranges(own)])
         if not out[0]:
             return None
         kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -158,7 +189,7 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         yield out
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[4])
         if held and (out := work(held)) is not None:
             yield out
     finally:
@@ -200,18 +231,19 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = durable(spans.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_at")))
     reclaim(spark)
     # Joins read written tables on both sides, so that a hot anchor or class can be split over tasks at run time.
-    several = durable(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_least")).where("_c > 1 AND _least = 1").select("anchor"))
-    chosen = classes.join(several, "anchor", "left_semi").select("anchor", "span", "_at.*")
-    of_doc = chosen.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "span", "lo", "size")).alias("_want"))
+    several = durable(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_least")).where("_c > 1 AND _least = 1").select("anchor", (F.col("_c") > HOT_CLASSES).alias("hot")))
+    chosen = classes.join(several, "anchor").select("anchor", "span", "hot", "_at.*")
+    of_doc = chosen.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "span", "hot", "lo", "size")).alias("_want"))
     met = keyed.join(of_doc.withColumnsRenamed({"doc_id": "_d", "tk": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")))
     data = met.select(F.encode("text", "UTF-8").alias("_b"), "_want").select("_b", F.explode("_want").alias("_w"))
-    bytes_ = data.select("_w.anchor", "_w.span", F.expr("substring(_b, _w.lo + 1, _w.size)").alias("bytes"))
+    bytes_ = data.select("_w.anchor", "_w.span", "_w.hot", F.expr("substring(_b, _w.lo + 1, _w.size)").alias("bytes"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    shards = bytes_.repartition(parts, "anchor").sortWithinPartitions("anchor", "span")
+    dealt = bytes_.mapInArrow(_dealt, "key bigint, anchor bigint, span bigint, base int, bytes binary")
+    shards = dealt.repartition(parts, "key").sortWithinPartitions("key", "anchor", "span", "base")
     covered = durable(shards.mapInArrow(_sorted_shard, "anchor bigint, span bigint, covered array<struct<lo:int,hi:int>>"))
     reclaim(spark)
     whole = classes.where("_n > 1").select("anchor", "span", F.lit(True).alias("_whole"))
-    part = covered.groupBy("anchor", "span").agg(F.first("covered").alias("covered"))
+    part = covered.groupBy("anchor", "span").agg(F.flatten(F.collect_list("covered")).alias("covered"))
     verdict = durable(whole.join(part, ["anchor", "span"], "full"))
     found = spans.join(verdict, ["anchor", "span"])
     own = F.when(F.col("_whole"), F.array(F.struct(F.col("lo").alias("lo"), (F.col("lo") + F.col("size")).alias("hi")))).otherwise(

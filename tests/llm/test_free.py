@@ -99,6 +99,15 @@ def test_suffix_dedup_equals_brute_force(spark, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", 1)
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("abcdefgh \n"), 1100))
+    texts = [base[:k] + "#" * (1 + k % 3) + base[k:] for k in range(3, 1100, 41)] + ["ab" * 500, "x" * 450 + base[:500]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r)[1:] for r in suffix_dedup.dedup(df).collect()) == sorted(brute_dedup(texts))
+
+
 # Fingerprints
 def test_fingerprints(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text")
