@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions.vocabulary import RELATION_PRIORITY, RELATION_WEIGHTS
+from docweft.session import durable
 
 
 def plan_edges(chunks: DataFrame) -> DataFrame:
@@ -32,14 +33,14 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int | None =
     """``seed, node, hops, weight``: nodes within ``hops``; the shortest hop wins, then the larger weight of the last edge.
 
     ``seeds(seed, node)``, ``edges(source, target, weight)``. Each level joins the frontier with the edges, keeps the best
-    edge per node (map-side combined) and drops what was reached before. ``most`` caps a seed's nodes by (hops, -weight, node).
+    edge per node (map-side combined) and drops what was reached before; it is written, so no level is computed twice. ``most`` caps a seed's nodes by (hops, -weight, node).
     """
     reached = seeds.select("seed", "node", F.lit(0).alias("hops"), F.lit(1.0).alias("weight"))
     frontier = reached
     for level in range(1, hops + 1):
         step = frontier.select("seed", "node").join(edges.select(F.col("source").alias("node"), "target", "weight"), "node")
         best = step.groupBy("seed", F.col("target").alias("node")).agg(F.max("weight").alias("weight"))
-        frontier = best.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("hops"), "weight")
+        frontier = durable(best.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("hops"), "weight"))
         reached = reached.unionByName(frontier)
     if most is None:
         return reached
@@ -76,7 +77,7 @@ def descendants(roots: DataFrame, tree: DataFrame, deepest: int = 4, most: int =
     reached = frontier
     for depth in range(1, deepest + 1):
         step = frontier.select("root", F.col("id").alias("parent_id")).join(tree, "parent_id").select("root", "id", F.lit(depth).alias("depth")).distinct()
-        frontier = step.join(reached.select("root", "id"), ["root", "id"], "left_anti")
+        frontier = durable(step.join(reached.select("root", "id"), ["root", "id"], "left_anti"))
         reached = reached.unionByName(frontier)
     rank = F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))
     return reached.where("depth > 0").withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
