@@ -44,8 +44,8 @@ WIDTH = 400
 ANCHOR = 32
 PART_BYTES = 6 << 20
 #: Classes of one anchor from which on it is dealt anew, by blocks of anchor offsets and the bytes all strings of a block share.
-HOT_CLASSES = 1024
-OFFSETS = 64
+HOT_CLASSES = 256
+OFFSETS = 16
 SLICE = 1 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
