@@ -11,8 +11,9 @@
 5. Rank the rests of each class and hand rank ``r`` its sequence and slot by arithmetic on the run that holds ``r``.
    Ranks come from counts per (class, salt) plus a rank inside each salt, so no class is ranked by one task.
 
-Tokens: ids come from the public byte-level BPE vocabulary (50,257 entries) by its rank form, which gives the ids of the
-``tokenizers`` file several times faster; a test holds both forms together. Id 1 ends every document.
+Tokens: ids come from the public byte-level BPE vocabulary (50,257 entries) by its rank form, several times faster than the
+``tokenizers`` file. With ``added`` they equal that file's plain call, which finds its added tokens (``<|endoftext|>``)
+inside texts; without it these strings are ordinary text. Tests hold both forms together. Id 1 ends every document.
 
 Defined cases: null text is an empty text and packs as its end id alone; very long texts are tokenised whole; repeated
 rows are packed as often as they come; an empty table gives an empty result; null ids stay null; other columns are ignored.
@@ -21,6 +22,7 @@ rows are packed as often as they come; an empty table gives an empty result; nul
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +40,7 @@ SEQUENCE = 2048
 END_ID = 1
 UNIT = 8
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 GAP = 5e-4
 #: Salts that share the ranking of one length class: their number follows the pieces, up to a table that is safe to broadcast.
 SALTS = (64, 4096)
@@ -52,25 +55,37 @@ def vocabulary(name: str = RANKS):
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def encoder(path: str, pattern: str):
-    """``text -> ids``; strings of special tokens are ordinary text."""
+def added_tokens(name: str = TOKENIZER) -> dict[str, int]:
+    """Added tokens of a ``tokenizers`` file by string; they are matched as they stand."""
+    with open(vocabulary(name)[0], encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    odd = [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that are not matched as they stand: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
+    """``text -> ids``; texts are split at the strings of ``added`` first, other special strings are ordinary text."""
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    made = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return (lambda text: made.encode(text, allowed_special="all")) if added else made.encode_ordinary
 
 
-_ENCODERS: dict[tuple[str, str], object] = {}
+_ENCODERS: dict[tuple, object] = {}
 
 
-def _cutter(path: str, pattern: str, sequence: int):
+def _cutter(path: str, pattern: str, sequence: int, added: dict[str, int]):
     """Arrow map: ``doc_id, text`` to pieces of at most ``sequence`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _ENCODERS:  # kept for the worker's next tasks
-            _ENCODERS[path, pattern] = encoder(path, pattern)
-        encode = _ENCODERS[path, pattern]
+        key = path, pattern, *sorted(added.items())
+        if key not in _ENCODERS:  # kept for the worker's next tasks
+            _ENCODERS[key] = encoder(path, pattern, added)
+        encode = _ENCODERS[key]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin, end in slices(texts):
@@ -196,19 +211,20 @@ def runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def pieces(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, added: bool = False) -> DataFrame:
     """Pieces of every document: full sequences first, then its rest."""
     path, pattern = vocabulary()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_cutter(path, pattern, sequence), PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_cutter(path, pattern, sequence, added_tokens() if added else {}), PIECE)
 
 
-def pack(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, unit: int = UNIT) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, unit: int = UNIT, added: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` for every piece.
 
-    Rests come first in the numbering of sequences, full pieces after them with one sequence each.
+    Rests come first in the numbering of sequences, full pieces after them with one sequence each. ``added``: match the
+    tokenizer file's added tokens inside texts.
     """
     spark = docs.sparkSession
-    cut = durable(pieces(docs, text, sequence).withColumn("_tag", F.xxhash64("doc_id", "start", "ids_crc32")))
+    cut = durable(pieces(docs, text, sequence, added).withColumn("_tag", F.xxhash64("doc_id", "start", "ids_crc32")))
     kind = F.when(F.col("length") == sequence, F.lit(0)).otherwise(F.ceil(F.col("length") / unit)).cast("int")
     salts = min(SALTS[1], max(SALTS[0], cut.count() // PIECES_PER_SALT))
     cut = cut.withColumn("_class", kind).withColumn("_salt", F.pmod("_tag", F.lit(salts)).cast("int"))
@@ -241,4 +257,4 @@ def pack(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, unit: in
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=True)

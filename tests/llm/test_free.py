@@ -194,6 +194,21 @@ def test_packing_covers_every_id_once(spark, sf, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packed_ids_equal_the_plain_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary("byte_bpe_50k.json")[0])
+    texts = ["see <|endoftext|> here", "<|endoftext|><|endoftext|>\n\nb  <|endoftext|>  's\t", "<|endoftext|", "x <|endoftext|> 日本" * 900, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END_ID], dtype="<u4")
+        want.update((i, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()), len(ids)) for at in range(0, len(ids), 2048))
+    for out in (packing.op8(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out.collect()) == want
+
+
 def test_column_generation_beats_its_bound():
     rng = np.random.default_rng(1)
     demand = np.bincount(np.clip(rng.lognormal(3.3, 1.0, 20_000).astype(int), 1, 128), minlength=129)[1:]
