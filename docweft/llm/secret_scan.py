@@ -1,6 +1,9 @@
 """Secret scan: wide candidate patterns, then a random forest that removes false positives.
 
-A candidate is a run of token characters with a digit, or any value right after ``=`` or ``:``. The forest sees its length,
+A candidate is a run of token characters with a digit, or any value right after ``=`` or ``:``. Further passes propose what
+lies inside such a value: its parts after ``= : ? & @``, whole values after a cue word, and known prefixes with or without a
+digit. Candidates overlap; each is scored with the text around it, whatever other candidates lie there. Findings may
+overlap too, and ``redact`` masks what they cover together. The forest sees its length,
 its character transitions (class changes, vowel-consonant alternation, distinct characters), how much of it dictionary
 parts cover, how path-like it is, and the words beside it. It is trained on labelled findings that ``labelled_findings``
 makes from documented formats: real secret shapes against cards, time stamps, digests, identifiers, slugs and placeholders.
@@ -26,12 +29,18 @@ from docweft.session import durable, table
 RUN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 VALUE = "(?<=[=:]|[=:] |[=:][\"']|[=:] [\"'])[^\\s\"'<>|,;]{6,}"
 CANDIDATE = f"{VALUE}|{RUN}"
+#: Passes that may overlap the first and one another: parts of a value, cued values, known prefixes. No hit is under LEAST characters.
+PART = "(?<=[=:?&@])[^\\s\"'<>|,;=:?&@]{6,}(?:={1,2}(?![^\\s\"'<>|,;&@]))?"
+CUED = "(?<=(?i:password|passwd|pass|pwd|secret|token|key|credential|auth)[=:]|(?i:bearer) )[^\\s\"'<>|,;&]{6,}"
+KNOWN = "(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|sk-|pk_live|sk_live|xox[abpr]-|eyJ|AIza|glpat-|npm_)[A-Za-z0-9+/_.-]{8,}={0,2}"
+PASSES = [CANDIDATE, PART, CUED, KNOWN]
+LEAST = 6
 FOR = "(?i)(pass(word|wd)?|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer)[a-z_-]*[\"']?\\s*[:=]?\\s*[\"']?$"
 AGAINST = "(?i)(sha[0-9-]*|md5|commit|revision|checksum|digest|hash|etag|uuid|guid|version|isbn|card|order|page|figure|phone|tel|id)[\"']?\\s*[:=]?\\s*[\"']?$"
 PREFIXES = "^(AKIA|ASIA|gh[pousr]_|sk-|pk_live|sk_live|xox[abpr]-|eyJ|AIza|glpat-|npm_)"
 PLACEHOLDER = "(?i)(example|changeme|your|placeholder|dummy|sample|redacted|xxxx|test|todo|\\*\\*\\*|\\$\\{|\\{\\{)"
 DICTIONARY = "(the|and|ing|ion|ent|ver|pass|word|user|name|file|path|data|test|page|chapter|section|part|item|note|code|lib|src|doc|log|tmp|home|index|image|table|value|number|version|beta|alpha|release|update)"
-FEATURES = ["length", "digits", "uppers", "lowers", "changes", "alternation", "distinct", "covered", "slashes", "joints", "prefix", "placeholder", "hexlike", "repeats", "for", "against", "assigned", "quoted"]
+FEATURES = ["length", "digits", "uppers", "lowers", "changes", "alternation", "distinct", "covered", "slashes", "joints", "prefix", "placeholder", "hexlike", "repeats", "for", "against", "assigned", "quoted", "nested", "userinfo"]
 THRESHOLD = 0.5
 TREES = 24
 DEPTH = 7
@@ -70,6 +79,8 @@ def features(frame: DataFrame) -> DataFrame:
             "against": yes(before.rlike(AGAINST)),
             "assigned": yes(before.rlike("[:=]\\s*[\"']?$")),
             "quoted": yes(after.rlike("^[\"']")),
+            "nested": yes(hit.rlike("[=:?&@].{6}")),
+            "userinfo": yes(before.rlike("://[^\\s/:@]*:$") & after.startswith("@")),
         }
     )
 
@@ -103,6 +114,19 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         ("concat(word, word)", "concat(word, ': ')", 0),
         ("concat('//', word, '.com/', word, '/', word)", "'http:'", 0),
         ("concat('v', pmod(h, 9), '_', pmod(h, 7), '_', word, '-beta', pmod(h, 5))", "'version='", 0),
+        # A URL or a connection string and the secret inside it.
+        ("substr(hx, 1, 16 + k)", "concat('https://api.', word, '.com/v1?', if(flip, 'api_key=', 'id=7&token='))", 1),
+        ("concat('//api.', word, '.com/v1?', if(flip, 'api_key=', 'id=7&token='), substr(hx, 1, 16 + k))", "'https:'", 0),
+        ("concat(initcap(word), pmod(h, 97), substr(b64, 1, 4))", "concat(if(flip, 'postgres://admin:', 'mysql://'), if(flip, '', concat(word, ':')))", 1),
+        ("concat('//', if(flip, 'admin', word), ':', initcap(word), pmod(h, 97), substr(b64, 1, 4), '@db.host/x')", "if(flip, 'postgres:', 'mysql:')", 0),
+        ("concat(word, pmod(h, 97), substr(hx, 1, 3))", "'config: password='", 1),
+        ("concat('password=', word, pmod(h, 97), substr(hx, 1, 3))", "'config: '", 0),
+        ("concat(substr(b64, 1, 5), if(flip, '@', ':'), substr(hx, 1, 8))", "'password='", 1),
+        ("concat(word, '.com/', word)", "concat('https://', word, ':', word, '@')", 0),
+        ("concat('//', word)", "if(flip, 'postgres:', 'https:')", 0),
+        ("translate(concat('ghp_', substr(b64, 1, 36)), '0123456789', 'abcdefghij')", "w", 1),
+        ("translate(concat('eyJ', substr(b64, 1, 36)), '0123456789', 'abcdefghij')", "'Authorization: Bearer '", 1),
+        ("if(flip, 'Bearer', 'Basic')", "'Authorization: '", 0),
     ]
     base = spark.range(rows, numPartitions=1).selectExpr("id", "xxhash64(id, 11) AS h", "sha2(cast(id AS string), 256) AS hx", "pmod(id, 3) = 0 AS flip", "cast(pmod(xxhash64(id, 3), 24) AS int) AS k")
     parts = "array('re','ver','tion','ung','que','os','ment','ing','th','la','der','schaft','ar','con','lich','ado','eau','ent','ble','her')"
@@ -111,7 +135,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
     hit = "CASE pmod(id, %d) %s END" % (len(shapes), " ".join(f"WHEN {i} THEN {s[0]}" for i, s in enumerate(shapes)))
     before = "CASE pmod(id, %d) %s END" % (len(shapes), " ".join(f"WHEN {i} THEN {s[1]}" for i, s in enumerate(shapes)))
     label = "CASE pmod(id, %d) %s END" % (len(shapes), " ".join(f"WHEN {i} THEN {s[2]}.0D" for i, s in enumerate(shapes)))
-    return base.selectExpr(f"{hit} AS hit", f"{before} AS before", "if(pmod(id, 2) = 0, '\"', ' ') AS after", f"{label} AS label")
+    inside = next(i for i, x in enumerate(shapes) if "mysql://" in x[1])
+    after = f"CASE WHEN pmod(id, {len(shapes)}) = {inside} THEN '@db.host/x' WHEN pmod(id, 2) = 0 THEN '\"' ELSE ' ' END"
+    return base.selectExpr(f"{hit} AS hit", f"{before} AS before", f"{after} AS after", f"{label} AS label")
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomForestClassificationModel:
@@ -122,30 +148,45 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomFores
     return forest.fit(vectors)
 
 
+def _placed(text: Column, pattern: str) -> Column:
+    """``start, hit, before, after`` of every match of one pass, in order; the text around a match holds its neighbours."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # Lambdas over one-element arrays bind the matches and the gaps between them once. Hits have LEAST characters or more,
+    # so that so many neighbours always fill the context.
+    most = -(-CONTEXT // LEAST)
+
+    def each(both):
+        h, g = both["h"], both["g"]
+        ends = F.aggregate(
+            F.sequence(F.lit(0), F.size(h) - 1),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda s, i: F.struct((s["at"] + F.length(F.get(g, i)) + F.length(F.get(h, i))).alias("at"), F.array_append(s["all"], s["at"] + F.length(F.get(g, i))).alias("all")),
+        )["all"]
+        joined = F.zip_with(g, h, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+        return F.transform(
+            F.array(F.struct(ends.alias("s"), joined.alias("z"))),
+            lambda w: F.transform(
+                w["s"],
+                lambda s, i: F.struct(
+                    s.cast("long").alias("start"),
+                    F.get(h, i).alias("hit"),
+                    F.right(F.concat(F.array_join(F.slice(w["z"], F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most))), ""), F.get(g, i)), F.lit(CONTEXT)).alias("before"),
+                    F.left(F.array_join(F.slice(w["z"], i + 2, F.lit(most + 1)), ""), F.lit(CONTEXT)).alias("after"),
+                ),
+            ),
+        )[0]
+
+    found = F.transform(F.array(F.struct(hits.alias("h"), F.split(text, pattern, -1).alias("g"))), each)[0]
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,hit:string,before:string,after:string>>"))
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per candidate: the columns of ``docs`` but the text, ``start`` (from 0), ``hit, before, after``."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    hits = docs.select(*rest, F.col(text).alias("_t"), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)).alias("_h"))
-    gaps = hits.withColumn("_g", F.when(F.size("_h") > 0, F.split("_t", CANDIDATE, -1)))
-    begin = F.aggregate(
-        F.sequence(F.lit(0), F.size("_h") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, i: F.struct(
-            (s["at"] + F.length(F.get(F.col("_g"), i)) + F.length(F.get(F.col("_h"), i))).alias("at"),
-            F.array_append(s["all"], s["at"] + F.length(F.get(F.col("_g"), i))).alias("all"),
-        ),
-    )["all"]
-    placed = gaps.withColumn("_s", F.when(F.size("_h") > 0, begin)).drop("_t")
-    each = F.transform(
-        "_s",
-        lambda s, i: F.struct(
-            s.cast("long").alias("start"),
-            F.get(F.col("_h"), i).alias("hit"),
-            F.right(F.get(F.col("_g"), i), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get(F.col("_g"), i + 1), F.lit(CONTEXT)).alias("after"),
-        ),
-    )
-    return placed.withColumn("_c", each).drop("_h", "_g", "_s").withColumn("_c", F.explode("_c")).select(*rest, "_c.*")
+    every = docs.select(*rest, F.sort_array(F.concat(*[_placed(F.col(text), p) for p in PASSES])).alias("_c"))
+    # Passes that meet in one candidate place it equally: it is the neighbour of its like.
+    once = F.filter("_c", lambda c, i: (i == 0) | (F.get(F.col("_c"), i - 1)["start"] != c["start"]) | (F.get(F.col("_c"), i - 1)["hit"] != c["hit"]))
+    return every.withColumn("_c", F.explode(once)).select(*rest, "_c.*")
 
 
 def scan(docs: DataFrame, text: str = "text", model: RandomForestClassificationModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -170,7 +211,11 @@ def redact(docs: DataFrame, text: str = "text", model: RandomForestClassificatio
     cut = F.aggregate(
         "_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct((x["start"] + x["n"]).alias("at"), F.concat(s["out"], whole.substr(s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(MASK)).alias("out")),
+        # A finding that begins inside the one before it only lengthens what its mask covers.
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["start"] + x["n"]).alias("at"),
+            F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], whole.substr(s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(MASK))).alias("out"),
+        ),
         lambda s: F.concat(s["out"], whole.substr(s["at"].cast("int") + 1, F.length(whole))),
     )
     out = joined.withColumn("_new", F.when(F.col("_spans").isNull(), whole).otherwise(cut))

@@ -145,3 +145,18 @@ def test_secrets(spark, odd, none):
     out = {r.doc_id: r.text for r in secret_scan.redact(df, model=model).collect()}
     assert out[2] == "the password=[SECRET] is old" and out[5] == dict(texts)[5] and out[8] is None and len(out) == 9
     assert secret_scan.redact(odd, model=model).columns == odd.columns and secret_scan.redact(odd, model=model).count() == len(ODD) and secret_scan.redact(none, model=model).count() == 0
+
+
+def test_secrets_inside_urls_and_values(spark):
+    inner = {1: "9f8e7d6c5b4a39281706f5e4d3c2b1a0", 2: "S3cr3tPass99", 3: "hunter2abc", 4: "ghp_aBcDefGhiJkLmnOpqRstUvWxyZabCdEfGhIj", 5: "eyJhbGciOiJIUzI1NiJ9abcdef"}
+    texts = {1: f"https://api.x.com/v1?api_key={inner[1]}", 2: f"postgres://admin:{inner[2]}@db.host/x", 3: f"config: password={inner[3]}", 4: f"see {inner[4]} there", 5: f"Authorization: Bearer {inner[5]}"}
+    df = spark.createDataFrame([*texts.items(), (6, "see https://x.com/a/b?page=seven and 日本: nothing")], "doc_id long, text string")
+    placed = secret_scan.candidates(df).collect()
+    assert len(placed) == len({(r.doc_id, r.start, r.hit) for r in placed}) and set(inner.items()) <= {(r.doc_id, r.hit) for r in placed}
+    for r in placed:
+        t = texts.get(r.doc_id, "see https://x.com/a/b?page=seven and 日本: nothing")
+        end = r.start + len(r.hit)
+        assert t[r.start : end] == r.hit and t[max(0, r.start - 48) : r.start] == r.before and t[end : end + 48] == r.after
+    model = secret_scan.train(spark)
+    assert {(r.doc_id, r.hit) for r in secret_scan.scan(df, model=model).collect()} == set(inner.items())
+    assert {r.doc_id: r.text for r in secret_scan.redact(df, model=model).collect() if r.doc_id in (1, 2)} == {1: "https://api.x.com/v1?api_key=[SECRET]", 2: "postgres://admin:[SECRET]@db.host/x"}
