@@ -28,6 +28,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from docweft.llm.induced_sort import repeated
 from docweft.llm.registry import query
 from docweft.llm.shingles import mixed, slices
-from docweft.session import durable, reclaim, table
+from docweft.session import durable, reclaim, release, table
 
 #: Fixed value: bytes of a repeated string.
 WIDTH = 400
@@ -47,39 +48,34 @@ PART_BYTES = 6 << 20
 HOT_CLASSES = 256
 OFFSETS = 16
 SLICE = 1 << 20
+#: Words of a passage ("over 50 words") and of its anchor.
+PASSAGE = 51
+WORD_ANCHOR = 8
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
+INVERSE = np.uint64(pow(int(ODD[0]), -1, 1 << 64))
 
 
-def anchors(data: np.ndarray, lengths: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(value: np.ndarray, n: int, lengths: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of string starts with one anchor: first start, last start, place and hash of the anchor.
 
-    ``data`` is a concatenation of texts of ``lengths``; starts, places and texts are within it, and no string crosses texts.
+    ``value`` has a hash for every start of ``gram`` units in a concatenation of ``n`` units, texts of ``lengths``; a string
+    has ``width`` units. No string crosses texts.
     """
-    n = len(data)
-    none = np.empty(0, dtype=np.int64)
-    if n < width:
-        return none, none, none, none.astype(np.uint64)
-    grams = n - ANCHOR + 1
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), shape=(n, 8), strides=(1, 1)).copy().view(np.uint64).ravel()
-    value = eight[:grams] * ODD[0]
-    for k in range(1, ANCHOR // 8):
-        value += eight[8 * k : 8 * k + grams] * ODD[k]
-    value = mixed(value)
+    grams = n - gram + 1
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (value >> bits << bits) | np.arange(grams, dtype=np.uint64)
-    span, have = width - ANCHOR + 1, 1
+    span, have = width - gram + 1, 1
     while have < span:
         step = min(have, span - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
     ends = np.cumsum(lengths)
     begins = ends - lengths
-    inside = np.zeros(n + 1, dtype=np.int8)
+    inside = np.zeros(n + 1, dtype=np.int32)
     long = lengths >= width
     np.add.at(inside, begins[long], 1)
     np.add.at(inside, ends[long] - width + 1, -1)
-    valid = np.cumsum(inside[: len(low)], dtype=np.int8) > 0
+    valid = np.cumsum(inside[: len(low)]) > 0
     place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
@@ -89,6 +85,21 @@ def anchors(data: np.ndarray, lengths: np.ndarray, width: int = WIDTH) -> tuple[
     return first, last, place[first], value[place[first]]
 
 
+def anchors(data: np.ndarray, lengths: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``runs`` over bytes: ``data`` is a concatenation of texts of ``lengths``."""
+    n = len(data)
+    none = np.empty(0, dtype=np.int64)
+    if n < width:
+        return none, none, none, none.astype(np.uint64)
+    grams = n - ANCHOR + 1
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), shape=(n, 8), strides=(1, 1)).copy().view(np.uint64).ravel()
+    value = eight[:grams] * ODD[0]
+    for k in range(1, ANCHOR // 8):
+        value += eight[8 * k : 8 * k + grams] * ODD[k]
+    return runs(mixed(value), n, lengths, width, ANCHOR)
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow map: ``doc_id, tk, text`` to ``doc_id, tk, lo, size, anchor, span``."""
     for batch in batches:
@@ -199,9 +210,9 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map: ``doc_id, text, spots`` to the digest of what is left."""
+    """Arrow map: ``doc_id, n_passage_words, text, spots`` to the digest of what is left."""
     for batch in batches:
-        ids, texts, spots = batch.column(0), batch.column(1), batch.column(2)
+        ids, words, texts, spots = (batch.column(i) for i in range(4))
         rows: list[list] = [[], [], [], []]
         for i in range(batch.num_rows):
             data = (texts[i].as_py() or "").encode("utf-8", "surrogatepass")
@@ -219,7 +230,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(rows, (len(data), sum(b - a for a, b in merged), len(merged), digest.hexdigest()), strict=True):
                 column.append(value)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(rows, types, strict=True)], words], names=names)
 
 
 def removed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -249,20 +261,132 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     own = F.when(F.col("_whole"), F.array(F.struct(F.col("lo").alias("lo"), (F.col("lo") + F.col("size")).alias("hi")))).otherwise(
         F.transform("covered", lambda c: F.struct((c["lo"] + F.col("lo")).alias("lo"), (c["hi"] + F.col("lo")).alias("hi")))
     )
-    return durable(found.select("doc_id", "tk", F.explode(own).alias("_s")).groupBy("doc_id", "tk").agg(F.collect_set("_s").alias("spots")))
+    spots = durable(found.select("doc_id", "tk", F.explode(own).alias("_s")).groupBy("doc_id", "tk").agg(F.collect_set("_s").alias("spots")))
+    release(spans, classes, several, covered, verdict)
+    return spots
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (split at ASCII white space), concatenated, and the number of words of each text."""
+    split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    counts = np.fromiter((len(s) for s in split), dtype=np.int64, count=len(split))
+    flat = np.empty(int(counts.sum()), dtype=object)
+    flat[:] = [w for s in split for w in s]
+    return (pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, dtype=np.uint64)), counts
+
+
+def word_anchors(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``runs`` over words: strings of ``PASSAGE`` words, anchors of ``WORD_ANCHOR`` words."""
+    n = len(words)
+    none = np.empty(0, dtype=np.int64)
+    if n < PASSAGE:
+        return none, none, none, none.astype(np.uint64)
+    grams = n - WORD_ANCHOR + 1
+    value = words[:grams] * ODD[0]
+    for k in range(1, WORD_ANCHOR):
+        value = mixed(value) + words[k : k + grams] * ODD[k % len(ODD)]
+    return runs(mixed(value), n, counts, PASSAGE, WORD_ANCHOR)
+
+
+def _word_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map: ``dk, text`` to ``dk, lo, size, anchor, span``, in words."""
+    for batch in batches:
+        keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for begin, end in slices(texts, SLICE):
+            words, counts = word_hashes(texts[begin:end])
+            first, last, _, gram = word_anchors(words, counts)
+            owner = np.searchsorted(np.cumsum(counts), first, side="right")
+            lo = first - (np.cumsum(counts) - counts)[owner]
+            size = last - first + PASSAGE
+            view = memoryview(words.tobytes())
+            span = np.fromiter((xxhash.xxh3_64_intdigest(view[8 * f : 8 * (f + s)]) for f, s in zip(first.tolist(), size.tolist(), strict=True)), dtype=np.uint64, count=len(first))
+            columns = [keys[begin:end][owner], lo.astype(np.int32), size.astype(np.int32), gram.view(np.int64), span.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["dk", "lo", "size", "anchor", "span"])
+
+
+def _word_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow map: ``text, want`` (spans of the text) to ``anchor, span, low, high, windows``, a hash of every string of a span."""
+    for batch in batches:
+        texts, wants = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        out: list[list] = [[], [], [], [], []]
+        for text, want in zip(texts, wants, strict=True):
+            words, _ = word_hashes([text])
+            # A polynomial of all words up to each place: a string's hash comes from two of its values.
+            factor = np.cumprod(np.full(len(words) + 1, ODD[0]))
+            inverse = np.cumprod(np.full(len(words) + 1, INVERSE))
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(words) * factor[:-1])])
+            for w in want:
+                starts = np.arange(w["lo"], w["lo"] + w["size"] - PASSAGE + 1)
+                hashed = mixed((sums[starts + PASSAGE] - sums[starts]) * inverse[starts])
+                for column, value in zip(out, (w["anchor"], w["span"], w["low"], w["high"], hashed.view(np.int64)), strict=True):
+                    column.append(value)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["anchor", "span", "low", "high", "windows"])
+
+
+def passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, tk, n_passage_words``: words of a text inside strings of ``PASSAGE`` words that another document holds too.
+
+    Exact, over whole texts; texts without such a string have no row. Rows of equal id and text are one document here. Spans
+    of words are dealt by their anchor like spans of bytes. A class of spans that two documents hold is repeated as a whole;
+    where classes of one anchor differ, their strings meet by hash. All strings of a span hold its anchor, so what is repeated
+    of a span is one range.
+    """
+    spark = docs.sparkSession
+    tk = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tk.alias("tk"), F.col(text).alias("text")).withColumn("dk", F.xxhash64("doc_id", "tk"))
+    spans = durable(keyed.select("dk", "text").mapInArrow(_word_spans, "dk bigint, lo int, size int, anchor bigint, span bigint"))
+    classes = durable(spans.groupBy("anchor", "span").agg(F.min("dk").alias("low"), F.max("dk").alias("high")))
+    several = durable(
+        classes.groupBy("anchor")
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("low").alias("_l"), F.max("high").alias("_h"), F.bool_or(F.col("low") == F.col("high")).alias("_single"))
+        .where("_c > 1 AND _l < _h AND _single")
+        .select("anchor")
+    )
+    # The document with the smallest key stands for a class; all spans of a class are of one size.
+    places = spans.join(classes.join(several, "anchor").select("anchor", "span", "low", "high"), ["anchor", "span"]).where("dk = low")
+    chosen = places.groupBy("anchor", "span", "low", "high", "size").agg(F.min("lo").alias("lo"))
+    want = F.struct("anchor", "span", "low", "high", "lo", "size")
+    of_doc = durable(chosen.groupBy(F.col("low").alias("_k")).agg(F.collect_list(want).alias("_want")))
+    one = keyed.select("dk", "text").join(of_doc, F.col("dk") == F.col("_k"))
+    windows = durable(one.select("text", "_want").mapInArrow(_word_windows, "anchor bigint, span bigint, low bigint, high bigint, windows array<bigint>"))
+    each = windows.select("anchor", "span", "low", "high", F.posexplode("windows").alias("_o", "_w"))
+    shared = durable(each.groupBy("anchor", "_w").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l < _h").select("anchor", "_w"))
+    part = each.where("low = high").join(shared, ["anchor", "_w"], "left_semi").groupBy("anchor", "span").agg(F.min("_o").alias("_from"), (F.max("_o") + PASSAGE).alias("_to"))
+    whole = classes.where("low < high").select("anchor", "span", F.lit(0).alias("_from"), F.lit(None).cast("int").alias("_to"))
+    verdict = durable(whole.unionByName(part))
+    found = spans.join(verdict, ["anchor", "span"]).select("dk", (F.col("lo") + F.col("_from")).alias("lo"), (F.col("lo") + F.coalesce("_to", "size")).alias("hi"))
+    ranges_ = F.array_sort(F.collect_set(F.struct("lo", "hi")))
+    covered = F.aggregate(
+        "_r",
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")),
+        lambda s, r: F.struct(F.greatest(s["at"], r["hi"]).alias("at"), (s["n"] + F.greatest(F.lit(0), r["hi"] - F.greatest(s["at"], r["lo"]))).alias("n")),
+    )
+    counted = found.groupBy("dk").agg(ranges_.alias("_r")).select("dk", covered["n"].cast("long").alias("n_passage_words"))
+    out = durable(keyed.select("doc_id", "tk", "dk").distinct().join(counted, "dk").select("doc_id", "tk", "n_passage_words"))
+    release(spans, classes, several, of_doc, windows, shared, verdict)
+    return out
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``."""
-    spots = removed(docs, text).withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words`` for every row of ``docs``.
+
+    ``n_passage_words`` (see ``passages``) tells of shorter repeats, which are counted and not removed.
+    """
+    spots = removed(docs, text)
+    reclaim(docs.sparkSession)
+    words = passages(docs, text).withColumnsRenamed({"doc_id": "_d", "tk": "_t"})
     reclaim(docs.sparkSession)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t"))
+    both = spots.join(words, same, "full").select(F.coalesce("doc_id", "_d").alias("_id"), F.coalesce("tk", "_t").alias("_tk"), "spots", "n_passage_words")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    met = keyed.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")) & (key == F.col("_t")), "left").select("doc_id", "text", "spots")
-    return met.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    met = keyed.join(both, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_tk")), "left")
+    read = met.select("doc_id", F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"), "text", "spots")
+    return read.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint")
 
 
 @query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the bytes of repeated 400-byte strings."""
+    """What is left of every document without the bytes of repeated 400-byte strings, and its words in shared passages."""
     return dedup(table(spark, sf_dir, "documents"))

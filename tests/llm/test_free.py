@@ -94,7 +94,7 @@ def test_suffix_dedup_equals_brute_force(spark, none):
     near = [base[:k] + "#" + base[k + 1 :] for k in (100, 430, 460, 500, 890)]
     texts = [make(300) + shared + make(20), make(9) + shared, shared[:399], shared[100:], base, *near, "x" * 1200, "ab" * 450, None, "", base, make(2000)]
     df = spark.createDataFrame([(i if i != 3 else None, t, "z") for i, t in enumerate(texts)] + [(4, base, "z")], "doc_id long, text string, spots string")
-    got = sorted(tuple(r)[1:] for r in suffix_dedup.dedup(df).collect())
+    got = sorted(tuple(r)[1:5] for r in suffix_dedup.dedup(df).collect())
     assert got == sorted(brute_dedup([*texts, base]))
     assert suffix_dedup.dedup(none).count() == 0
 
@@ -105,7 +105,32 @@ def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     base = "".join(rng.choice(list("abcdefgh \n"), 1100))
     texts = [base[:k] + "#" * (1 + k % 3) + base[k:] for k in range(3, 1100, 41)] + ["ab" * 500, "x" * 450 + base[:500]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(tuple(r)[1:] for r in suffix_dedup.dedup(df).collect()) == sorted(brute_dedup(texts))
+    assert sorted(tuple(r)[1:5] for r in suffix_dedup.dedup(df).collect()) == sorted(brute_dedup(texts))
+
+
+def brute_passages(docs, words=51):
+    held = {}
+    for d in set(docs):
+        w = (d[1] or "").encode().split()
+        for i in range(len(w) - words + 1):
+            held.setdefault(tuple(w[i : i + words]), set()).add(d)
+    out = []
+    for d in docs:
+        w = (d[1] or "").encode().split()
+        out.append((d[0], len({i + k for i in range(len(w) - words + 1) if len(held[tuple(w[i : i + words])]) > 1 for k in range(words)})))
+    return sorted(out, key=repr)
+
+
+def test_passages_equal_brute_force(spark, none):
+    rng = np.random.default_rng(6)
+    make = lambda n: " ".join(rng.choice([f"w{i}" for i in range(400)], n))
+    shared, base = make(51), make(300)
+    near = [" ".join([*base.split()[:k], f"x{k % 5}", *base.split()[k:]]) for k in (0, 49, 51, 52, 100, 101, 290)]
+    texts = [make(90) + "\n" + shared + "\t" + make(7), shared, shared.rsplit(" ", 1)[0], base, *near, "twice " * 200, "ab " * 60, "ab " * 60 + make(400), None, "", "one", make(20_000), shared + " " + make(60)]
+    docs = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(0, texts[0]), (1, base)]
+    df = spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, n_passage_words string")
+    assert sorted(((r.doc_id, r.n_passage_words) for r in suffix_dedup.dedup(df).collect()), key=repr) == brute_passages(docs)
+    assert suffix_dedup.passages(none).count() == 0
 
 
 # Fingerprints
