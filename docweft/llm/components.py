@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweft.session import durable
+from docweft.session import durable, release
 
 
 def _low(edges: DataFrame) -> DataFrame:
@@ -19,29 +19,32 @@ def _low(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = _low(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lowest = _low(both)
+    out = durable(both.join(lowest.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    release(lowest)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     lowest = _low(edges)
     moved = edges.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
+    out = durable(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+    release(lowest)
+    return out
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(u, v)`` but the component's own smallest node.
 
-    The component's id is its smallest node. Edges are undirected; self loops are ignored.
+    The component's id is its smallest node. Edges are undirected; self loops are ignored. The rounds, whose number grows with
+    the logarithm of the longest path, end when one changes nothing.
     """
     oriented = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = durable(oriented), None
-    for _ in range(most_rounds):
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == before:
-            break
+    while (mark := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()) != before:
         before = mark
-        now = durable(_small_star(_large_star(now)))
-    else:
-        raise RuntimeError("components did not settle")
+        large = _large_star(now)
+        release(now)
+        now = _small_star(large)
+        release(large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

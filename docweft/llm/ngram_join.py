@@ -1,21 +1,25 @@
-"""N-gram Jaccard self-join: MinHash LSH forest for candidates, exact verification of every candidate component.
+"""N-gram Jaccard self-join: MinHash LSH forest for candidates, exact verification of every candidate pair.
 
-1. Texts with the same set of five-word shingles are one *set*; its representative is the smallest document id.
-2. Every set gets a MinHash signature per tree of the forest. A tree is a prefix trie over signatures; a trie node at
-   depth ``d`` holds the sets that agree on the first ``d`` values. Matching starts at the deepest prefix and is shortened
-   level by level until the chance of missing a pair at the threshold is below ``1 - recall``.
-3. Members of a node are tied to the node's smallest member (one edge each, never all pairs); connected components of
+1. Texts with the same set of five-word shingles are one *set*; its representative is the smallest document that has it.
+2. Every set gets ``TREES`` labels of ``DEEPEST`` MinHash values. A tree of the forest is the prefix trie of the sets' labels;
+   a node at depth ``d`` holds the sets whose labels agree in the first ``d`` values.
+3. Matching starts at the deepest prefix and shortens it value by value, in all trees alike, until the target recall is met
+   twice: by the chance of meeting at the threshold itself, and as measured on a bounded sample of documents, whose
+   neighbours the signing pass finds exactly among all texts. The forest is built once; depths are prefixes of one label.
+4. Members of a node are tied to the node's smallest member (one edge each, never all pairs); connected components of
    these edges are the candidate groups, so a group holds every pair that any node holds.
-4. A group's texts meet in blocks of bounded size, every block with every block of its group. Inside, intersections of the
-   shingle sets are counted exactly, and only sums and spanning edges leave.
-5. Verified edges give the final classes.
+5. A group is cut into blocks of bounded size along the order of one tree's labels, so that near sets share a block. Two
+   blocks meet only if some node has members in both. Inside, intersections of the shingle sets are counted exactly, and
+   only sums and spanning edges leave.
+6. Verified edges give the final classes.
 
-A hot group is therefore cut into blocks over many tasks, and no row of pairs is ever written. What is lost is only what
-the forest misses at the set recall (0.9999 at a similarity of exactly 0.8, more above).
+A hot group is therefore cut into blocks over many tasks, a long chain of near sets meets along the chain only, and no row of
+pairs is ever written. What is lost is only what the forest misses at the set recall (0.9999 at exactly 0.8, more above).
 
 Defined cases: documents without words (null, empty, blank) have no links and are their own class; texts of one to four
-words are one shingle; repeated rows count as copies; texts that only rows without an id have are grouped with their exact
-copies alone, under a negative id; an empty table gives an empty result.
+words are one shingle; repeated rows count as copies; different texts under one id, or without an id, are told apart by
+their text; a class whose smallest id is missing or names another class too gets a negative one; an empty table gives an empty result; other columns
+are ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,72 +29,154 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm.components import components
 from docweft.llm.registry import query
 from docweft.llm.shingles import mixed, shingle_sets, slices
-from docweft.session import durable, table
+from docweft.llm.words import SPACE_RUN
+from docweft.session import durable, release, table
 
 #: Fixed value: the threshold as a fraction, so that comparisons stay in integers.
 THRESHOLD = (4, 5)
 TREES = 32
 DEEPEST = 8
 RECALL = 0.9999
+#: Bytes of one value in a label.
+VALUE = 2
+#: Documents whose exact neighbours tell the recall of a depth, and their shingles at most.
+SAMPLE_DOCS = 128
+SAMPLE_SHINGLES = 1 << 20
 #: Limits of a verification block.
-BLOCK_SETS = 1024
-BLOCK_SHINGLES = 600_000
+BLOCK_SETS = 512
+BLOCK_SHINGLES = 400_000
 
 
-def matched_depth(threshold: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """Longest prefix that finds a pair at ``threshold`` in one of the ``trees`` with chance ``recall``."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def chance(threshold: float, depth: int, trees: int = TREES) -> float:
+    """Chance that a pair at ``threshold`` shares a node of ``depth`` in one of the trees."""
+    return 1 - (1 - threshold**depth) ** trees
+
 
+def sampled(docs: DataFrame, text: str = "text", docs_at_most: int = SAMPLE_DOCS) -> list[np.ndarray]:
+    """Shingle sets of a bounded sample of documents, in the order of a hash of their texts."""
+    first = docs.where(F.col(text) != "").select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(docs_at_most)
+    values, bounds = shingle_sets([r["text"] for r in first.collect()])
+    out: dict[bytes, np.ndarray] = {}
+    size = 0
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        size += b - a
+        if b > a and size <= SAMPLE_SHINGLES:
+            out[values[a:b].tobytes()] = values[a:b]
+    return list(out.values())
 
-def _signer(trees: int, depth: int):
-    """Arrow map: ``doc_id, text`` to ``doc_id, sid, n, nodes``."""
+
+def _signer(trees: int, deepest: int, sample: list[np.ndarray], num: int, den: int):
+    """Arrow map: ``doc_id, tk, text`` to ``doc_id, tk, sid, n, labels, near``.
+
+    ``labels``: ``trees`` labels of ``deepest`` values, one after the other; ``near``: per sampled document at the threshold, the
+    longest prefix that the two share in any tree.
+    """
     rng = np.random.default_rng(5)
-    a = rng.integers(1, 1 << 32, size=(trees, depth), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    b = rng.integers(0, 1 << 32, size=(trees, depth), dtype=np.uint64).astype(np.uint32)
+    a = rng.integers(1, 1 << 32, size=(trees, deepest), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    b = rng.integers(0, 1 << 32, size=(trees, deepest), dtype=np.uint64).astype(np.uint32)
+    known = np.concatenate([*sample, np.empty(0, dtype=np.uint64)])
+    order = np.argsort(known, kind="stable")
+    known, whose = known[order], np.repeat(np.arange(len(sample)), [len(v) for v in sample])[order]
+    sizes = np.array([len(v) for v in sample], dtype=np.int64)
+
+    def labels_of(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), trees, deepest), dtype=np.uint16)
+        if len(at):
+            low = (values >> np.uint64(16)).astype(np.uint32)
+            work = np.empty_like(low)
+            for t in range(trees):
+                for d in range(deepest):
+                    np.multiply(low, a[t, d], out=work)
+                    np.add(work, b[t, d], out=work)
+                    out[:, t, d] = mixed(np.minimum.reduceat(work, at).astype(np.uint64)) & np.uint64(0xFFFF)
+        return out
+
+    own = labels_of(np.concatenate([*sample, known[:0]]), np.cumsum(sizes) - sizes)
+
+    def neighbours(values: np.ndarray, n: np.ndarray, labels: np.ndarray, row_of: np.ndarray) -> list[list[int]]:
+        """For every text, the shared prefix length with each sampled document at the threshold but itself."""
+        out: list[list[int]] = [[] for _ in n]
+        if not len(known) or not len(values):
+            return out
+        owner = np.repeat(np.arange(len(n)), n)
+        first, last = np.searchsorted(known, values, "left"), np.searchsorted(known, values, "right")
+        hit = np.flatnonzero(last > first)
+        count = (last - first)[hit]
+        spot = np.repeat(first[hit] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        pair, common = np.unique(np.repeat(owner[hit], count) * len(sample) + whose[spot], return_counts=True)
+        i, j = pair // len(sample), pair % len(sample)
+        close = ((num + den) * common >= num * (n[i] + sizes[j])) & ~((common == n[i]) & (common == sizes[j]))
+        for x, y in zip(i[close].tolist(), j[close].tolist(), strict=True):
+            same = np.logical_and.accumulate(labels[row_of[x]] == own[y], axis=1).sum(axis=1)
+            out[x].append(int(same.max()))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for begin, end in slices(texts):
                 values, bounds = shingle_sets(texts[begin:end])
                 n = np.diff(bounds)
                 some = n > 0
-                at = bounds[:-1][some]
-                nodes = np.zeros((int(some.sum()), trees), dtype=np.uint64)
-                if len(values):
-                    low = (values >> np.uint64(16)).astype(np.uint32)
-                    work = np.empty_like(low)
-                    for t in range(trees):
-                        key = np.full(len(at), t + 1, dtype=np.uint64)
-                        for d in range(depth):
-                            np.multiply(low, a[t, d], out=work)
-                            np.add(work, b[t, d], out=work)
-                            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(work, at).astype(np.uint64))
-                        nodes[:, t] = key
+                labels = labels_of(values, bounds[:-1][some])
+                row_of = np.cumsum(some) - 1
+                near = neighbours(values, n, labels, row_of)
                 sids = [hashlib.blake2b(values[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() if n[i] else None for i in range(len(n))]
-                offsets = np.concatenate([[0], np.cumsum(np.where(some, trees, 0))]).astype(np.int32)
+                # Big-endian values, so that labels sort as the trie does.
+                told = [labels[row_of[i]].astype(">u2").tobytes() if n[i] else None for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(begin, end - begin),
+                        batch.column(0).slice(begin, end - begin),
+                        batch.column(1).slice(begin, end - begin),
                         pa.array(sids, pa.binary()),
                         pa.array(n, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes.view(np.int64).ravel())),
+                        pa.array(told, pa.binary()),
+                        pa.array(near, pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "sid", "n", "nodes"],
+                    names=["doc_id", "tk", "sid", "n", "labels", "near"],
                 )
 
     return run
 
 
+def matched_depth(measured: dict[int, int], threshold: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
+    """Longest prefix that meets the recall by its chance at the threshold and on the sample.
+
+    ``measured``: pairs of the sample by the longest prefix that they share in any tree.
+    """
+    depth, pairs = deepest, sum(measured.values())
+    while depth > 1:
+        found = sum(n for d, n in measured.items() if d >= depth)
+        if chance(threshold, depth, trees) >= recall and found >= recall * pairs:
+            break
+        depth -= 1
+    return depth
+
+
+def _blocker(most_sets: int, most_shingles: int):
+    """Arrow map over members in the order of ``component, label``: adds ``block``, a run of members within the limits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets, shingles, last = TaskContext.get().partitionId() << 32, 0, 0, None
+        for batch in batches:
+            out = np.empty(batch.num_rows, dtype=np.int64)
+            for i, (component, n) in enumerate(zip(batch.column("component").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                if component != last or sets >= most_sets or shingles + n > most_shingles:
+                    block, sets, shingles, last = block + 1, 0, 0, component
+                out[i] = block
+                sets, shingles = sets + 1, shingles + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "block"])
+
+    return run
+
+
 def _links(values: np.ndarray, bounds: np.ndarray, block: np.ndarray, first: int, second: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row numbers) at the threshold: within block ``first`` if both are the same, else between the two."""
     n = np.diff(bounds)
@@ -142,12 +228,12 @@ def _links(values: np.ndarray, bounds: np.ndarray, block: np.ndarray, first: int
 
 
 def _verifier(num: int, den: int):
-    """Arrow map over rows sorted by ``task``: ``task, first, second, block, rep, sid, copies, text`` to ``rep, low, links``."""
+    """Arrow map over rows sorted by ``task``: ``task, first, second, block, key, sid, copies, text`` to ``key, low, links``."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch | None:
         values, bounds = shingle_sets([r[7] for r in rows])
         own: dict[int, int] = {}
-        for i, row in enumerate(rows):  # a text that only shares its id with the representative is not the set's text
+        for i, row in enumerate(rows):  # a text that only shares its hash with the representative is not the set's text
             if row[4] not in own and hashlib.blake2b(values[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() == row[5]:
                 own[row[4]] = i
         chosen = [own[r] for r in sorted(own)]
@@ -155,7 +241,7 @@ def _verifier(num: int, den: int):
             return None
         values = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in chosen])
         bounds = np.concatenate([[0], np.cumsum([bounds[i + 1] - bounds[i] for i in chosen])])
-        block, copies, reps = (np.array([rows[i][c] for i in chosen], dtype=np.int64) for c in (3, 6, 4))
+        block, copies, keys = (np.array([rows[i][c] for i in chosen], dtype=np.int64) for c in (3, 6, 4))
         links, label = np.zeros(len(chosen), dtype=np.int64), np.arange(len(chosen))
         for i, j in _links(values, bounds, block, rows[0][1], rows[0][2], num, den):
             np.add.at(links, i, copies[j])
@@ -167,7 +253,7 @@ def _verifier(num: int, den: int):
         hit = np.flatnonzero(links)
         if not len(hit):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.array(reps[label[hit]]), pa.array(links[hit])], names=["rep", "low", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(keys[label[hit]]), pa.array(links[hit])], names=["key", "low", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -184,69 +270,114 @@ def _verifier(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """``doc_id, copy_id, class_id, n_links`` for every row of ``docs``.
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
 
-    ``copy_id``: smallest id with the same shingle set; ``class_id``: smallest id of the class of linked documents;
-    ``n_links``: other documents at the threshold or above, copies included.
+
+def _sets(signed: DataFrame) -> DataFrame:
+    """One row per shingle set: ``sid, key, rep, at, copies, n, labels``.
+
+    ``key`` is the smallest id that has the set, unless that id stands for another set too or is missing: then a negative
+    hash. ``at``: a document that holds it, by id and hash of its text.
     """
-    spark = docs.sparkSession
-    depth = matched_depth(threshold[0] / threshold[1], trees, recall=recall)
-    texts = docs.select("doc_id", F.col(text).alias("text"))
-    signed = durable(texts.mapInArrow(_signer(trees, depth), "doc_id bigint, sid binary, n bigint, nodes array<bigint>"))
-    unnamed = -F.abs(F.xxhash64("sid") % (1 << 60)) - 1
-    sets = durable(
+    sets = (
         signed.where("sid IS NOT NULL")
         .groupBy("sid")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
-        .withColumn("rep", F.coalesce("rep", unnamed))
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("doc_id").alias("at_id"), F.first("tk").alias("at_tk"))
     )
-    nodes = sets.select("rep", F.explode("nodes").alias("node"))
+    sets = durable(sets)
+    twice = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1 AND rep IS NOT NULL").select(F.col("rep").alias("_rep"))
+    hashed = -F.abs(F.xxhash64("sid") % (1 << 60)) - 1
+    return sets.join(twice, F.col("rep") == F.col("_rep"), "left").withColumn("key", F.when(F.col("rep").isNull() | F.col("_rep").isNotNull(), hashed).otherwise(F.col("rep"))).drop("_rep")
+
+
+def _joined(docs: DataFrame, text: str, threshold: tuple[int, int], trees: int, recall: float) -> DataFrame:
+    """``doc_id, tk, sid, copy_id, class_id, n_links, best_id, best_tk`` for every row; the last two name the row that stands for its class."""
+    spark = docs.sparkSession
+    texts = _keyed(docs, text)
+    signer = _signer(trees, DEEPEST, sampled(docs, text), *threshold)
+    signed = durable(texts.mapInArrow(signer, "doc_id bigint, tk bigint, sid binary, n bigint, labels binary, near array<int>"))
+    measured = {r["d"]: r["k"] for r in signed.select(F.explode("near").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("k")).collect()}
+    depth = matched_depth(measured, threshold[0] / threshold[1], trees, recall=recall)
+    sets = durable(_sets(signed))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_t")
+    label = F.expr(f"substring(labels, _t * {DEEPEST * VALUE} + 1, {depth * VALUE})")
+    nodes = sets.select("key", "labels", tree).select("key", F.xxhash64("_t", label).alias("node"))
     # Aggregates are written before they are joined: a hot node or group can then be split over tasks at run time.
-    shared = durable(nodes.groupBy("node").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", "low"))
-    star = nodes.join(shared, "node").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
+    shared = durable(nodes.groupBy("node").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", "low"))
+    star = nodes.join(shared, "node").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
     grouped = components(star)
     roots = grouped.select(F.col("component").alias("node"), "component").distinct()
-    member = grouped.unionByName(roots).join(sets.select(F.col("rep").alias("node"), "sid", "copies", "n"), "node")
-    member = durable(member)
-    blocks = durable(member.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb")))
-    placed = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    met = placed.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        F.xxhash64("component", F.least("block", "_j"), F.greatest("block", "_j")).alias("task"),
-        F.least("block", "_j").alias("first"),
-        F.greatest("block", "_j").alias("second"),
-        "block",
-        F.col("node").alias("rep"),
-        "sid",
-        "copies",
-    )
-    with_text = texts.join(placed.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    member = grouped.unionByName(roots).withColumnRenamed("node", "key").join(sets, "key")
+    member = member.select("component", F.expr(f"substring(labels, 1, {DEEPEST * VALUE})").alias("label"), "key", "sid", "copies", "n", "at_id", "at_tk", "labels")
+    lined = member.repartitionByRange("component", "label", "key").sortWithinPartitions("component", "label", "key")
+    schema = "component bigint, label binary, key bigint, sid binary, copies bigint, n bigint, at_id bigint, at_tk bigint, labels binary, block bigint"
+    placed = durable(lined.mapInArrow(_blocker(BLOCK_SETS, BLOCK_SHINGLES), schema))
+    several = placed.groupBy("component").agg(F.min("block").alias("_a"), F.max("block").alias("_b"))
+    alone = several.where("_a = _b").select(F.col("_a").alias("first"), F.col("_a").alias("second"))
+    wide = placed.join(several.where("_a < _b").select("component"), "component").select("block", "labels", tree).select("block", F.xxhash64("_t", label).alias("node"))
+    crowd = durable(wide.groupBy("node").agg(F.array_sort(F.collect_set("block")).alias("_bs")))
+    pairs = crowd.select(F.posexplode("_bs").alias("_i", "first"), "_bs").select("first", F.explode(F.slice("_bs", F.col("_i") + 1, F.size("_bs"))).alias("second"))
+    tasks = durable(alone.unionByName(pairs.distinct()))
+    ends = F.array_distinct(F.array("first", "second"))
+    met = tasks.select(F.xxhash64("first", "second").alias("task"), "first", "second", F.explode(ends).alias("block")).join(placed.select("block", "key", "sid", "copies", "at_id", "at_tk"), "block")
+    wanted = placed.select("at_id", "at_tk").distinct()
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["at_id"]) & (a["tk"] == b["at_tk"])
+    with_text = texts.join(wanted, same(texts, wanted), "left_semi")
     ready = (
-        met.join(with_text, met["rep"] == with_text["doc_id"])
-        .select("task", "first", "second", "block", "rep", "sid", "copies", "text")
-        .repartition(parts, "task")
-        .sortWithinPartitions("task", "first", "second", "rep")
+        met.join(with_text, same(with_text, met))
+        .select("task", "first", "second", "block", "key", "sid", "copies", "text")
+        .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), "task")
+        .sortWithinPartitions("task", "first", "second", "key")
     )
-    verified = durable(ready.mapInArrow(_verifier(*threshold), "rep bigint, low bigint, links bigint"))
-    classes = components(verified.select(F.col("rep").alias("u"), F.col("low").alias("v")))
-    totals = verified.groupBy("rep").agg(F.sum("links").alias("links"))
+    verified = durable(ready.mapInArrow(_verifier(*threshold), "key bigint, low bigint, links bigint"))
+    classes = durable(components(verified.select(F.col("key").alias("u"), F.col("low").alias("v"))))
+    totals = verified.groupBy("key").agg(F.sum("links").alias("links"))
     by_set = (
-        sets.select("sid", "rep", "copies")
-        .join(totals, "rep", "left")
-        .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("sid", F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        sets.select("sid", "key", "copies")
+        .join(totals, "key", "left")
+        .join(classes.withColumnRenamed("node", "key"), "key", "left")
+        .select("sid", "key", F.coalesce("component", "key").alias("_c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    return signed.join(by_set, "sid", "left").select(
+    by_set = durable(by_set)
+    # The least row of a class by id (missing ones last), then text.
+    row = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "tk")
+    named = durable(
+        signed.where("sid IS NOT NULL").join(by_set.select("sid", "_c"), "sid").groupBy("_c").agg(F.min(row).alias("_best")).select("_c", F.col("_best.doc_id").alias("best_id"), F.col("_best.tk").alias("best_tk"))
+    )
+    again = named.groupBy("best_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(F.col("best_id").alias("_id"))
+    class_id = F.when(F.col("best_id").isNull() | F.col("_id").isNotNull(), F.col("_c")).otherwise(F.col("best_id"))
+    named_once = named.join(again, F.col("best_id") == F.col("_id"), "left").withColumn("class_id", class_id)
+    info = durable(by_set.join(named_once, "_c").select("sid", F.col("key").alias("copy_id"), "class_id", "n_links", "best_id", "best_tk"))
+    release(sets, shared, placed, crowd, tasks, verified, classes, by_set, named)
+    return signed.join(info, "sid", "left").select("doc_id", "tk", "sid", "copy_id", "class_id", "n_links", "best_id", "best_tk")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """``doc_id, copy_id, class_id, n_links`` for every row of ``docs``.
+
+    ``copy_id``: smallest id with the same shingle set; ``class_id``: smallest id of the class of linked documents;
+    ``n_links``: other documents at the threshold or above, copies included.
+    """
+    return _joined(docs, text, threshold, trees, recall).select(
         "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their class: its smallest id, once. Rows without an id stay."""
-    first = near_duplicates(docs, text).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` that stand for their class, one each: the smallest id, then the smallest hash of the text, then of the row.
+
+    Rows without words stand for themselves.
+    """
+    own = docs.columns
+    found = _joined(docs, text, THRESHOLD, TREES, RECALL)
+    best = found.where("sid IS NOT NULL AND doc_id <=> best_id AND tk = best_tk").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col(text)).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
+    blank = F.coalesce(F.col(f"_row.`{text}`"), F.lit("")).rlike(f"^{SPACE_RUN}$|^$")
+    standing = rows.where(~blank).join(best, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")), "left_semi")
+    ordered = F.xxhash64(*[F.col(f"_row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    once = standing.groupBy("_doc", "_key").agg(F.min_by("_row", ordered).alias("_row")).select("_row")
+    return once.unionByName(rows.where(blank).select("_row")).select("_row.*")
 
 
 @query("op10_ngram_join")

@@ -286,15 +286,43 @@ def test_join_equals_brute_force(spark, none, monkeypatch):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
-def test_join_odd_rows(odd):
+def test_join_odd_rows(spark, odd):
     rows = ngram_join.near_duplicates(odd).collect()
-    assert len(rows) == len(ODD) and {(r.doc_id, r.n_links) for r in rows if r.doc_id == 1} == {(1, 3)}  # its copy, and the texts 6 and 7
-    assert sorted(str(r.doc_id) for r in ngram_join.keep_one(odd).collect()) == ["1", "2", "3", "4", "5", "8", "None"]
-
-
-def test_depth_meets_the_recall():
-    d = ngram_join.matched_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+    near = {(r.doc_id, r.n_links) for r in rows if r.doc_id in (1, None)}
+    assert len(rows) == len(ODD) and near == {(1, 4), (None, 3)}  # doc 1: its copy, the text without an id, the texts 6 and 7
+    assert sorted(str(r.doc_id) for r in ngram_join.keep_one(odd).collect()) == ["1", "2", "3", "4", "5", "8"]
+    texts = near_texts(6, seed=9)
+    twice = spark.createDataFrame([(1, texts[0], "a"), (1, texts[5], "b"), (1, CLEAN, "c"), (1, CLEAN, "b"), (2, CLEAN, "a"), (None, "x y z", "a"), (None, "x y z", "a"), (None, "x y", "a")], "doc_id long, text string, _key string")
+    got = ngram_join.near_duplicates(twice).collect()
+    assert sorted(r.n_links for r in got) == [0, 1, 1, 1, 1, 2, 2, 2] and len({r.class_id for r in got}) == 4
+    kept = ngram_join.keep_one(twice)
+    assert kept.columns == twice.columns and len(kept.collect()) == 4 and {r._key for r in kept.collect() if r.doc_id == 1} <= {"a", "b", "c"}
+
+
+def test_long_texts_and_chains_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
+    words = [f"w{i}" for i in range(220)]
+    chain = [" ".join(words[4 * i : 4 * i + 60]) for i in range(40)]  # each is near the next one only
+    long = " ".join(f"v{i % 9973}" for i in range(20_000))
+    docs = list(enumerate([*chain, long, long + " end"]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()) == brute_classes(docs)
+
+
+def test_depth_is_shortened_until_both_recalls_are_met():
+    d = ngram_join.matched_depth({}, 0.8)
+    assert ngram_join.chance(0.8, d) >= ngram_join.RECALL > ngram_join.chance(0.8, d + 1)
+    assert ngram_join.matched_depth({8: 90, 4: 10}, 0.8) == 4 and ngram_join.matched_depth({8: 99_999, 2: 1}, 0.8) == d
+
+
+def test_signing_finds_the_neighbours_of_the_sample(spark):
+    texts = near_texts(30)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sample = ngram_join.sampled(df)
+    run = ngram_join._signer(ngram_join.TREES, ngram_join.DEEPEST, sample, 4, 5)
+    signed = ngram_join._keyed(df, "text").mapInArrow(run, "doc_id bigint, tk bigint, sid binary, n bigint, labels binary, near array<int>").collect()
+    links = {i: n for i, _, n in brute_classes([(i, t) for i, t in enumerate(dict.fromkeys(texts))])}
+    assert sum(links.values()) == sum(len(r.near) for r in {r.sid: r for r in signed}.values()) and all(d >= 1 for r in signed for d in r.near)
 
 
 def test_components(spark):
