@@ -1,22 +1,24 @@
 """Chat formatting with tool-call linking, in DataFrame functions only.
 
-Messages (``conv_id, turn, role, text``) become *events*: calls, results and notes. A text that holds a JSON object with
-``tool_call`` (``id, name, arguments, after``) or ``tool_result`` (``id, content``) says so itself. In a plain dialogue a
-user turn is a call of the tool ``reply`` whose arguments are its text and number of words, identified by conversation and
-turn, and an assistant turn is a result for the latest user turn before it.
+Messages (``conv_id, turn, role, text``) become *events*: calls, results and notes. A text that is a JSON object, white space
+around it aside, with ``tool_call`` (``id, name, arguments, after``) or ``tool_result`` (``id, content``) says so itself. In a
+plain dialogue a user turn is a call of the tool ``reply`` whose arguments are its text and number of words, identified by
+conversation and turn, and an assistant turn is a result for the latest user turn before it.
 
 Calls and results meet by a hash join on (conversation, identifier); either side is reduced to one row per identifier
-first, so repeated results of one call cannot multiply. Arguments are validated against a schema per tool. Events are put
-in topological order: a call comes after the calls that it names in ``after``. Order by turn is such an order wherever all
-of these lie earlier; conversations where one does not are ordered by Kahn's rounds. Every event is written as canonical
-JSON: keys in code-point order, no spaces.
+first, so repeated results of one call cannot multiply. Arguments are validated against a schema per tool: required fields,
+types, bounds, and no field that the schema lacks. Events are put in topological order: a call comes after the calls that it
+names in ``after``, a result after its call. Order by turn is such an order wherever all of these lie earlier; conversations
+where one does not are ordered by Kahn's rounds, which go on until no event is ready. Every event is written as canonical
+JSON: keys in code-point order, no spaces, the content of a ``tool_result`` included.
 
 A conversation may hold a third of all rows: places and latest turns are computed in blocks of ``BLOCK`` turns, and only
 one row per block is ordered per conversation.
 
 Defined cases: null text is the empty text; a null role is a note; events of a null conversation or turn keep their nulls
-and are never linked; equal (conversation, turn) pairs follow one another by role and text; calls in a cycle come last,
-by turn; an empty table gives an empty result; other columns are ignored.
+and are never linked; equal (conversation, turn) pairs follow one another by role and text; calls in a cycle, and what
+waits for them, come last, by turn; an identifier that several calls share is ready when the first of them is; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docweft.llm.registry import query
 from docweft.llm.words import n_words
-from docweft.session import durable, table
+from docweft.session import durable, release, table
 
 BLOCK = 512
 #: Per tool, its fields with type, whether required, and a bound on length or value.
@@ -55,6 +57,8 @@ def valid_arguments(name: Column, arguments: Column, schemas=SCHEMAS) -> Column:
                 low = F.lit(0) if kind == "STRING" else F.lit(1)
                 typed = typed & (size <= most) & (size >= low)
             fits = fits & F.when(there, F.coalesce(typed, F.lit(False))).otherwise(F.lit(not required))
+        keys = F.map_keys(F.try_variant_get(arguments, "$", "map<string,variant>"))
+        fits = fits & F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, fields)))) == 0, F.lit(False))
         out = F.when(name == tool, fits) if out is None else out.when(name == tool, fits)
     return F.coalesce(out, F.lit(False))
 
@@ -77,10 +81,10 @@ def latest_user_turn(messages: DataFrame) -> DataFrame:
 
 
 def events(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, kind, call_id, name, args`` (variant), ``content, after`` for every message."""
+    """``conv_id, turn, role, text, kind, call_id, name, args`` (variant), ``after, payload`` (variant) for every message."""
     whole = F.coalesce(F.col("text"), F.lit(""))
     said = latest_user_turn(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", whole.alias("text")))
-    parsed = said.withColumn("_d", F.when(F.col("text").startswith("{"), F.try_parse_json("text")))
+    parsed = said.withColumn("_d", F.when(F.col("text").rlike("^\\s*\\{"), F.try_parse_json("text")))
     call, result = _at(F.col("_d"), "$.tool_call.id"), _at(F.col("_d"), "$.tool_result.id")
     kind = F.when(call.isNotNull(), "call").when(result.isNotNull(), "result").when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("note")
     implied = lambda turn: F.concat_ws(":", F.col("conv_id"), turn)
@@ -98,6 +102,7 @@ def events(messages: DataFrame) -> DataFrame:
         F.when(kind == "call", F.coalesce(_at(F.col("_d"), "$.tool_call.name"), F.lit("reply"))).alias("name"),
         F.when(kind == "call", F.when(call.isNotNull(), F.try_variant_get("_d", "$.tool_call.arguments", "variant")).otherwise(own_args)).alias("args"),
         F.when(call.isNotNull(), after).alias("after"),
+        F.when(call.isNull() & result.isNotNull(), F.try_variant_get("_d", "$.tool_result.content", "variant")).alias("payload"),
     )
 
 
@@ -112,31 +117,50 @@ def link(found: DataFrame) -> DataFrame:
     return met.withColumn("linked", linked).withColumn("valid", valid).drop("_ok", "_answers", "_there")
 
 
-def levels(found: DataFrame, most_rounds: int = 200) -> DataFrame | None:
-    """``conv_id, call_id, level`` for calls of conversations in which a call names one that is not earlier; else None.
+def levels(found: DataFrame) -> DataFrame | None:
+    """``conv_id, node, level`` for the calls and results of conversations in which one waits for another that is not earlier; else None.
 
-    Kahn's rounds on the edges alone: each round gives the next level to calls that wait for nothing open.
+    Nodes are identifiers of calls (``c`` before them) and of results (``r``). Kahn's rounds on the edges alone: each round
+    gives the next level to nodes that wait for nothing open, until a round finds none; what is then open waits for a cycle.
     """
-    calls = found.where("kind = 'call' AND call_id IS NOT NULL AND conv_id IS NOT NULL")
-    named = calls.where(F.size("after") > 0).select("conv_id", "call_id", "turn", F.explode("after").alias("needs"))
-    places = calls.groupBy("conv_id", F.col("call_id").alias("needs")).agg(F.min("turn").alias("at"))
-    edges = durable(named.join(places, ["conv_id", "needs"]))
-    odd = edges.where("at >= turn").select("conv_id").distinct()
+    known = found.where("call_id IS NOT NULL AND conv_id IS NOT NULL")
+    calls = known.where("kind = 'call'")
+    named = calls.where(F.size("after") > 0).select("conv_id", "turn", _node("call").alias("node"), F.explode("after").alias("_n")).select("conv_id", "turn", "node", F.concat(F.lit("c"), "_n").alias("needs"))
+    answers = known.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
+    answered = answers.select("conv_id", "turn", _node("result").alias("node"), _node("call").alias("needs"))
+    places = calls.groupBy("conv_id", _node("call").alias("needs")).agg(F.min("turn").alias("at"))
+    edges = durable(named.unionByName(answered).join(places, ["conv_id", "needs"]).where("node <> needs"))
+    late = F.when(F.substring("node", 1, 1) == "r", F.col("at") > F.col("turn")).otherwise(F.col("at") >= F.col("turn"))
+    odd = edges.where(late).select("conv_id").distinct()
     if odd.limit(1).count() == 0:
         return None
-    edges = edges.join(odd, "conv_id", "left_semi")
-    open_ = durable(calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id").distinct())
-    done = []
-    for depth in range(most_rounds):
-        waiting = edges.join(open_.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        ready = durable(open_.join(waiting, ["conv_id", "call_id"], "left_anti"))
+    edges = durable(edges.join(odd, "conv_id", "left_semi").select("conv_id", "node", "needs").distinct())
+    kinds = F.when(F.col("kind") == "call", _node("call")).otherwise(_node("result"))
+    open_ = durable(known.where("kind IN ('call', 'result')").join(odd, "conv_id", "left_semi").select("conv_id", kinds.alias("node")).distinct())
+    done, depth = [], 0
+    while True:
+        waiting = edges.join(open_.withColumnRenamed("node", "needs"), ["conv_id", "needs"], "left_semi").select("conv_id", "node").distinct()
+        ready = durable(open_.join(waiting, ["conv_id", "node"], "left_anti").withColumn("level", F.lit(depth)))
         if ready.limit(1).count() == 0:
             break
-        done.append(ready.withColumn("level", F.lit(depth)))
-        open_ = durable(open_.join(ready, ["conv_id", "call_id"], "left_anti"))
-    done.append(open_.withColumn("level", F.lit(most_rounds)))
-    out = done[0]
-    for part in done[1:]:
+        done.append(ready)
+        depth += 1
+        before, open_ = open_, durable(open_.join(ready, ["conv_id", "node"], "left_anti"))
+        release(before)
+        if len(done) == 32:  # long chains: keep the union of levels short
+            merged = durable(_union(done))
+            release(*done)
+            done = [merged]
+    return _union([*done, open_.withColumn("level", F.lit(depth))])
+
+
+def _node(kind: str) -> Column:
+    return F.concat(F.lit(kind[0]), "call_id")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
@@ -146,7 +170,9 @@ def positions(linked: DataFrame, by_level: DataFrame | None) -> DataFrame:
     if by_level is None:
         ordered = linked.withColumn("_level", F.lit(0))
     else:
-        ordered = linked.join(by_level.withColumnRenamed("level", "_level"), ["conv_id", "call_id"], "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
+        node = F.when(F.col("kind") == "call", _node("call")).when(F.col("kind") == "result", _node("result"))
+        leveled = by_level.withColumnRenamed("level", "_level")
+        ordered = linked.withColumn("node", node).join(leveled, ["conv_id", "node"], "left").withColumn("_level", F.coalesce("_level", F.lit(0))).drop("node")
     blocked = _blocked(ordered)
     inside = Window.partitionBy("conv_id", "_level", "_block").orderBy("turn", "role", F.xxhash64("text"))
     before = Window.partitionBy("conv_id").orderBy("_level", "_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,7 +186,8 @@ def positions(linked: DataFrame, by_level: DataFrame | None) -> DataFrame:
 def canonical(kind: Column) -> Column:
     """Canonical JSON of an event: keys in order, no spaces; null fields are left out."""
     call = F.concat(F.lit('{"arguments":'), F.to_json("args"), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit(',"type":"call"}'))
-    result = F.concat(F.lit('{"content":'), _quoted(F.col("text")), F.when(F.col("call_id").isNotNull(), F.concat(F.lit(',"id":'), _quoted(F.col("call_id")))).otherwise(F.lit("")), F.lit(',"type":"result"}'))
+    content = F.coalesce(F.to_json("payload"), _quoted(F.col("text")))
+    result = F.concat(F.lit('{"content":'), content, F.when(F.col("call_id").isNotNull(), F.concat(F.lit(',"id":'), _quoted(F.col("call_id")))).otherwise(F.lit("")), F.lit(',"type":"result"}'))
     note = F.concat(F.lit('{"content":'), _quoted(F.col("text")), F.lit(',"type":"note"}'))
     return F.when(kind == "call", F.coalesce(call, note)).when(kind == "result", result).otherwise(note)
 

@@ -127,6 +127,21 @@ def test_chat_links_orders_validates(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_orders_results_after_calls_and_long_chains(spark):
+    call = lambda i, after=(): json.dumps({"tool_call": {"id": i, "name": "search", "arguments": {"query": "q"}, "after": list(after)}})
+    rows = [(1, 0, "tool", '  {"tool_result": {"id": "x", "content": {"b": [1, 2], "a": "z"}}}\n'), (1, 1, "assistant", " " + call("x")), (1, 2, "user", "done")]
+    rows += [(2, t, "assistant", call(f"k{t}", [f"k{t + 1}"])) for t in range(40)] + [(2, 40, "assistant", call("k40"))]
+    rows += [(3, 0, "assistant", call("p", ["q"])), (3, 1, "assistant", call("q", ["p"])), (3, 2, "assistant", call("free")), (3, 3, "tool", '{"tool_result": {"id": "p", "content": null}}'), (3, 4, "assistant", call("self", ["self"]))]
+    extra = json.dumps({"tool_call": {"id": "e", "name": "search", "arguments": {"query": "q", "sort": "new"}}})
+    df = spark.createDataFrame([*rows, (4, 0, "assistant", extra)], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat_format.format_chats(df).collect()}
+    assert len(got) == len(rows) + 1
+    assert got[1, 1].position < got[1, 0].position and got[1, 0].json == '{"content":{"a":"z","b":[1,2]},"id":"x","type":"result"}'
+    assert [got[2, t].position for t in range(41)] == [40 - t for t in range(41)]
+    assert [got[3, t].position for t in (2, 4, 0, 1, 3)] == [0, 1, 2, 3, 4]
+    assert not got[4, 0].valid and got[1, 1].valid
+
+
 def test_long_conversations_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "BLOCK", 4)
     df = spark.createDataFrame([(1, t, "user" if t % 7 == 0 else "assistant", f"t{t}") for t in range(40)], "conv_id long, turn long, role string, text string")
