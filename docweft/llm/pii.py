@@ -2,12 +2,16 @@
 
 Base spans (email, ip, card, phone) are always kept. High-recall generators then propose more spans, overlapping each other
 and the base: addresses written out (``name (at) host dot com``), card-length digit groups, phone numbers without a plus or
-with extensions, and loosely punctuated ip addresses. Gradient-boosted trees, trained here on labelled candidates, score
-each by its format (digits, separators, grouping, checksum, length) and its context (words before and after); a threshold
-calibrated to a wanted precision on held-out candidates selects, and overlaps go to the better score.
+with extensions, and loosely punctuated ip addresses. Gradient-boosted trees score each by its format (digits, separators,
+grouping, checksum, length) and its context (words before and after). Their scores are calibrated per kind on held-out
+candidates (Platt's scaling), a threshold per kind selects at a wanted precision, and overlaps go to the better score.
+
+The trees are fitted on candidates in two kinds of context. Around base matches of a bounded sample of documents
+(``SAMPLE_DOCS``), the match is rewritten into a disguised form (positive) or spoiled into a look-alike: a broken checksum, a
+part above 255, a span of prose (hard negative). Where documents hold few base matches, made-up candidates fill up.
 
 Defined cases: null and empty texts have no spans; very long texts are read whole; repeated rows give repeated rows; null
-ids stay null; an empty table gives an empty result; other columns are ignored.
+ids stay null; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweft.llm.registry import query
 from docweft.session import table
@@ -45,9 +50,11 @@ LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){2}[ ./_-]{1
 LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+@.])(?:00[1-9][0-9]{0,2}[ ./-]?)?\(?0?[0-9]{2,4}\)?[ ./-][0-9]{2,4}[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4}){0,2}(?![0-9A-Za-z@])")
 GENERATORS = [("email", WRITTEN), ("ip", LOOSE_IP), ("card", LOOSE_CARD), ("phone", LOOSE_PHONE)]
 CONTEXT = 32
-#: Parameters of the trees and of the labelled candidates.
+#: Parameters of the trees and of the labelled candidates: made-up ones, documents sampled for contexts, base matches used of them.
 TREES, DEPTH, RATE, LEAST = 40, 3, 0.2, 12
-LABELLED = 4000
+LABELLED = 3000
+SAMPLE_DOCS = 2000
+SAMPLE_MATCHES = 600
 PRECISION = 0.98
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 
@@ -181,11 +188,71 @@ def labelled_candidates(rows: int = LABELLED, seed: int = 8) -> tuple[np.ndarray
     return np.array(x), np.array(y)
 
 
+def disguised(kind: int, span: str, rng: np.random.Generator) -> str:
+    """A base match in a form that the base patterns miss and a reader still understands."""
+    if kind == 0:
+        name, host = span.split("@", 1)
+        at, dot = [(" (at) ", " (dot) "), ("[at]", "[dot]"), (" (at) ", "."), ("{at}", "{dot}")][rng.integers(4)]
+        return name.replace("+", "") + at + host.replace(".", dot if dot != "." else "(dot)")
+    digits = _digits(span)
+    if kind == 1:
+        return ["[.]", "(.)"][rng.integers(2)].join(span.split("."))
+    if kind == 2:
+        return [".", "/", "_", " - "][rng.integers(4)].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    local = digits[-10:]
+    return [f"({local[:3]}) {local[3:6]}-{local[6:]}", f"00{digits[:-10]} {local[:3]} {local[3:6]} {local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}"][rng.integers(3)]
+
+
+def spoiled(kind: int, span: str, rng: np.random.Generator) -> str:
+    """A look-alike of a base match that is none."""
+    if kind == 0:
+        host = span.split("@", 1)[1].split(".")
+        return f"{span[:3].strip('.') or 'we'} at {host[0]} dot {host[-1]}{'ted' if rng.integers(2) else ' '}"
+    digits = _digits(span)
+    if kind == 1:
+        parts = [p.zfill(1) for p in span.split(".")]
+        parts[rng.integers(4)] = str(rng.integers(256, 999))
+        return ["[.]", ",", " . "][rng.integers(3)].join(parts)
+    if kind == 2:
+        broken = digits[:-1] + str((int(digits[-1]) + int(rng.integers(1, 10))) % 10)
+        return [" ", ".", "/", "-"][rng.integers(4)].join(broken[i : i + 4] for i in range(0, len(broken), 4))
+    return ["-", ".", " "][rng.integers(3)].join([digits[:2], digits[2:5], digits[5:8], digits[8:10]][: int(rng.integers(3, 5))])
+
+
+def matches_in_context(texts: list[str], most: int = SAMPLE_MATCHES) -> list[tuple[int, str, str, str]]:
+    """``(kind, before, match, after)`` of base matches, as many of each kind as there are up to ``most // 4``."""
+    found: list[list] = [[], [], [], []]
+    for text in texts:
+        for start, kind, end in base_spans(text):
+            if len(found[kind]) < most // 4:
+                found[kind].append((kind, text[max(0, start - CONTEXT) : start], text[start:end], text[end : end + CONTEXT]))
+    return [m for of_kind in found for m in of_kind]
+
+
+def contextual_candidates(matches: list[tuple[int, str, str, str]], seed: int = 21) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of candidates in the documents' own contexts, with a cue word before some of them."""
+    rng = np.random.default_rng(seed)
+    x, y = [], []
+    for kind, before, span, after in matches:
+        for good in (True, False):
+            shown = (disguised if good else spoiled)(kind, span, rng)
+            cue = (str(rng.choice(WORDS[KINDS[kind]].split())) if good else str(rng.choice(AGAINST))) + ": " if rng.integers(2) or (good and kind == 3) else ""
+            text = f"{before}{cue}{shown}{after}"
+            start = len(before) + len(cue)
+            hits = [c for c in candidates(text) if c[1] == kind and c[0] < start + len(shown) and c[2] > start]
+            for hit in hits[:1]:
+                x.append(features(text, *hit))
+                y.append(float(good))
+    return np.array(x), np.array(y)
+
+
 class Boosted:
-    """Logistic gradient boosting over depth-limited trees; thresholds on exact split scans."""
+    """Logistic gradient boosting over depth-limited trees, with exact split scans; calibration and threshold per kind."""
 
     def __init__(self):
-        self.start, self.trees, self.threshold = 0.0, [], 0.5
+        self.start, self.trees = 0.0, []
+        self.scaling = [(1.0, 0.0)] * len(KINDS)
+        self.thresholds = [1.1] * len(KINDS)
 
     def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
         value = -g.sum() / (h.sum() + 1.0)
@@ -220,11 +287,16 @@ class Boosted:
         return self.start + RATE * sum((self._walk(t, x) for t in self.trees), np.zeros(len(x)))
 
     def chance(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.raw(x)))
+        """Calibrated chance of being personal data; the first feature is the kind."""
+        slope, shift = np.array(self.scaling)[x[:, 0].astype(int)].T
+        return 1 / (1 + np.exp(-(slope * self.raw(x) + shift)))
+
+    def accepts(self, x: np.ndarray) -> np.ndarray:
+        return self.chance(x) >= np.array(self.thresholds)[x[:, 0].astype(int)]
 
     def fit(self, x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> "Boosted":
-        """Trees on three quarters of the rows; the threshold is the lowest whose precision on the rest is enough."""
-        held = np.arange(len(y)) % 4 == 3
+        """Trees on three quarters of the rows; calibration and thresholds on the rest."""
+        held = np.random.default_rng(3).permutation(len(y)) % 4 == 3
         tx, ty = x[~held], y[~held]
         mean = np.clip(ty.mean(), 1e-3, 1 - 1e-3)
         self.start = float(np.log(mean / (1 - mean)))
@@ -234,17 +306,47 @@ class Boosted:
             tree = self._grow(tx, p - ty, p * (1 - p), DEPTH)
             self.trees.append(tree)
             raw += RATE * self._walk(tree, tx)
-        score, truth = self.chance(x[held]), y[held]
-        order = np.argsort(-score, kind="stable")
-        kept = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-        enough = np.flatnonzero(kept >= precision)
-        self.threshold = float(max(0.5, score[order[enough[-1]]])) if len(enough) else 1.0
+        score = self.raw(x)
+        for kind in range(len(KINDS)):
+            rows = held & (x[:, 0] == kind)
+            if y[rows].min(initial=1) == y[rows].max(initial=0):
+                continue
+            self.scaling[kind] = platt(score[rows], y[rows])
+            chance, truth = self.chance(x[rows]), y[rows]
+            order = np.argsort(-chance, kind="stable")
+            kept = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
+            last_of_value = np.append(chance[order][1:] < chance[order][:-1], True)
+            enough = np.flatnonzero((kept >= precision) & last_of_value)
+            if len(enough):
+                self.thresholds[kind] = float(max(0.5, chance[order[enough[-1]]]))
         return self
 
 
-def train() -> Boosted:
-    """The trees on the made-up labelled candidates."""
-    return Boosted().fit(*labelled_candidates())
+def platt(score: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through ``score``, by Newton's steps on smoothed labels."""
+    good = y.sum()
+    wanted = np.where(y > 0, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(a * score + b)))
+        g = np.array([((p - wanted) * score).sum(), (p - wanted).sum()])
+        w = p * (1 - p)
+        h = np.array([[(w * score * score).sum(), (w * score).sum()], [(w * score).sum(), w.sum()]]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        size = max(1.0, float(np.abs(step).max()))
+        a, b = a - step[0] / size, b - step[1] / size
+    return float(a), float(b)
+
+
+def train(docs: DataFrame | None = None, text: str = "text") -> Boosted:
+    """The trees on made-up candidates and on those in the contexts of at most ``SAMPLE_DOCS`` documents, in hash order."""
+    x, y = labelled_candidates()
+    if docs is not None:
+        likely = docs.where(F.col(text).rlike("[0-9]{3}|@")).select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
+        cx, cy = contextual_candidates(matches_in_context([r["text"] for r in likely.collect()]))
+        if len(cy):
+            x, y = np.concatenate([x, cx]), np.concatenate([y, cy])
+    return Boosted().fit(x, y)
 
 
 def all_spans(text: str, model: Boosted) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -257,12 +359,13 @@ def all_spans(text: str, model: Boosted) -> tuple[list[tuple[int, int, int]], li
     free = [c for c in found if all(c[2] <= s or e <= c[0] for s, e in taken)] if len(taken) * len(found) < 10_000 else _free(found, taken)
     if not free:
         return base, base
-    chance = model.chance(np.array([features(text, *c) for c in free]))
+    seen = np.array([features(text, *c) for c in free])
+    chance, good = model.chance(seen), model.accepts(seen)
     chosen: list[tuple[int, int, int]] = []
     last: list[tuple[int, int]] = []
     for i in np.lexsort((np.arange(len(free)), -chance)):
         c = free[i]
-        if chance[i] >= model.threshold and _free([c], last):
+        if good[i] and _free([c], last):
             chosen.append(c)
             insort(last, (c[0], c[2]))
     return base, sorted(base + chosen)
@@ -304,7 +407,8 @@ def _finder(model: Boosted):
 
 def find(docs: DataFrame, text: str = "text", model: Boosted | None = None) -> DataFrame:
     """Counts and digest of the base spans and the list of all spans, for every row."""
-    return docs.select("doc_id", text).mapInArrow(_finder(model or train()), SCHEMA)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return read.mapInArrow(_finder(model or train(read)), SCHEMA)
 
 
 @query("op7_pii")
