@@ -121,6 +121,20 @@ def price(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan steps with row pivots: small matrices need no threads of a linear algebra library."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        best = i + int(np.argmax(np.abs(work[i:, i])))
+        work[[i, best]] = work[[best, i]]
+        work[i] /= work[i, i]
+        others = work[:, i].copy()
+        others[i] = 0
+        work -= others[:, None] * work[i]
+    return work[:, n:]
+
+
 def solve(demand: np.ndarray, capacity: int, most_rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Patterns with fractional counts that cut ``demand[w - 1]`` pieces of width ``w`` from fewest stocks of ``capacity``.
 
@@ -140,7 +154,7 @@ def solve(demand: np.ndarray, capacity: int, most_rounds: int = 4000) -> list[tu
     bound = float(need @ (live + 1)) / capacity
     for turn in range(most_rounds):
         if turn and turn % 200 == 0:
-            inverse = np.linalg.inv(np.array(patterns, dtype=float).T)
+            inverse = inverted(np.array(patterns, dtype=float).T)
             x = np.maximum(inverse @ need, 0)
         duals = np.zeros(capacity)
         duals[live] = np.maximum(inverse.sum(axis=0), 0)
@@ -224,11 +238,13 @@ def pack(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, unit: in
     tokenizer file's added tokens inside texts.
     """
     spark = docs.sparkSession
-    cut = durable(pieces(docs, text, sequence, added).withColumn("_tag", F.xxhash64("doc_id", "start", "ids_crc32")))
+    cut = pieces(docs, text, sequence, added)
+    # Equal pieces of repeated rows are one row with a count: ranks are given to the row, places to its copies.
     kind = F.when(F.col("length") == sequence, F.lit(0)).otherwise(F.ceil(F.col("length") / unit)).cast("int")
+    cut = durable(cut.groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("_m")).withColumn("_tag", F.xxhash64("doc_id", "start", "ids_crc32")).withColumn("_class", kind))
     salts = min(SALTS[1], max(SALTS[0], cut.count() // PIECES_PER_SALT))
-    cut = cut.withColumn("_class", kind).withColumn("_salt", F.pmod("_tag", F.lit(salts)).cast("int"))
-    counts = durable(cut.groupBy("_class", "_salt").agg(F.count(F.lit(1)).alias("_n")))
+    cut = cut.withColumn("_salt", F.pmod("_tag", F.lit(salts)).cast("int"))
+    counts = durable(cut.groupBy("_class", "_salt").agg(F.sum("_m").alias("_n")))
     before = Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_class", "_salt", "_shift")
     histogram = {r["_class"]: r["n"] for r in counts.groupBy("_class").agg(F.sum("_n").alias("n")).collect()}
@@ -237,8 +253,9 @@ def pack(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE, unit: in
     laid = runs(histogram, capacity)
     total = max((f + (e - b) // k for _, b, e, f, k, _ in laid), default=0)
     # Bounded: classes x salts, and at most a few runs per pattern of the program.
-    order = Window.partitionBy("_class", "_salt").orderBy("_tag", "doc_id", "start", "length")
-    ranked = cut.withColumn("_in", F.row_number().over(order) - 1).join(F.broadcast(shift), ["_class", "_salt"]).withColumn("_rank", F.col("_in") + F.col("_shift"))
+    order = Window.partitionBy("_class", "_salt").orderBy("_tag", "doc_id", "start", "length", "ids_crc32", "doc_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.withColumn("_in", F.coalesce(F.sum("_m").over(order), F.lit(0))).join(F.broadcast(shift), ["_class", "_salt"])
+    ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).withColumn("_rank", F.col("_in") + F.col("_shift") + F.col("_copy"))
     full = ranked.where("_class = 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_rank") + total).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if not laid:
         return full
