@@ -12,15 +12,16 @@ count, so one source with a third of all rows is spread like any other. Decision
 never on partitioning, so reruns agree.
 
 Defined cases: null text has size 0 and takes 0 words; a null source is a source of its own, last in order; repeated rows
-(equal ids) are decided one by one; an empty table gives an empty result; extra columns are ignored by ``plan`` and kept
-by ``repeat``.
+(equal ids, missing ones included) are decided one by one; an empty table gives an empty result; extra columns are ignored by
+``plan`` and kept by ``repeat``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweft.llm.ranks import with_running
 from docweft.llm.registry import query
 from docweft.llm.words import n_words
 from docweft.session import durable, table
@@ -36,28 +37,24 @@ NEAR_WHOLE = 1e-9
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``source, source_size, target`` from ``source, size``.
+    """``source, source_size, target, number`` from ``source, size``; ``number``: place by code point, from 0.
 
     Water filling in closed form: sources sorted by cap per weight are capped up to the first whose share of what is
-    left fits below its cap; that share per weight then holds for all the rest. Works on one row per source.
+    left fits below its cap; that share per weight then holds for all the rest. Works on one row per source, by ranges.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = per.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights)) + 1))
-    everything = Window.partitionBy()
-    order = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    filled = (
-        weighed.withColumn("_cap", most * F.col("source_size"))
-        .withColumn("_total", share * F.sum("source_size").over(everything))
-        .withColumn("_ratio", F.col("_cap") / F.col("_w"))
-        .withColumn("_k", F.row_number().over(order))
-        .withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(onward))
-    )
-    free = F.when(F.col("_ratio") > F.col("_level"), F.struct("_k", "_level"))
-    chosen = filled.withColumn("_first", F.min(free).over(everything))
-    capped = F.col("_first").isNull() | (F.col("_k") < F.col("_first._k"))
-    return chosen.select("source", "source_size", F.when(capped, F.col("_cap")).otherwise(F.col("_w") * F.col("_first._level")).alias("target"))
+    per = durable(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    by_name = with_running(per, [F.col("source").asc_nulls_last()], {}).withColumnRenamed("_rank", "number")
+    weighed = by_name.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")))
+    weighed = weighed.withColumn("_cap", most * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
+    whole = weighed.agg((share * F.coalesce(F.sum("source_size"), F.lit(0))).alias("total"), F.coalesce(F.sum("_w"), F.lit(0.0)).alias("weight")).first()
+    order = [F.col("_ratio"), F.col("number")]
+    filled = durable(with_running(weighed, order, {"_caps": F.col("_cap"), "_ws": F.col("_w")}).withColumn("_level", (F.lit(float(whole["total"])) - F.col("_caps")) / (F.lit(float(whole["weight"])) - F.col("_ws"))))
+    first = filled.where("_ratio > _level").agg(F.min(F.struct("_rank", "_level")).alias("f")).first()["f"]
+    if first is None:
+        target = F.col("_cap")
+    else:
+        target = F.when(F.col("_rank") < first["_rank"], F.col("_cap")).otherwise(F.col("_w") * F.lit(first["_level"]))
+    return filled.select("source", "source_size", target.alias("target"), "number")
 
 
 def _uniform(*parts: Column) -> Column:
@@ -67,11 +64,11 @@ def _uniform(*parts: Column) -> Column:
 
 def _fold(items: Column, level: int) -> Column:
     """Pivotal steps over a block: struct of the open residual ``carry`` and the decided ``out``."""
-    item = "struct<tag:bigint,doc_id:bigint,size:bigint,whole:bigint,p:double>"
+    item = "struct<tag:bigint,doc_id:bigint,size:bigint,whole:bigint,p:double,handle:bigint>"
     start = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast(f"array<{item}>").alias("out"))
 
     def put(x: Column, p: Column) -> Column:
-        return F.struct(x["tag"].alias("tag"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["whole"].alias("whole"), p.cast("double").alias("p"))
+        return F.struct(x["tag"].alias("tag"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["whole"].alias("whole"), p.cast("double").alias("p"), x["handle"].alias("handle"))
 
     def meet(state: Column, x: Column) -> Column:
         a, b = state["carry"], x
@@ -92,13 +89,14 @@ def _fold(items: Column, level: int) -> Column:
 
 
 def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``doc_id, size, source_size, target, copies`` for ``doc_id, source, size``.
+    """``doc_id, size, source, source_size, target, copies, handle`` for ``doc_id, source, size`` and an optional ``handle``.
 
-    The word counts are written to the shared folder once; all levels of the tree then work on narrow rows.
+    Decisions do not depend on the handle, which only tells rows apart. The word counts are written to the shared folder once; all levels of the tree then work on narrow rows.
     """
-    sizes = durable(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size")))
+    handle = (F.col("handle") if "handle" in sizes.columns else F.lit(0)).cast("long").alias("handle")
+    sizes = durable(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size"), handle))
     total = sizes.count()
-    known = durable(targets(sizes, weights, share, most).withColumn("_s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
+    known = durable(targets(sizes, weights, share, most).withColumnRenamed("number", "_s"))
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.round(mean)
     share_of = F.when(F.abs(mean - near) < NEAR_WHOLE, near).otherwise(mean)
@@ -109,13 +107,14 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         "size",
         F.floor(share_of).cast("long").alias("whole"),
         (share_of - F.floor(share_of)).alias("p"),
+        "handle",
     )
     buckets, levels = 1, 0
     while buckets * FAN_IN < max(1, total // 8):
         buckets, levels = buckets * FAN_IN, levels + 1
     bucket = F.pmod(F.col("tag"), F.lit(buckets))
     like = F.floor(4 * F.log2(F.col("size") + 1.0)).cast("long")
-    item = F.struct("tag", "doc_id", "size", "whole", "p")
+    item = F.struct("tag", "doc_id", "size", "whole", "p", "handle")
     level = numbered.select("_s", like.alias("_like"), bucket.alias("_b"), item.alias("_x"))
     parts = []
     for depth in range(levels + 2):
@@ -144,20 +143,17 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         "source_size",
         "target",
         (F.col("_x.whole") + F.round("_x.p").cast("long")).alias("copies"),
+        F.col("_x.handle").alias("handle"),
     )
 
 
 def repeat(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row of ``docs`` as many times as the mix takes it, with its own columns."""
-    own = docs.columns
-    order = Window.partitionBy("doc_id").orderBy("size", F.col("source").asc_nulls_last())
-    sized = docs.withColumn("size", n_words(F.col(text))) if "size" not in own else docs.drop("size").withColumn("size", n_words(F.col(text)))
-    copies = plan(sized.select("doc_id", "source", "size")).withColumn("_r", F.row_number().over(order)).select(F.col("doc_id").alias("_id"), "_r", "copies")
-    marked = docs.withColumn("_size", n_words(F.col(text))).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("_size", F.col("source").asc_nulls_last()))
-    )
-    joined = marked.join(copies, marked["doc_id"].eqNullSafe(copies["_id"]) & (marked["_r"] == copies["_r"])).where("copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[marked[f"`{c}`"] for c in own])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = durable(docs.select(row, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col(text)).alias("_n"), F.monotonically_increasing_id().alias("_handle")))
+    planned = plan(held.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_n").alias("size"), F.col("_handle").alias("handle")))
+    joined = held.join(planned.where("copies > 0").select("handle", "copies"), F.col("_handle") == F.col("handle"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 @query("op5_mixing")
