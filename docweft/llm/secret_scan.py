@@ -11,7 +11,7 @@ makes from documented formats: real secret shapes against cards, time stamps, di
 Everything runs as DataFrame expressions and the JVM's own forest; texts never leave their row until a candidate is found.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated findings (``redact`` treats equal rows
-alike); an empty table gives an empty result; null ids stay null; extra columns are kept by ``redact``.
+alike); an empty table gives an empty result; null ids stay null; extra columns are kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweft.llm.registry import query
+from docweft.llm.words import running_sums
 from docweft.session import durable, table
 
 #: Candidate shapes, words that speak for or against a secret, dictionary parts.
@@ -157,11 +158,7 @@ def _placed(text: Column, pattern: str) -> Column:
 
     def each(both):
         h, g = both["h"], both["g"]
-        ends = F.aggregate(
-            F.sequence(F.lit(0), F.size(h) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-            lambda s, i: F.struct((s["at"] + F.length(F.get(g, i)) + F.length(F.get(h, i))).alias("at"), F.array_append(s["all"], s["at"] + F.length(F.get(g, i))).alias("all")),
-        )["all"]
+        ends = F.zip_with(running_sums(F.transform(h, lambda x, i: F.length(F.get(g, i)) + F.length(x))), h, lambda a, x: a - F.length(x))
         joined = F.zip_with(g, h, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
         return F.transform(
             F.array(F.struct(ends.alias("s"), joined.alias("z"))),
@@ -202,25 +199,23 @@ def scan(docs: DataFrame, text: str = "text", model: RandomForestClassificationM
 def redact(docs: DataFrame, text: str = "text", model: RandomForestClassificationModel | None = None) -> DataFrame:
     """The rows of ``docs`` with every finding replaced by ``MASK`` and ``n_chars``, where there is one, counted anew."""
     own = docs.columns
-    key = [F.col("doc_id").alias("_id"), F.xxhash64(F.col(text)).alias("_key")]
-    found = scan(docs.select(*key, F.col(text).alias("_text")), "_text", model).select("_id", "_key", "start", F.length("hit").alias("n"))
-    spans = durable(found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("_spans")))
-    marked = docs.withColumn("_key", F.xxhash64(F.col(text)))
-    joined = marked.join(spans, marked["doc_id"].eqNullSafe(spans["_id"]) & (marked["_key"] == spans["_key"]), "left")
-    whole = F.col(text)
-    cut = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        # A finding that begins inside the one before it only lengthens what its mask covers.
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["start"] + x["n"]).alias("at"),
-            F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], whole.substr(s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(MASK))).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], whole.substr(s["at"].cast("int") + 1, F.length(whole))),
-    )
-    out = joined.withColumn("_new", F.when(F.col("_spans").isNull(), whole).otherwise(cut))
-    fresh = {text: F.col("_new")} | ({"n_chars": F.length("_new").cast("long")} if "n_chars" in own else {})
-    return out.select(*[fresh[c].alias(c) if c in fresh else marked[f"`{c}`"] for c in own])
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
+    held = docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_whole"))
+    found = scan(held.select("_id", "_key", "_whole"), "_whole", model).select("_id", "_key", "start", (F.col("start") + F.length("hit")).alias("end")).distinct()
+    # Findings that overlap give one span. A window holds the findings of one text, equal texts reduced to one.
+    order = Window.partitionBy("_id", "_key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") < F.col("_reach"), 0).otherwise(1)).over(order)
+    merged = found.withColumn("_reach", reach).withColumn("_island", island).groupBy("_id", "_key", "_island").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    spans = durable(merged.groupBy(F.col("_id").alias("_of"), F.col("_key").alias("_text_key")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans")))
+    joined = held.join(spans, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_text_key")), "left")
+    ended = lambda i: F.coalesce(F.get(F.col("_spans"), i)["hi"], F.lit(0)).cast("int")
+    parts = F.transform("_spans", lambda x, i: F.col("_whole").substr(ended(i - 1) + 1, x["lo"].cast("int") - ended(i - 1)))
+    tail = F.col("_whole").substr(ended(F.size("_spans") - 1) + 1, F.length("_whole"))
+    cut = F.concat(F.array_join(parts, MASK), F.lit(MASK), tail)
+    out = joined.withColumn("_new", F.when(F.col("_spans").isNull(), F.col("_whole")).otherwise(cut))
+    new = {text: F.col("_new")} | ({"n_chars": F.length("_new").cast("long")} if "n_chars" in own else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in own])
 
 
 @query("op9_secret_scan")

@@ -28,3 +28,21 @@ def count_chars(text: Column, chars: str) -> Column:
     """Occurrences of any of ``chars`` in ``text`` (0 for null), as long."""
     whole = F.coalesce(text, F.lit(""))
     return (F.length(whole) - F.length(F.translate(whole, chars, ""))).cast("long")
+
+
+def running_sums(values: Column, block: int = 128) -> Column:
+    """Sums of an array of integers up to and with each place.
+
+    Appending to an array copies it, so sums grow inside blocks, whose own sums grow over blocks.
+    """
+
+    def grown(array: Column, start: Column) -> Column:
+        empty = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(array, empty, lambda s, x: F.struct((s["at"] + x).cast("int").alias("at"), F.array_append(s["all"], (s["at"] + x).cast("int")).alias("all")))["all"]
+
+    def each(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: (a + x).cast("int")))
+        return F.flatten(F.transform(F.array(grown(sums, F.lit(0))), lambda before: F.transform(blocks, lambda b, k: grown(b, F.coalesce(F.get(before, k - 1), F.lit(0)))))[0])
+
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(block)), lambda i: F.slice(values, i + 1, block))
+    return F.transform(F.array(cut), each)[0]
