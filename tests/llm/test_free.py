@@ -173,15 +173,29 @@ def test_pii_base_equals_the_patterns(spark, sf):
         assert pii.base_spans(text) == plain_base(text)
 
 
-def test_pii_candidates_and_rows(odd, none):
-    model = pii.train()
+EXAM = [  # text, the spans to add to the base
+    ("write to anna.berg (at) nordmail (dot) net today", "email:9:42"), ("contact: john[at]mail[dot]org", "email:9:29"), ("we met at noon dot nobody came", ""),
+    ("host 10[.]0[.]12[.]7 is down", "ip:5:20"), ("version 10 . 400 . 3 . 2 shipped", ""), ("card: 4111.1111.1111.1111 expires", "card:6:25"),
+    ("order 4111.1111.1111.1112 shipped", ""), ("phone: (030) 555-1234 thanks", "phone:7:21"), ("page 10-20-30 of section 12.14.16", ""), ("a@b.co or 1234 5678 9012 3456", "email:0:6"),
+]
+
+
+def test_pii_candidates_and_rows(spark, odd, none):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = pii.train(docs)
     x, y = pii.labelled_candidates(800, seed=77)
-    chosen = model.chance(x) >= model.threshold
-    assert y[chosen].mean() > 0.95 and chosen[y == 1].mean() > 0.9
+    chosen = model.accepts(x)
+    assert y[chosen].mean() > 0.95 and chosen[y == 1].mean() > 0.85
+    cx, cy = pii.contextual_candidates(pii.matches_in_context([r.text for r in docs.where("doc_id % 3 = 0").collect()]), seed=99)
+    chosen = model.accepts(cx)
+    assert len(cy) > 50 and cy[chosen].mean() > 0.9 and chosen[cy == 1].mean() > 0.6
     spans = lambda t: pii.joined(pii.all_spans(t, model)[1])
-    assert spans("contact: john[at]mail[dot]org") == "email:9:29" and spans(CLEAN) == "" and spans("a@b.co or 1234 5678 9012 3456") == "email:0:6"
+    assert [(t, spans(t)) for t, _ in EXAM] == EXAM and spans(CLEAN) == ""
     rows = pii.find(odd, model=model).collect()
-    assert len(rows) == len(ODD) and all(r.spans == "" for r in rows) and pii.find(none, model=model).count() == 0
+    assert len(rows) == len(ODD) and all(r.spans == "" for r in rows) and pii.find(none).count() == 0
+    long = "x " * 20_000 + "mail[at]host[dot]org " + "y " * 100
+    twice = spark.createDataFrame([(1, long, 1), (1, long, 1), (None, None, 2)], "doc_id long, text string, spans int")
+    assert sorted(r.spans for r in pii.find(twice, model=model).collect()) == ["", *["email:40000:40020"] * 2]
 
 
 # Packing
