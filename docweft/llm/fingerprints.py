@@ -2,18 +2,19 @@
 
 A k-mer of code points is a closed syncmer if the smallest hash among its s-mers lies at its first or last position. That
 depends on the k-mer alone, so an edit elsewhere never moves an anchor, and any stretch of ``k - s + 1`` k-mers holds one.
-A text's fingerprint is the ``ANCHORS`` smallest distinct syncmer hashes with the place of their first occurrence. Likeness
-of two fingerprints is the share of common hashes among the smallest hashes of both together, which estimates the Jaccard
-similarity of the anchor sets; ``shift`` is the most frequent distance between the places of common anchors, so that a
-match that keeps its position reads 0.
+A text's fingerprint has every distinct syncmer hash with the place of its first occurrence, so that it grows with the text
+and can be matched by position anywhere. Likeness of two fingerprints is the Jaccard similarity of their anchor sets, exactly;
+``shift`` is the most frequent distance between the places of common anchors, so that a match that keeps its position reads 0.
 
-Neighbours are found without a global sort in one task: ids are cut into ranges by quantiles, each range is one group of
-rows in id order, and a range's first document also goes to the range before it (the very first to the last range), where
-it only serves as a neighbour. Texts are shuffled once and stream through one Arrow map that holds two documents at a time.
+Neighbours are found without a global sort in one task: rows are counted per (id, text), ranked by ranges, and cut into
+groups of like numbers of rows whose first keys are known; a group's first document also goes to the group before it (the
+very first to the last group), where it only serves as a neighbour. Texts are shuffled once and stream through one Arrow map
+that holds two documents at a time. Of rows that repeat more often than a group has rows, one represents all.
 
 Defined cases: null text is an empty text; an empty text has the empty fingerprint, like only another empty one (1.0); a
-text shorter than a k-mer is one anchor; ids that repeat follow one another by text; rows without an id come first, before
-the smallest id; a single document is its own next one; an empty table gives an empty result; other columns are ignored.
+text without a closed syncmer is one anchor; ids that repeat follow one another by a hash of the text; rows without an id
+come first, before the smallest id; a single document is its own next one; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweft.llm.ranks import with_running
 from docweft.llm.registry import query
 from docweft.llm.shingles import mixed
-from docweft.session import table
-
-#: Code points of a k-mer and of the inner substring; anchors kept in a fingerprint.
-K = 20
-S = 8
-ANCHORS = 64
+from docweft.session import durable, table
+
+#: Code points of a k-mer and of the inner substring: one k-mer in 25 is an anchor.
+K = 64
+S = 16
+#: Hexadecimal digits of a hash in a written fingerprint.
+DIGITS = 12
+#: Rows of a group, and groups at most (their first keys go to every task: 16 bytes each); beyond that groups grow.
+GROUP_ROWS = 2000
+MOST_GROUPS = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shift bigint"
 
@@ -67,40 +73,39 @@ def syncmers(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np
         lowest = np.minimum(lowest[: len(lowest) - step], lowest[step:])
         have += step
     at = np.flatnonzero((inner[: len(lowest)] == lowest) | (inner[span - 1 :] == lowest))
+    if not len(at):
+        return rolling(points, len(points)), np.zeros(1, dtype=np.int64)
     half = rolling(points, k // 2)
     value = mixed(half[at] * np.uint64(MULTIPLIER) + half[at + k - k // 2])
     return value, at
 
 
-def sketch(text: str, anchors: int = ANCHORS) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest distinct anchor hashes, ascending, and the first place of each."""
+def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchor hashes, ascending, and the first place of each."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     value, at = syncmers(points)
-    if len(value) > 4 * anchors:  # the smallest few can be found before they are sorted
-        limit = np.partition(value, 4 * anchors)[4 * anchors]
-        some = value <= limit
-        if len(np.unique(value[some])) > anchors:
-            value, at = value[some], at[some]
     kept, first = np.unique(value, return_index=True)
-    return kept[:anchors], at[first[:anchors]]
+    return kept, at[first]
 
 
 def written(part: tuple[np.ndarray, np.ndarray]) -> str:
-    """``hash@place`` of every anchor, in hexadecimal, joined by commas."""
-    return ",".join(f"{h:016x}@{p:x}" for h, p in zip(part[0].tolist(), part[1].tolist(), strict=True))
+    """``hash@place`` of every anchor by place, in hexadecimal, joined by commas."""
+    order = np.argsort(part[1], kind="stable")
+    top = (part[0] >> np.uint64(64 - 4 * DIGITS))[order].tolist()
+    return ",".join(f"{h:0{DIGITS}x}@{p:x}" for h, p in zip(top, part[1][order].tolist(), strict=True))
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], anchors: int = ANCHORS) -> tuple[float, int | None]:
-    """Share of common hashes among the smallest of both, and the most frequent shift of their places."""
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, int | None]:
+    """Jaccard similarity of the anchor sets, and the most frequent shift of the places of common anchors."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0])), None
-    both = np.union1d(a[0], b[0])[:anchors]
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    hit = np.isin(common, both, assume_unique=True)
-    if not hit.any():
+    spot = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][spot] == a[0]
+    common = int(hit.sum())
+    if not common:
         return 0.0, None
-    shifts, n = np.unique(b[1][j[hit]] - a[1][i[hit]], return_counts=True)
-    return float(hit.sum() / len(both)), int(shifts[np.argmax(n)])
+    shifts, n = np.unique(b[1][spot[hit]] - a[1][hit], return_counts=True)
+    return common / (len(a[0]) + len(b[0]) - common), int(shifts[np.argmax(n)])
 
 
 def edited_text(text: str, following: str) -> str:
@@ -109,17 +114,44 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _router(ids: np.ndarray, hashes: np.ndarray):
+    """Arrow map: ``doc_id, k, h, times, text`` to ``part, tail, k, h, doc_id, times, text``.
+
+    ``ids, hashes``: first keys of all groups, ascending. A row goes to the group of its key, and if its key is a group's
+    first, as a tail to the group before.
+    """
+    last = len(ids) - 1
+
+    def group(k: int, h: int) -> int:
+        low, high = np.searchsorted(ids, k, "left"), np.searchsorted(ids, k, "right")
+        return int(low + np.searchsorted(hashes[low:high], h, "right") - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, h = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            part = np.searchsorted(ids, k, "right") - 1
+            for i in np.flatnonzero(ids[np.maximum(part, 0)] == k):  # keys that share an id with a group's first one
+                part[i] = group(int(k[i]), int(h[i]))
+            first = (ids[part] == k) & (hashes[part] == h)
+            take = np.concatenate([np.arange(len(k)), np.flatnonzero(first)])
+            tail = np.arange(len(take)) >= len(k)
+            to = np.where(tail, np.where(part[take] > 0, part[take] - 1, last), part[take])
+            moved = batch.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(tail), moved.column(1), moved.column(2), moved.column(0), moved.column(3), moved.column(4)], names=["part", "tail", "k", "h", "doc_id", "times", "text"])
+
+    return run
+
+
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map over ``range, tail, doc_id, text`` in order: every row but tails, with the row after it."""
+    """Arrow map over ``part, tail, doc_id, times, text`` in order: every row but tails, with the row after it."""
     held, rows = None, []
 
     def finish(first, second):
-        sketch_one, sketch_two = first[3], second[3]
         edited = edited_text(first[2], second[2])
         third = sketch(edited)
-        near, shift = likeness(sketch_one, third)
+        near, shift = likeness(first[3], third)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return first[1], len(first[2]), digest, written(sketch_one), written(third), near, likeness(sketch_one, sketch_two)[0], shift
+        return first[1], len(first[2]), digest, written(first[3]), written(third), near, likeness(first[3], second[3])[0], shift
 
     def flush():
         columns = list(zip(*rows, strict=True))
@@ -129,49 +161,49 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for i in range(batch.num_rows):
-            part, tail, doc_id, text = (batch.column(c)[i].as_py() for c in range(4))
+            part, tail, doc_id, times, text = (batch.column(c)[i].as_py() for c in range(5))
             now = (part, doc_id, text or "", sketch(text or ""))
             if held is not None and held[0] == part:
                 rows.append(finish(held, now))
-                if len(rows) >= 500:
-                    yield flush()
-                    rows = []
             held = None if tail else now
+            copies = 0 if tail else times - 1  # all but the last of equal rows are followed by their like
+            if copies:
+                alike = finish(now, now)
+                for _ in range(copies):
+                    rows.append(alike)
+                    if len(rows) >= 500:
+                        yield flush()
+                        rows = []
+            if len(rows) >= 500:
+                yield flush()
+                rows = []
     if rows:
         yield flush()
 
 
-def fingerprints(docs: DataFrame, text: str = "text", rows_per_range: int = 2000) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses (columns of ``SCHEMA``)."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = base.count()
+    whole = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(whole).alias("h"), whole.alias("text"))
+    keys = durable(base.groupBy("k", "h").agg(F.count(F.lit(1)).alias("m")))
+    total = keys.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     if not total:
         return spark.createDataFrame([], SCHEMA)
-    n = int(min(4000, max(1, -(-total // rows_per_range))))
-    cuts = sorted(set(base.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    edges = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    spot = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    place = F.when(F.col("doc_id").isNull(), 0).otherwise(spot).cast("int")
-    # One row per range (at most 4000): the first document of each, by id alone.
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("h"))
-    if base.where("doc_id IS NULL").limit(1).count() or base.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        firsts = base.groupBy(place.alias("p")).agg(F.min(order).alias("f")).select("p", F.col("f.k").alias("k"), F.col("f.h").alias("h")).collect()
-        tagged = base.withColumn("_h", F.coalesce(F.sha2("text", 256), F.lit("")))
-    else:
-        firsts = [(r["p"], r["k"], "") for r in base.groupBy(place.alias("p")).agg(F.min("doc_id").alias("k")).collect()]
-        tagged = base.withColumn("_h", F.lit(""))
-    firsts = sorted((int(r[0]), int(r[1]), r[2]) for r in firsts)
-    before = {p: firsts[i - 1][0] for i, (p, _, _) in enumerate(firsts)}
-    heads = spark.createDataFrame([(k, h, before[p]) for p, k, h in firsts], "hk bigint, hh string, back int")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    joined = tagged.withColumn("_p", place).withColumn("_k", key)
-    row = lambda p, tail: F.struct(p.alias("part"), F.lit(tail).alias("tail"))
-    met = joined.join(F.broadcast(heads), (joined["_k"] == heads["hk"]) & (joined["_h"] == heads["hh"]), "left")
-    both = F.when(F.col("hk").isNull(), F.array(row(F.col("_p"), False))).otherwise(F.array(row(F.col("_p"), False), row(F.col("back"), True)))
-    placed = met.withColumn("_to", F.explode(both)).select("_to.part", "_to.tail", "doc_id", "text", "_k", "_h")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, 2000))
-    ready = placed.repartition(parts, "part").sortWithinPartitions("part", "tail", "_k", "_h").select("part", "tail", "doc_id", "text")
+    size = max(group_rows, -(-total // MOST_GROUPS))
+    # Rows that repeat beyond a group's size are few keys; one row with a count stands for each.
+    many = durable(keys.where(F.col("m") > size).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "m"))
+    here = (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h"))
+    plain = base.select("doc_id", "k", "h", F.lit(1).cast("long").alias("times"), "text")
+    if many.limit(1).count():
+        hot = base.join(F.broadcast(many), here).groupBy("k", "h", "m").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+        plain = plain.join(F.broadcast(many), here, "left_anti").unionByName(hot.select("doc_id", "k", "h", F.col("m").alias("times"), "text"))
+    ranked = with_running(keys, [F.col("k"), F.col("h")], {"_before": F.when(F.col("m") > size, 1).otherwise(F.col("m"))})
+    cuts = ranked.groupBy(F.floor(F.col("_before") / size).alias("_g")).agg(F.min(F.struct("k", "h")).alias("c")).select("c.*").collect()
+    first = np.array(sorted((r["k"], r["h"]) for r in cuts), dtype=np.int64)
+    placed = plain.mapInArrow(_router(first[:, 0].copy(), first[:, 1].copy()), "part int, tail boolean, k bigint, h bigint, doc_id bigint, times bigint, text string")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(first), 100_000))
+    ready = placed.repartition(parts, "part").sortWithinPartitions("part", "tail", "k", "h").select("part", "tail", "doc_id", "times", "text")
     return ready.mapInArrow(_fingerprint, SCHEMA)
 
 

@@ -137,7 +137,7 @@ def test_passages_equal_brute_force(spark, none):
 def test_fingerprints(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rows = docs.orderBy("doc_id").collect()
-    got = {r.doc_id: r for r in fingerprints.fingerprints(docs, rows_per_range=17).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs, group_rows=17).collect()}
     assert len(got) == len(rows)
     for one, two in zip(rows, rows[1:] + rows[:1], strict=True):
         half = len(one.text) // 2
@@ -149,6 +149,46 @@ def test_fingerprints(spark, sf, odd, none):
     assert alone.near_next == 1.0
 
 
+def plain_sketch(text):
+    """Closed syncmers by comparing every inner substring's hash, in plain Python over the same hash of substrings."""
+    k, s = fingerprints.K, fingerprints.S
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    whole = lambda a, b: int(fingerprints.rolling(points[a:b], b - a)[0])
+    found = {}
+    for i in range(len(points) - k + 1):
+        inner = [whole(i + j, i + j + s) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.setdefault(int(fingerprints.syncmers(points[i : i + k])[0][0]), i)
+    if not found and len(points):
+        found = {whole(0, len(points)): 0}
+    return found
+
+
+def test_fingerprints_equal_plain_python(spark):
+    rng = np.random.default_rng(8)
+    make = lambda n: "".join(rng.choice(list("abcdé 日\n"), n))
+    base = make(500)
+    texts = {5: base, 2: base[:250] + make(250), 9: None, 11: "", 12: "short", 20: make(70), 21: make(100), 30: base + make(40)}
+    df = spark.createDataFrame([(*x, "z") for x in texts.items()], "doc_id long, text string, k string")
+    got = {r.doc_id: r for r in fingerprints.fingerprints(df, group_rows=2).collect()}
+    ids = sorted(texts)
+    for one, two in zip(ids, ids[1:] + ids[:1], strict=True):
+        a, b = texts[one] or "", texts[two] or ""
+        e = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        sa, sb, se = map(plain_sketch, (a, b, e))
+        like = lambda x, y: len(x.keys() & y.keys()) / len(x.keys() | y.keys()) if x or y else 1.0
+        assert got[one].fingerprint == ",".join(f"{h >> 16:012x}@{p:x}" for h, p in sorted(sa.items(), key=lambda x: x[1]))
+        assert (got[one].near_edited, got[one].near_next) == pytest.approx((like(sa, se), like(sa, sb)))
+
+
+def test_fingerprints_of_rows_that_repeat_and_have_no_id(spark):
+    rows = [(None, f"text {i % 3} " * 30) for i in range(9)] + [(7, CLEAN)] * 11 + [(7, CLEAN + " x"), (8, "last " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.fingerprints(df, group_rows=4).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(i), len(t)) for i, t in rows)
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id == 7) >= 10 and sum(r.near_next == 1.0 for r in got if r.doc_id is None) == 6
+
+
 def test_closed_syncmers_depend_on_the_kmer_alone():
     points = np.random.default_rng(1).integers(97, 123, 3000).astype(np.uint32)
     value, at = fingerprints.syncmers(points)
