@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm.components import components
+from docweft.llm.ranks import with_running
 from docweft.llm.registry import query
 from docweft.llm.shingles import mixed, shingle_sets, slices
 from docweft.llm.words import SPACE_RUN
@@ -160,23 +160,6 @@ def matched_depth(measured: dict[int, int], threshold: float, trees: int = TREES
     return depth
 
 
-def _blocker(most_sets: int, most_shingles: int):
-    """Arrow map over members in the order of ``component, label``: adds ``block``, a run of members within the limits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sets, shingles, last = TaskContext.get().partitionId() << 32, 0, 0, None
-        for batch in batches:
-            out = np.empty(batch.num_rows, dtype=np.int64)
-            for i, (component, n) in enumerate(zip(batch.column("component").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-                if component != last or sets >= most_sets or shingles + n > most_shingles:
-                    block, sets, shingles, last = block + 1, 0, 0, component
-                out[i] = block
-                sets, shingles = sets + 1, shingles + n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "block"])
-
-    return run
-
-
 def _links(values: np.ndarray, bounds: np.ndarray, block: np.ndarray, first: int, second: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row numbers) at the threshold: within block ``first`` if both are the same, else between the two."""
     n = np.diff(bounds)
@@ -310,14 +293,17 @@ def _joined(docs: DataFrame, text: str, threshold: tuple[int, int], trees: int,
     roots = grouped.select(F.col("component").alias("node"), "component").distinct()
     member = grouped.unionByName(roots).withColumnRenamed("node", "key").join(sets, "key")
     member = member.select("component", F.expr(f"substring(labels, 1, {DEEPEST * VALUE})").alias("label"), "key", "sid", "copies", "n", "at_id", "at_tk", "labels")
-    lined = member.repartitionByRange("component", "label", "key").sortWithinPartitions("component", "label", "key")
-    schema = "component bigint, label binary, key bigint, sid binary, copies bigint, n bigint, at_id bigint, at_tk bigint, labels binary, block bigint"
-    placed = durable(lined.mapInArrow(_blocker(BLOCK_SETS, BLOCK_SHINGLES), schema))
+    lined = durable(with_running(member, [F.col("component"), F.col("label"), F.col("key")], {"_ahead": F.col("n")}))
+    starts = durable(lined.groupBy("component").agg(F.min("_rank").alias("_r"), F.min("_ahead").alias("_a")))
+    # Both numbers grow along the component, so a block is where neither moves on.
+    turn = F.floor((F.col("_rank") - F.col("_r")) / BLOCK_SETS) + F.floor((F.col("_ahead") - F.col("_a")) / BLOCK_SHINGLES)
+    placed = lined.join(starts, "component").select("component", "key", "sid", "copies", "at_id", "at_tk", "labels", F.xxhash64("component", turn).alias("block"))
+    placed = durable(placed)
     several = placed.groupBy("component").agg(F.min("block").alias("_a"), F.max("block").alias("_b"))
     alone = several.where("_a = _b").select(F.col("_a").alias("first"), F.col("_a").alias("second"))
     wide = placed.join(several.where("_a < _b").select("component"), "component").select("block", "labels", tree).select("block", F.xxhash64("_t", label).alias("node"))
     crowd = durable(wide.groupBy("node").agg(F.array_sort(F.collect_set("block")).alias("_bs")))
-    pairs = crowd.select(F.posexplode("_bs").alias("_i", "first"), "_bs").select("first", F.explode(F.slice("_bs", F.col("_i") + 1, F.size("_bs"))).alias("second"))
+    pairs = crowd.select("_bs").distinct().select(F.posexplode("_bs").alias("_i", "first"), "_bs").select("first", F.explode(F.slice("_bs", F.col("_i") + 1, F.size("_bs"))).alias("second"))
     tasks = durable(alone.unionByName(pairs.distinct()))
     ends = F.array_distinct(F.array("first", "second"))
     met = tasks.select(F.xxhash64("first", "second").alias("task"), "first", "second", F.explode(ends).alias("block")).join(placed.select("block", "key", "sid", "copies", "at_id", "at_tk"), "block")
@@ -349,7 +335,7 @@ def _joined(docs: DataFrame, text: str, threshold: tuple[int, int], trees: int,
     class_id = F.when(F.col("best_id").isNull() | F.col("_id").isNotNull(), F.col("_c")).otherwise(F.col("best_id"))
     named_once = named.join(again, F.col("best_id") == F.col("_id"), "left").withColumn("class_id", class_id)
     info = durable(by_set.join(named_once, "_c").select("sid", F.col("key").alias("copy_id"), "class_id", "n_links", "best_id", "best_tk"))
-    release(sets, shared, placed, crowd, tasks, verified, classes, by_set, named)
+    release(sets, shared, lined, starts, placed, crowd, tasks, verified, classes, by_set, named)
     return signed.join(info, "sid", "left").select("doc_id", "tk", "sid", "copy_id", "class_id", "n_links", "best_id", "best_tk")
 
 

@@ -239,12 +239,13 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), F.col(text).alias("text"))
     spans = durable(keyed.mapInArrow(_spans, "doc_id bigint, tk bigint, lo int, size int, anchor bigint, span bigint"))
-    place = F.struct("doc_id", "tk", "lo", "size")
-    classes = durable(spans.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_at")))
+    # Any span of a class may stand for it; the four values are those of one row.
+    at = [F.first(n).alias(n) for n in ("doc_id", "tk", "lo", "size")]
+    classes = durable(spans.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("_n"), *at))
     reclaim(spark)
     # Joins read written tables on both sides, so that a hot anchor or class can be split over tasks at run time.
     several = durable(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c"), F.min("_n").alias("_least")).where("_c > 1 AND _least = 1").select("anchor", (F.col("_c") > HOT_CLASSES).alias("hot")))
-    chosen = classes.join(several, "anchor").select("anchor", "span", "hot", "_at.*")
+    chosen = classes.join(several, "anchor").select("anchor", "span", "hot", "doc_id", "tk", "lo", "size")
     of_doc = chosen.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "span", "hot", "lo", "size")).alias("_want"))
     met = keyed.join(of_doc.withColumnsRenamed({"doc_id": "_d", "tk": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tk") == F.col("_t")))
     data = met.select(F.encode("text", "UTF-8").alias("_b"), "_want").select("_b", F.explode("_want").alias("_w"))
@@ -336,18 +337,17 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     tk = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tk.alias("tk"), F.col(text).alias("text")).withColumn("dk", F.xxhash64("doc_id", "tk"))
     spans = durable(keyed.select("dk", "text").mapInArrow(_word_spans, "dk bigint, lo int, size int, anchor bigint, span bigint"))
-    classes = durable(spans.groupBy("anchor", "span").agg(F.min("dk").alias("low"), F.max("dk").alias("high")))
+    # Any span of a class may stand for it; the three values are those of one row.
+    at = [F.first(n).alias(f"at_{n}") for n in ("dk", "lo", "size")]
+    classes = durable(spans.groupBy("anchor", "span").agg(F.min("dk").alias("low"), F.max("dk").alias("high"), *at))
     several = durable(
         classes.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("_c"), F.min("low").alias("_l"), F.max("high").alias("_h"), F.bool_or(F.col("low") == F.col("high")).alias("_single"))
         .where("_c > 1 AND _l < _h AND _single")
         .select("anchor")
     )
-    # The document with the smallest key stands for a class; all spans of a class are of one size.
-    places = spans.join(classes.join(several, "anchor").select("anchor", "span", "low", "high"), ["anchor", "span"]).where("dk = low")
-    chosen = places.groupBy("anchor", "span", "low", "high", "size").agg(F.min("lo").alias("lo"))
-    want = F.struct("anchor", "span", "low", "high", "lo", "size")
-    of_doc = durable(chosen.groupBy(F.col("low").alias("_k")).agg(F.collect_list(want).alias("_want")))
+    want = F.struct("anchor", "span", "low", "high", F.col("at_lo").alias("lo"), F.col("at_size").alias("size"))
+    of_doc = durable(classes.join(several, "anchor").groupBy(F.col("at_dk").alias("_k")).agg(F.collect_list(want).alias("_want")))
     one = keyed.select("dk", "text").join(of_doc, F.col("dk") == F.col("_k"))
     windows = durable(one.select("text", "_want").mapInArrow(_word_windows, "anchor bigint, span bigint, low bigint, high bigint, windows array<bigint>"))
     each = windows.select("anchor", "span", "low", "high", F.posexplode("windows").alias("_o", "_w"))
