@@ -336,14 +336,18 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     tk = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tk.alias("tk"), F.col(text).alias("text")).withColumn("dk", F.xxhash64("doc_id", "tk"))
-    spans = durable(keyed.select("dk", "text").mapInArrow(_word_spans, "dk bigint, lo int, size int, anchor bigint, span bigint"))
+    every = durable(keyed.select("dk", "text").mapInArrow(_word_spans, "dk bigint, lo int, size int, anchor bigint, span bigint"))
+    # Most anchors lie in one document only; what follows works on the spans of the others.
+    met_twice = durable(every.groupBy("anchor").agg(F.min("dk").alias("_l"), F.max("dk").alias("_h")).where("_l < _h").select("anchor"))
+    spans = durable(every.join(met_twice, "anchor", "left_semi"))
+    release(every, met_twice)
     # Any span of a class may stand for it; the three values are those of one row.
     at = [F.first(n).alias(f"at_{n}") for n in ("dk", "lo", "size")]
     classes = durable(spans.groupBy("anchor", "span").agg(F.min("dk").alias("low"), F.max("dk").alias("high"), *at))
     several = durable(
         classes.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("low").alias("_l"), F.max("high").alias("_h"), F.bool_or(F.col("low") == F.col("high")).alias("_single"))
-        .where("_c > 1 AND _l < _h AND _single")
+        .agg(F.count(F.lit(1)).alias("_c"), F.bool_or(F.col("low") == F.col("high")).alias("_single"))
+        .where("_c > 1 AND _single")
         .select("anchor")
     )
     want = F.struct("anchor", "span", "low", "high", F.col("at_lo").alias("lo"), F.col("at_size").alias("size"))
