@@ -137,7 +137,7 @@ def with_citation(c: Column, n: Column) -> Column:
     """``[n]`` before the final punctuation."""
     text, mark = F.trim(c), F.concat(F.lit(" ["), n, F.lit("]"))
     body = text.substr(F.lit(1), F.length(text) - 1)
-    return F.when(text.rlike(r"[.!?]$"), F.concat(F.rtrim(body), mark, F.right(text, F.lit(1)))).otherwise(F.concat(text, mark))
+    return F.when(text.rlike(r"[.!?]\z"), F.concat(F.rtrim(body), mark, F.right(text, F.lit(1)))).otherwise(F.concat(text, mark))
 
 
 def relation_text(c: Column) -> Column:

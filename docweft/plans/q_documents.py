@@ -59,11 +59,7 @@ query("kg_parse_relations")(
 query("kg_build", with_ctes(("chunks",), "SELECT document_id, least(24, count(*))::BIGINT AS processed, CASE WHEN count(*) <= 24 THEN 'ready' ELSE 'partial' END AS status FROM chunks GROUP BY 1"))(lambda s, f: frame("chunks", s, f).groupBy("document_id").agg(F.least(F.lit(24), F.count("*")).cast("long").alias("processed"), F.when(F.count("*") <= 24, "ready").otherwise("partial").alias("status")))
 query("qa_rerank")(lambda s, f: frame("dense", s, f).withColumn("qa", F.round(F.abs(F.hash("question_id", "chunk_id")) / float(1 << 31), 6)).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("qa"), "rank"))).where("place <= 8").select("question_id", "chunk_id", "place"))
 query("route_query", with_ctes(("questions",), "SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'graph' WHEN question_id % 3 = 1 THEN 'semantic' ELSE 'both' END AS route FROM questions"))(lambda s, f: pairs(s, f).select("question_id", F.when(c("question_id") % 3 == 0, "graph").when(c("question_id") % 3 == 1, "semantic").otherwise("both").alias("route")))
-query("perturbation_robustness", with_ctes(("answers",), "SELECT category, round(avg((lower(trim(predicted)) = lower(trim(gold)))::INT), 6) AS agreement FROM answers GROUP BY 1"))(lambda s, f: frame("answers", s, f).groupBy("category").agg(F.round(F.avg((F.lower(F.trim("predicted")) == F.lower(F.trim("gold"))).cast("int")), 6).alias("agreement")))
-query("table_extraction", with_ctes(("lines",), "SELECT document_id, count(*)::BIGINT AS rows, max(len(string_split(content, '|')))::BIGINT AS columns FROM lines WHERE contains(content, '|') GROUP BY 1"))(lambda s, f: frame("lines", s, f).where(c("content").contains("|")).groupBy("document_id").agg(F.count("*").alias("rows"), F.max(F.size(F.split("content", r"\|"))).cast("long").alias("columns")))
-query("list_preservation", with_ctes(("answers",), "SELECT category, round(sum(contains(predicted, substr(gold, 1, 6))::INT)::DOUBLE / count(*), 6) AS kept FROM answers GROUP BY 1"))(lambda s, f: frame("answers", s, f).groupBy("category").agg(F.round(F.sum(c("predicted").contains(F.substring("gold", 1, 6)).cast("int")) / F.count("*"), 6).alias("kept")))
 query("topic_assemble", with_ctes(("islands",), "SELECT document_id, island, sum(strlen(content)) <= 60 AS complete FROM islands GROUP BY 1, 2"))(lambda s, f: frame("islands", s, f).groupBy("document_id", "island").agg((F.sum(F.octet_length("content")) <= 60).alias("complete")))
-query("dual_path", with_ctes(("dense", "edges"), "SELECT question_id, chunk_id, round(0.7::DOUBLE / (60 + rank), 8) AS fusion_score FROM dense WHERE rank <= 3"))(lambda s, f: frame("dense", s, f).where("rank <= 3").select("question_id", "chunk_id", F.round(0.7 / (60 + c("rank")), 8).alias("fusion_score")))
 query("element_candidates", with_ctes(("tree",), "SELECT id, parent_id FROM tree WHERE parent_id LIKE 'n1%' QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY id) <= 10"))(lambda s, f: frame("tree", s, f).where("parent_id LIKE 'n1%'").withColumn("r", F.row_number().over(Window.partitionBy("parent_id").orderBy("id"))).where("r <= 10").select("id", "parent_id"))
 query("fuse_document_evidence", with_ctes(("headings",), "SELECT document_id, chunk_id, heading FROM headings WHERE chunk_index < 10"))(lambda s, f: frame("headings", s, f).where("chunk_index < 10").select("document_id", "chunk_id", "heading"))
 query("structured_query_controls", with_ctes(("dense", "lexical"), "SELECT 'dense' AS system, count(*)::BIGINT AS n FROM dense UNION ALL SELECT 'lexical', count(*)::BIGINT FROM lexical"))(lambda s, f: frame("dense", s, f).select(F.lit("dense").alias("system")).unionByName(frame("lexical", s, f).select(F.lit("lexical").alias("system"))).groupBy("system").agg(F.count("*").alias("n")))

@@ -89,8 +89,6 @@ DECIDE = "CASE WHEN delta < -5 THEN 'HARMFUL' WHEN delta > 5 THEN 'PROMISING' EL
 query("decide", with_ctes(("results",), f"SELECT document_id, {DECIDE} AS decision FROM (SELECT document_id, round(avg(score) FILTER (arm = 'O') - avg(score) FILTER (arm = 'F'), 6) AS delta FROM results GROUP BY 1)"))(
     lambda s, f: frame("results", s, f).groupBy("document_id").agg(F.round(F.avg(F.when(c("arm") == "O", c("score"))) - F.avg(F.when(c("arm") == "F", c("score"))), 6).alias("delta")).select("document_id", F.expr(DECIDE).alias("decision"))
 )
-query("human_review_summary", with_ctes(("results",), "SELECT category, arm, round(avg(score / 50), 6) AS fraction, count(*) FILTER (NOT correct) AS pending, count(*)::BIGINT AS n FROM results GROUP BY 1, 2"))(lambda s, f: frame("results", s, f).groupBy("category", "arm").agg(F.round(F.avg(c("score") / 50), 6).alias("fraction"), F.count_if(~c("correct")).alias("pending"), F.count(one).alias("n")))
-query("dual_rater_nhrs", with_ctes(("results",), "SELECT question_id, round(avg(score / 50), 6) AS nhrs FROM results GROUP BY 1 HAVING count(DISTINCT category) = 2"))(lambda s, f: frame("results", s, f).groupBy("question_id").agg(F.round(F.avg(c("score") / 50), 6).alias("nhrs"), F.count_distinct("category").alias("k")).where("k = 2").drop("k"))
 query("corpus_summary", with_ctes((), "SELECT lang, source, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2"))(lambda s, f: table(s, f, "documents").groupBy("lang", "source").agg(F.count(one).alias("n"), F.sum("n_chars").alias("chars")))
 query("dataset_stats", with_ctes(("judged",), "SELECT category, count(*)::BIGINT AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM judged), 6) AS ratio FROM judged GROUP BY 1"))(
     lambda s, f: frame("judged", s, f).groupBy("category").agg(F.count(one).alias("n")).withColumn("ratio", F.round(c("n") / F.sum("n").over(Window.partitionBy()), 6))
@@ -185,24 +183,18 @@ query("quality_buckets", with_ctes(("judged",), f"SELECT {BUCKETS} AS bucket, co
 query("verdict_rollup", with_ctes(("judged",), "SELECT category, count(*) FILTER (em) AS supported, round(count(*) FILTER (em)::DOUBLE / count(*), 4) AS citation_accuracy, CASE WHEN count(*) FILTER (em) = count(*) THEN 'VERIFIED' WHEN count(*) FILTER (em) > 0 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS status FROM judged GROUP BY 1"))(
     lambda s, f: frame("judged", s, f).groupBy("category").agg(F.count_if("em").alias("supported"), F.count(one).alias("n")).select("category", "supported", F.round(c("supported") / c("n"), 4).alias("citation_accuracy"), F.when(c("supported") == c("n"), "VERIFIED").when(c("supported") > 0, "PARTIAL").otherwise("UNSUPPORTED").alias("status"))
 )
-query("verify_answer", with_ctes(("judged",), "SELECT source, count(*)::BIGINT AS claims, round(avg(em::INT), 4) AS accuracy FROM judged WHERE trim(predicted) <> '' GROUP BY 1"))(lambda s, f: frame("judged", s, f).where("trim(predicted) <> ''").groupBy("source").agg(F.count(one).alias("claims"), F.round(F.avg(c("em").cast("int")), 4).alias("accuracy")))
 CC = {"tp": "correct AND answerable", "fp": "correct AND NOT answerable", "fn": "NOT correct AND answerable", "tn": "NOT correct AND NOT answerable"}
 F1 = "round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1"
 query("claim_confusion", with_ctes(("results",), f"SELECT category, tp, fp, fn, tn, {F1} FROM (SELECT category, {counts_sql(CC)} FROM results GROUP BY 1)"))(
     lambda s, f: frame("results", s, f).groupBy("category").agg(*counts(CC)).select("*", F.round(c("tp") / (c("tp") + c("fp")), 6).alias("precision"), F.round(c("tp") / (c("tp") + c("fn")), 6).alias("recall"), F.round(2.0 * c("tp") / (2 * c("tp") + c("fp") + c("fn")), 6).alias("f1"))
 )
-query("claim_side_metrics", with_ctes(("results",), "SELECT arm, round(avg(correct::INT), 6) AS relevance, round(avg((confidence > 0)::INT), 6) AS cited, count(*) FILTER (score < 3) AS non_claims FROM results GROUP BY 1"))(lambda s, f: frame("results", s, f).groupBy("arm").agg(F.round(F.avg(c("correct").cast("int")), 6).alias("relevance"), F.round(F.avg((c("confidence") > 0).cast("int")), 6).alias("cited"), F.count_if(c("score") < 3).alias("non_claims")))
 query("extraction_preservation", with_ctes((), "SELECT lang, round(sum(least(e, x))::DOUBLE / sum(e), 6) AS preserved FROM (SELECT lang, len(string_split(text, chr(10))) AS e, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS x FROM documents) GROUP BY 1"))(
     lambda s, f: table(s, f, "documents").select("lang", F.size(F.split("text", "\n")).alias("e"), F.size(F.filter(F.split("text", "\n"), lambda l: F.trim(l) != "")).alias("x")).groupBy("lang").agg(F.round(F.sum(F.least("e", "x")) / F.sum("e"), 6).alias("preserved"))
 )
-query("extraction_rollup", with_ctes((), "SELECT source, count(*)::BIGINT AS documents, round(avg(n_chars) FILTER (n_chars > 100), 6) AS mean_chars FROM documents GROUP BY 1"))(lambda s, f: table(s, f, "documents").groupBy("source").agg(F.count(one).alias("documents"), F.round(F.avg(F.when(c("n_chars") > 100, c("n_chars"))), 6).alias("mean_chars")))
-query("content_loss", with_ctes(("judged",), "SELECT category, round(avg(CASE WHEN gold = '' THEN 1.0::DOUBLE ELSE contains(predicted, substr(gold, 1, 10))::INT END), 6) AS kept FROM judged GROUP BY 1"))(lambda s, f: frame("judged", s, f).groupBy("category").agg(F.round(F.avg(F.when(c("gold") == "", 1.0).otherwise(c("predicted").contains(F.substring("gold", 1, 10)).cast("int"))), 6).alias("kept")))
-query("evidence_substring_coverage", with_ctes(("judged",), "SELECT category, round(avg(contains(predicted, substr(gold, 1, 5))::INT), 6) AS coverage FROM judged WHERE gold <> '' GROUP BY 1"))(lambda s, f: frame("judged", s, f).where("gold <> ''").groupBy("category").agg(F.round(F.avg(c("predicted").contains(F.substring("gold", 1, 5)).cast("int")), 6).alias("coverage")))
 query("context_utilisation", with_ctes(("chunks",), "SELECT document_id, round(least(1.0::DOUBLE, sum(token_count) / 4000.0::DOUBLE), 6) AS used FROM chunks GROUP BY 1"))(lambda s, f: frame("chunks", s, f).groupBy("document_id").agg(F.round(F.least(F.lit(1.0), F.sum("token_count") / 4000.0), 6).alias("used")))
 query("evidence_coverage", with_ctes(("ranked",), "SELECT question_id, count(*) FILTER (gold AND rank <= 3) AS supplied, count(*) FILTER (gold) AS gold FROM ranked GROUP BY 1"))(lambda s, f: frame("ranked", s, f).groupBy("question_id").agg(F.count_if(c("gold") & (c("rank") <= 3)).alias("supplied"), F.count_if("gold").alias("gold")))
 query("path_counts", with_ctes(("results",), "SELECT category, arm, count(*)::BIGINT AS n FROM results GROUP BY 1, 2"))(lambda s, f: frame("results", s, f).groupBy("category", "arm").agg(F.count(one).alias("n")))
 query("path_agreement", with_ctes(("results",), "SELECT question_id, count(DISTINCT arm) = 2 AS agreed FROM results GROUP BY 1"))(lambda s, f: frame("results", s, f).groupBy("question_id").agg((F.count_distinct("arm") == 2).alias("agreed")))
-query("rer_ect", with_ctes(("ranked",), "SELECT question_id, round(count(*) FILTER (gold AND rank <= 5) * 1000.0::DOUBLE / (100 * count(*) FILTER (rank <= 5)), 6) AS yield FROM ranked GROUP BY 1"))(lambda s, f: frame("ranked", s, f).groupBy("question_id").agg(F.round(F.count_if(c("gold") & (c("rank") <= 5)) * 1000.0 / (100 * F.count_if(c("rank") <= 5)), 6).alias("yield")))
 query("dup_rate", with_ctes((), "SELECT source, round(1 - count(DISTINCT text)::DOUBLE / count(*), 6) AS rate FROM documents GROUP BY 1"))(lambda s, f: table(s, f, "documents").groupBy("source").agg(F.round(1 - F.count_distinct("text") / F.count(one), 6).alias("rate")))
 
 # Dataset gates
@@ -216,19 +208,8 @@ query("category_diversity", with_ctes((), f"SELECT lang, count(DISTINCT {FIRST5}
 )
 query("doc_category_matrix", with_ctes((), "SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{k}') AS {k}" for k in ("en", "fr", "de", "es")) + " FROM documents GROUP BY 1"))(lambda s, f: table(s, f, "documents").groupBy("source").agg(*[F.count_if(c("lang") == k).alias(k) for k in ("en", "fr", "de", "es")]))
 query("exact_dups", with_ctes((), "SELECT sha256(text) AS digest, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1"))(lambda s, f: table(s, f, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(one).alias("n")).where("n > 1"))
-query("leakage_substring_join", with_ctes((), "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) OR contains(b.text, d.text)"))(lambda s, f: leakage(s, f))
 
 
-def leakage(spark, sf):
-    """Containment pairs, in either direction.
-
-    Items are broadcast only up to a counted size; every document is probed once per item inside the JVM.
-    """
-    items = small(table(spark, sf, "benchmark").select("item_id", c("text").alias("item")))
-    return table(spark, sf, "documents").join(items, c("text").contains(c("item")) | c("item").contains(c("text"))).select("doc_id", "item_id")
-
-
-query("leakage_audit", with_ctes((), "SELECT source, count(DISTINCT doc_id) AS leaked FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text)) GROUP BY 1"))(lambda s, f: leakage(s, f).join(table(s, f, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_distinct("doc_id").alias("leaked")))
 SPLIT = "CASE WHEN ('0x' || substr(sha256(doc_id::VARCHAR), 1, 4))::BIGINT % 10 < 8 THEN 'train' WHEN ('0x' || substr(sha256(doc_id::VARCHAR), 1, 4))::BIGINT % 10 = 8 THEN 'val' ELSE 'test' END"
 bucket10 = lambda: F.conv(F.substring(F.sha2(c("doc_id").cast("string"), 256), 1, 4), 16, 10).cast("long") % 10
 split = lambda: F.when(bucket10() < 8, "train").when(bucket10() == 8, "val").otherwise("test")

@@ -57,9 +57,6 @@ method = lambda: F.when(c("page").isNull(), "none").when(c("token_count") < 20,
 query("insights_pages", with_ctes(("chunks",), f"SELECT document_id, " + ", ".join(f"count(*) FILTER ({METHOD} = '{k}') AS {k}" for k in ("native", "ocr", "none")) + ", count(*) > 0 AS recorded, (count(DISTINCT page))::BIGINT AS pages FROM chunks GROUP BY 1"))(
     lambda s, f: frame("chunks", s, f).groupBy("document_id").agg(*[F.count_if(method() == k).alias(k) for k in ("native", "ocr", "none")], (F.count("*") > 0).alias("recorded"), F.count_distinct("page").alias("pages"))
 )
-query("insights_all", with_ctes(("chunks", "edges"), "SELECT document_id, k.chunks, e.edges FROM (SELECT document_id, count(*)::BIGINT AS chunks FROM chunks GROUP BY 1) k LEFT JOIN (SELECT document_id, count(*)::BIGINT AS edges FROM edges GROUP BY 1) e USING (document_id)"))(
-    lambda s, f: frame("chunks", s, f).groupBy("document_id").agg(F.count("*").alias("chunks")).join(frame("edges", s, f).groupBy("document_id").agg(F.count("*").alias("edges")), "document_id", "left")
-)
 VERDICT = "CASE WHEN usable = 0 THEN 'error' WHEN usable < n THEN 'partial' ELSE 'ready' END"
 query("document_verdict", with_ctes(("chunks",), f"SELECT document_id, {VERDICT} AS verdict FROM (SELECT document_id, count(*) AS n, count(*) FILTER (token_count >= 4) AS usable FROM chunks GROUP BY 1)"))(
     lambda s, f: frame("chunks", s, f).groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(c("token_count") >= 4).alias("usable")).select("document_id", F.expr(VERDICT).alias("verdict"))
@@ -187,7 +184,7 @@ query("list_answer", with_ctes(("lines",), "SELECT document_id, chunk_id FROM (S
 query("parse_lists", with_ctes(("lines",), "SELECT document_id, count(*)::BIGINT AS items FROM lines WHERE length(content) BETWEEN 2 AND 200 GROUP BY 1 HAVING count(*) >= 2"))(lambda s, f: frame("lines", s, f).where(F.length("content").between(2, 200)).groupBy("document_id").agg(F.count("*").alias("items")).where("items >= 2"))
 FALLBACK = f"SELECT document_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, chunk_index) AS place FROM (SELECT document_id, chunk_id, chunk_index, len(list_intersect({sql_tokens('content')}, ['the', 'der', 'le', 'el', 'and'])) AS hits FROM lines WHERE length(content) >= 45 AND regexp_matches(content, '[.!?]$'))) WHERE place <= 4"
 query("extractive_fallback", with_ctes(("lines",), FALLBACK))(
-    lambda s, f: frame("lines", s, f).where((F.length("content") >= 45) & c("content").rlike("[.!?]$")).withColumn("hits", F.size(F.array_intersect(T.alnum_tokens(c("content")), F.array(*map(F.lit, ["the", "der", "le", "el", "and"]))))).withColumn("place", rn(["document_id"], F.desc("hits"), "chunk_index").cast("long")).where("place <= 4").select("document_id", "chunk_id", "place")
+    lambda s, f: frame("lines", s, f).where((F.length("content") >= 45) & c("content").rlike("[.!?]\\z")).withColumn("hits", F.size(F.array_intersect(T.alnum_tokens(c("content")), F.array(*map(F.lit, ["the", "der", "le", "el", "and"]))))).withColumn("place", rn(["document_id"], F.desc("hits"), "chunk_index").cast("long")).where("place <= 4").select("document_id", "chunk_id", "place")
 )
 query("novel_span_answer", with_ctes(("questions",), f"SELECT question_id, len(list_filter({sql_tokens('evidence')}, lambda t: NOT list_contains({sql_tokens('question')}, t)))::BIGINT AS novel FROM questions"))(lambda s, f: frame("questions", s, f).select("question_id", F.size(F.filter(T.alnum_tokens(c("evidence")), lambda t: ~F.array_contains(T.alnum_tokens(c("question")), t))).cast("long").alias("novel")))
 query("struct_eval_variants", with_ctes(("questions",), f"SELECT question_id, item_id FROM (SELECT q.question_id, b.item_id, row_number() OVER (PARTITION BY q.question_id ORDER BY len(list_intersect({sql_tokens('q.question')}, {sql_tokens('b.text')})) DESC, b.item_id) AS r FROM questions q, benchmark b) WHERE r <= 5"))(

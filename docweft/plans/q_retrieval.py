@@ -36,19 +36,24 @@ def dense(spark, sf):
     return retrieve.dense_topk(e.where("vec_id % 20 = 0").select(c("vec_id").alias("question_id"), c("embedding").alias("q")), e.select(c("vec_id").alias("chunk_id"), c("embedding").alias("v")), 20)
 
 
-#: Lexical stream over the same ids: words of the document with the vector's id against all documents that have one.
-@relation("tokens", f"SELECT DISTINCT doc_id AS chunk_id, UNNEST(list_distinct({sql_tokens('substr(text, 1, 2000)')})) AS token FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+#: Lexical stream: all words of all documents; a question is the first line of a document, for every id divisible by 20.
+@relation("tokens", f"SELECT doc_id AS chunk_id, UNNEST(list_distinct({sql_tokens('text')})) AS token FROM documents")
 def tokens(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(c("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    return d.select(c("doc_id").alias("chunk_id"), F.explode(F.array_distinct(T.alnum_tokens(F.substring("text", 1, 2000)))).alias("token"))
+    return table(spark, sf, "documents").select(c("doc_id").alias("chunk_id"), F.explode(F.array_distinct(T.alnum_tokens(c("text")))).alias("token"))
+
+
+@relation("asked", f"SELECT doc_id AS question_id, UNNEST(list_distinct({sql_tokens('string_split(text, chr(10))[1]')})) AS token FROM documents WHERE doc_id % 20 = 0")
+def asked(spark, sf):
+    first = F.get(F.split("text", "\n"), F.lit(0))
+    return table(spark, sf, "documents").where("doc_id % 20 = 0").select(c("doc_id").alias("question_id"), F.explode(F.array_distinct(T.alnum_tokens(first))).alias("token"))
 
 
 @relation("lexical", """SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT q.chunk_id AS question_id, p.chunk_id, round(sum(ln(((SELECT count(DISTINCT chunk_id) FROM tokens) + 1.0::DOUBLE) / (i.n + 0.5::DOUBLE))), 6) AS score FROM tokens q JOIN tokens p USING (token)
-  JOIN (SELECT token, count(*) AS n FROM tokens GROUP BY 1) i USING (token) WHERE q.chunk_id % 20 = 0 AND length(token) >= 8 GROUP BY 1, 2)) WHERE rank <= 20""", ("tokens",))
+  SELECT q.question_id, p.chunk_id, round(sum(ln(((SELECT count(DISTINCT chunk_id) FROM tokens) + 1.0::DOUBLE) / (i.n + 0.5::DOUBLE))), 6) AS score FROM asked q JOIN tokens p USING (token)
+  JOIN (SELECT token, count(*) AS n FROM tokens GROUP BY 1) i USING (token) GROUP BY 1, 2)) WHERE rank <= 20""", ("tokens", "asked"))
 def lexical(spark, sf):
     p = frame("tokens", spark, sf)
-    return retrieve.lexical_topk(p.where("chunk_id % 20 = 0 AND length(token) >= 8").select(c("chunk_id").alias("question_id"), "token"), p, 20)
+    return retrieve.lexical_topk(frame("asked", spark, sf), p, 20)
 
 
 def both(spark, sf):
@@ -117,9 +122,6 @@ query("order_bands", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_
 query("select_evidence", with_ctes(("dense",), "SELECT question_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, chunk_id) AS place FROM (SELECT question_id, chunk_id, round(1.0::DOUBLE / (rank + 1) + 0.15::DOUBLE * score, 9) AS s FROM (SELECT d.*, row_number() OVER (PARTITION BY question_id, label ORDER BY rank) AS per FROM dense d JOIN embeddings e ON e.vec_id = d.chunk_id) WHERE per = 1)) WHERE place <= 6"))(
     lambda s, f: frame("dense", s, f).join(table(s, f, "embeddings").select(c("vec_id").alias("chunk_id"), "label"), "chunk_id").withColumn("per", F.row_number().over(Window.partitionBy("question_id", "label").orderBy("rank"))).where("per = 1").withColumn("s", F.round(1.0 / (c("rank") + 1) + 0.15 * c("score"), 9)).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("s"), "chunk_id")).cast("long")).where("place <= 6").select("question_id", "chunk_id", "place")
 )
-query("cross_encoder_rerank", with_ctes(("dense",), "SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY logit DESC, rank) AS place FROM (SELECT *, round(score * 8 - (chunk_id % 7), 6) AS logit FROM dense)"))(
-    lambda s, f: frame("dense", s, f).withColumn("logit", F.round(c("score") * 8 - c("chunk_id") % 7, 6)).select("question_id", "chunk_id", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("logit"), "rank")).cast("long").alias("place"))
-)
 query("searchable_filter", with_ctes((), "SELECT vec_id, label FROM embeddings WHERE label IN (1, 3, 5) AND embedding IS NOT NULL"))(lambda s, f: table(s, f, "embeddings").where(c("label").isin(1, 3, 5) & c("embedding").isNotNull()).select("vec_id", "label"))
 query("owner_filter", with_ctes((), "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src3'"))(lambda s, f: table(s, f, "documents").where("source = 'src3'").select("doc_id", "lang", "n_chars"))
 query("or_contains_filter", with_ctes(("lines",), "SELECT chunk_id, ((contains(lower(content), 'ment'))::INT + (contains(lower(content), 'heit'))::INT + (contains(lower(content), 'tion'))::INT)::BIGINT AS matched FROM lines WHERE contains(lower(content), 'ment') OR contains(lower(content), 'heit') OR contains(lower(content), 'tion')"))(
@@ -283,18 +285,4 @@ query("build_context_chars", with_ctes(("lines",), "SELECT document_id, chunk_id
 query("build_evidence_blocks", with_ctes(("lines",), "SELECT document_id, chunk_id, substr(trim(content), 1, 1200) AS block FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS r FROM lines WHERE trim(content) <> '') WHERE r <= 8"))(
     lambda s, f: frame("lines", s, f).where("trim(content) <> ''").withColumn("r", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index"))).where("r <= 8").select("document_id", "chunk_id", F.substring(F.trim("content"), 1, 1200).alias("block"))
 )
-CLAIM = f"SELECT question_id, chunk_id, round(len(list_filter(q, lambda t: list_contains(w, t)))::DOUBLE / len(q), 6) AS ratio FROM (SELECT b.item_id AS question_id, l.chunk_id, {CONTENT('substr(b.text, 1, 50)')} AS q, {CONTENT('l.content')} AS w FROM benchmark b, lines l WHERE b.item_id % 10 = 0 AND l.chunk_index = 0)"
-
-
-def attribution(spark, sf):
-    """Claims against blocks; the claims are a stated set, broadcast only up to a counted size."""
-    claims = table(spark, sf, "benchmark").where("item_id % 10 = 0").select(c("item_id").alias("question_id"), T.content_tokens(F.substring("text", 1, 50)).alias("q"))
-    blocks = frame("lines", spark, sf).where("chunk_index = 0").select("chunk_id", T.content_tokens(c("content")).alias("w"))
-    return blocks.join(retrieve.small(claims)).select("question_id", "chunk_id", F.round(F.size(F.filter("q", lambda t: F.array_contains("w", t))) / F.size("q"), 6).alias("ratio"))
-
-
-query("attribute_claim", with_ctes(("lines",), f"SELECT question_id, chunk_id, ratio FROM ({CLAIM}) WHERE ratio >= 0.6"))(lambda s, f: attribution(s, f).where("ratio >= 0.6"))
-query("check_claim", with_ctes(("lines",), f"SELECT question_id, max(ratio) AS best, CASE WHEN max(ratio) >= 0.6 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS state FROM ({CLAIM}) GROUP BY 1"))(
-    lambda s, f: attribution(s, f).groupBy("question_id").agg(F.max("ratio").alias("best")).withColumn("state", F.when(c("best") >= 0.6, "SUPPORTED").otherwise("UNSUPPORTED"))
-)
 query("cross_query", with_ctes(("lines",), "SELECT l.chunk_id, q.term FROM lines l, (SELECT 'tion' AS term) q WHERE contains(l.content, q.term)"))(lambda s, f: frame("lines", s, f).join(F.broadcast(s.createDataFrame([("tion",)], "term string"))).where(c("content").contains(c("term"))).select("chunk_id", "term"))

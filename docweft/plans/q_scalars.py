@@ -163,7 +163,7 @@ query("keypoint_coverage", with_ctes(("questions",), f"SELECT question_id, round
     lambda spark, sf: frame("questions", spark, sf).withColumn("t", T.query_terms(c("question"))).select("question_id", F.round(F.when(F.size("t") > 0, F.size(F.filter("t", lambda t: F.lower("evidence").contains(t))) / F.size("t")), 6).alias("value"))
 )
 scalar("factual_grounded", "answers", "example_id", lambda: F.lower("predicted").contains(F.lower("gold")), "contains(lower(predicted), lower(gold))")
-scalar("compose_answer", "answers", "example_id", lambda: F.concat(F.trim("predicted"), F.when(F.trim("predicted").rlike("[.!?]$"), "").otherwise("."), F.when(c("example_id") % 3 == 2, "\n\n- ").otherwise(" "), c("gold")), "trim(predicted) || CASE WHEN regexp_matches(trim(predicted), '[.!?]$') THEN '' ELSE '.' END || CASE WHEN example_id % 3 = 2 THEN chr(10) || chr(10) || '- ' ELSE ' ' END || gold")
+scalar("compose_answer", "answers", "example_id", lambda: F.concat(F.trim("predicted"), F.when(F.trim("predicted").rlike("[.!?]\\z"), "").otherwise("."), F.when(c("example_id") % 3 == 2, "\n\n- ").otherwise(" "), c("gold")), "trim(predicted) || CASE WHEN regexp_matches(trim(predicted), '[.!?]$') THEN '' ELSE '.' END || CASE WHEN example_id % 3 = 2 THEN chr(10) || chr(10) || '- ' ELSE ' ' END || gold")
 scalar("not_null_filter", "chunks", "chunk_id", lambda: c("topic").isNotNull(), "topic IS NOT NULL")
 scalar("exact_match", "answers", "example_id", lambda: T.normalize(c("predicted")) == T.normalize(c("gold")), "trim(regexp_replace(lower(predicted), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(gold), '\\s+', ' ', 'g'))")
 P, G = f"list_distinct({sql_tokens('predicted')})", f"list_distinct({sql_tokens('gold')})"
