@@ -44,5 +44,8 @@ def running_sums(values: Column, block: int = 128) -> Column:
         sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: (a + x).cast("int")))
         return F.flatten(F.transform(F.array(grown(sums, F.lit(0))), lambda before: F.transform(blocks, lambda b, k: grown(b, F.coalesce(F.get(before, k - 1), F.lit(0)))))[0])
 
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(block)), lambda i: F.slice(values, i + 1, block))
-    return F.transform(F.array(cut), each)[0]
+    def whole(bound: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(bound) - 1, F.lit(0)), F.lit(block)), lambda i: F.slice(bound, i + 1, block))
+        return F.transform(F.array(cut), each)[0]
+
+    return F.transform(F.array(values), whole)[0]
