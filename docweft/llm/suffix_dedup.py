@@ -43,7 +43,7 @@ from docweft.session import durable, reclaim, release, table
 WIDTH = 400
 #: Bytes of an anchor (a multiple of 8); bytes of text in one part of a shard.
 ANCHOR = 32
-PART_BYTES = 6 << 20
+PART_BYTES = 3 << 19
 #: Classes of one anchor from which on it is dealt anew, by blocks of anchor offsets and the bytes all strings of a block share.
 HOT_CLASSES = 256
 OFFSETS = 16
@@ -71,11 +71,11 @@ def runs(value: np.ndarray, n: int, lengths: np.ndarray, width: int, gram: int)
         have += step
     ends = np.cumsum(lengths)
     begins = ends - lengths
-    inside = np.zeros(n + 1, dtype=np.int32)
+    inside = np.zeros(n + 1, dtype=np.int8)
     long = lengths >= width
     np.add.at(inside, begins[long], 1)
     np.add.at(inside, ends[long] - width + 1, -1)
-    valid = np.cumsum(inside[: len(low)]) > 0
+    valid = np.cumsum(inside[: len(low)], dtype=np.int8) > 0
     place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
