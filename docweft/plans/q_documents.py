@@ -52,15 +52,11 @@ query("prioritize_parts")(lambda s, f: pairs(s, f).select("question_id", A.text_
 query("prepare_prompt")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: "\n".join(A.fit_prompt(q, [e, e], [q], 400)["evidence"]), "string")("question", "evidence").alias("prompt")))
 query("validate_diagram")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: all(A.valid_diagrams(f"```\n[{e[:20]} [1]]\n```", e)), "boolean")("question", "evidence").alias("valid")))
 query("filter_diagrams")(lambda s, f: pairs(s, f).where(A.text_udf(lambda q, e: any(A.valid_diagrams(f"```\n[{e.split(' ')[0]} [1]]\n```", e)), "boolean")("question", "evidence")).select("question_id"))
-query("build_prompt", with_ctes(("questions",), "SELECT question_id, 'Question: ' || question || chr(10) || '[1] ' || evidence AS prompt FROM questions"))(lambda s, f: pairs(s, f).select("question_id", F.concat(F.lit("Question: "), "question", F.lit("\n[1] "), "evidence").alias("prompt")))
 query("kg_parse_relations")(
     lambda s, f: frame("relations", s, f).select("rid", F.to_json(F.array(F.struct("subject", "predicate", "object", F.concat_ws(" ", "subject", "predicate", "object").alias("quote")))).alias("raw"), F.concat_ws(" ", F.lit("so"), "subject", "predicate", "object").alias("chunk")).select("rid", F.size(A.text_udf(lambda r, k: [" ".join(x) for x in A.parse_triples(r, k)], "array<string>")("raw", "chunk")).alias("relations"))
 )
-query("kg_build", with_ctes(("chunks",), "SELECT document_id, least(24, count(*))::BIGINT AS processed, CASE WHEN count(*) <= 24 THEN 'ready' ELSE 'partial' END AS status FROM chunks GROUP BY 1"))(lambda s, f: frame("chunks", s, f).groupBy("document_id").agg(F.least(F.lit(24), F.count("*")).cast("long").alias("processed"), F.when(F.count("*") <= 24, "ready").otherwise("partial").alias("status")))
 query("qa_rerank")(lambda s, f: frame("dense", s, f).withColumn("qa", F.round(F.abs(F.hash("question_id", "chunk_id")) / float(1 << 31), 6)).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("qa"), "rank"))).where("place <= 8").select("question_id", "chunk_id", "place"))
 query("route_query", with_ctes(("questions",), "SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'graph' WHEN question_id % 3 = 1 THEN 'semantic' ELSE 'both' END AS route FROM questions"))(lambda s, f: pairs(s, f).select("question_id", F.when(c("question_id") % 3 == 0, "graph").when(c("question_id") % 3 == 1, "semantic").otherwise("both").alias("route")))
-query("topic_assemble", with_ctes(("islands",), "SELECT document_id, island, sum(strlen(content)) <= 60 AS complete FROM islands GROUP BY 1, 2"))(lambda s, f: frame("islands", s, f).groupBy("document_id", "island").agg((F.sum(F.octet_length("content")) <= 60).alias("complete")))
-query("element_candidates", with_ctes(("tree",), "SELECT id, parent_id FROM tree WHERE parent_id LIKE 'n1%' QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY id) <= 10"))(lambda s, f: frame("tree", s, f).where("parent_id LIKE 'n1%'").withColumn("r", F.row_number().over(Window.partitionBy("parent_id").orderBy("id"))).where("r <= 10").select("id", "parent_id"))
 query("fuse_document_evidence", with_ctes(("headings",), "SELECT document_id, chunk_id, heading FROM headings WHERE chunk_index < 10"))(lambda s, f: frame("headings", s, f).where("chunk_index < 10").select("document_id", "chunk_id", "heading"))
 query("structured_query_controls", with_ctes(("dense", "lexical"), "SELECT 'dense' AS system, count(*)::BIGINT AS n FROM dense UNION ALL SELECT 'lexical', count(*)::BIGINT FROM lexical"))(lambda s, f: frame("dense", s, f).select(F.lit("dense").alias("system")).unionByName(frame("lexical", s, f).select(F.lit("lexical").alias("system"))).groupBy("system").agg(F.count("*").alias("n")))
 

@@ -35,9 +35,6 @@ query("hydrate_elements", with_ctes(("tree",), "SELECT t.id, c.c_name AS name FR
 query("table_rows_for_docs", with_ctes(("results",), "SELECT document_id, question_id, rid FROM results WHERE document_id IN (SELECT document_id FROM (SELECT document_id, min(rid) AS m FROM results GROUP BY 1 ORDER BY m, document_id LIMIT 5))"))(
     lambda s, f: frame("results", s, f).join(frame("results", s, f).groupBy("document_id").agg(F.min("rid").alias("m")).orderBy("m", "document_id").limit(5), "document_id", "left_semi").select("document_id", "question_id", "rid")
 )
-query("doc_structure_evidence", with_ctes(("chunks",), "SELECT document_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS r FROM chunks) WHERE r <= 20 AND document_id < 5"))(
-    lambda s, f: frame("chunks", s, f).where("document_id < 5").withColumn("r", rn(["document_id"], "chunk_index")).where("r <= 20").select("document_id", "chunk_id")
-)
 
 # Aggregates
 query("insights_structure", with_ctes(("chunks",), "SELECT document_id, count(*)::BIGINT AS chunks, count(DISTINCT page) AS pages, max(page) AS last_page, count(DISTINCT topic) AS sections, round(avg(length(content)), 6) AS mean_length, round(avg(token_count), 6) AS mean_tokens, coalesce(sum(token_count), 0)::BIGINT AS tokens FROM chunks GROUP BY 1"))(
@@ -178,14 +175,6 @@ query("table_answer", with_ctes(("lines",), f"SELECT cell, min(chunk_id) AS chun
 query("table_row_evidence", with_ctes(("lines",), f"SELECT chunk_id, hits FROM (SELECT chunk_id, hits, row_number() OVER (PARTITION BY chunk_id // 1000000 ORDER BY hits DESC, chunk_id) AS r FROM (SELECT chunk_id, count(*) FILTER (contains(lower(cell), 'ing') OR contains(lower(cell), 'ment')) AS hits FROM ({CELL}) GROUP BY 1) WHERE hits > 0) WHERE r <= 2"))(
     lambda s, f: frame("lines", s, f).where(F.size(F.split("content", r"\|")) >= 3).select("document_id", "chunk_id", F.size(F.filter(F.transform(F.split("content", r"\|"), lambda x: F.lower(F.trim(x))), lambda x: x.contains("ing") | x.contains("ment"))).cast("long").alias("hits")).where("hits > 0").withColumn("r", rn(["document_id"], F.desc("hits"), "chunk_id")).where("r <= 2").select("chunk_id", "hits")
 )
-query("list_answer", with_ctes(("lines",), "SELECT document_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS place, count(*) OVER (PARTITION BY document_id) AS n FROM lines WHERE trim(content) <> '') WHERE place = 3 AND n >= 3"))(
-    lambda s, f: frame("lines", s, f).where("trim(content) <> ''").withColumn("place", rn(["document_id"], "chunk_index")).where("place = 3").select("document_id", "chunk_id")
-)
-query("parse_lists", with_ctes(("lines",), "SELECT document_id, count(*)::BIGINT AS items FROM lines WHERE length(content) BETWEEN 2 AND 200 GROUP BY 1 HAVING count(*) >= 2"))(lambda s, f: frame("lines", s, f).where(F.length("content").between(2, 200)).groupBy("document_id").agg(F.count("*").alias("items")).where("items >= 2"))
-FALLBACK = f"SELECT document_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY hits DESC, chunk_index) AS place FROM (SELECT document_id, chunk_id, chunk_index, len(list_intersect({sql_tokens('content')}, ['the', 'der', 'le', 'el', 'and'])) AS hits FROM lines WHERE length(content) >= 45 AND regexp_matches(content, '[.!?]$'))) WHERE place <= 4"
-query("extractive_fallback", with_ctes(("lines",), FALLBACK))(
-    lambda s, f: frame("lines", s, f).where((F.length("content") >= 45) & c("content").rlike("[.!?]\\z")).withColumn("hits", F.size(F.array_intersect(T.alnum_tokens(c("content")), F.array(*map(F.lit, ["the", "der", "le", "el", "and"]))))).withColumn("place", rn(["document_id"], F.desc("hits"), "chunk_index").cast("long")).where("place <= 4").select("document_id", "chunk_id", "place")
-)
 query("novel_span_answer", with_ctes(("questions",), f"SELECT question_id, len(list_filter({sql_tokens('evidence')}, lambda t: NOT list_contains({sql_tokens('question')}, t)))::BIGINT AS novel FROM questions"))(lambda s, f: frame("questions", s, f).select("question_id", F.size(F.filter(T.alnum_tokens(c("evidence")), lambda t: ~F.array_contains(T.alnum_tokens(c("question")), t))).cast("long").alias("novel")))
 query("struct_eval_variants", with_ctes(("questions",), f"SELECT question_id, item_id FROM (SELECT q.question_id, b.item_id, row_number() OVER (PARTITION BY q.question_id ORDER BY len(list_intersect({sql_tokens('q.question')}, {sql_tokens('b.text')})) DESC, b.item_id) AS r FROM questions q, benchmark b) WHERE r <= 5"))(
     lambda s, f: table(s, f, "benchmark").select("item_id", F.array_distinct(T.alnum_tokens(c("text"))).alias("w")).join(retrieve.small(frame("questions", s, f).select("question_id", F.array_distinct(T.alnum_tokens(c("question"))).alias("q")))).select("question_id", "item_id", F.size(F.array_intersect("q", "w")).alias("v")).withColumn("r", rn(["question_id"], F.desc("v"), "item_id")).where("r <= 5").select("question_id", "item_id")
@@ -197,7 +186,6 @@ query("conversation_append", with_ctes((), "SELECT conv_id, turn, role, substr(t
 )
 query("latest_per_user_upsert", with_ctes((), "SELECT user_id, max(ts) AS ts, max_by(event_id, ts) AS event_id, max_by(event_type, ts) AS event_type FROM events GROUP BY 1"))(lambda s, f: table(s, f, "events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", "ts").alias("event_id"), F.max_by("event_type", "ts").alias("event_type")))
 query("entity_insert_ignore", with_ctes((), "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2"))(lambda s, f: table(s, f, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id")))
-query("resumable_cursor", with_ctes(("chunks",), "SELECT document_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS r FROM chunks WHERE chunk_index >= 24) WHERE r <= 24"))(lambda s, f: frame("chunks", s, f).where("chunk_index >= 24").withColumn("r", rn(["document_id"], "chunk_index")).where("r <= 24").select("document_id", "chunk_id"))
 query("dedupe_upload", with_ctes((), "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS existing FROM documents"))(lambda s, f: table(s, f, "documents").select("doc_id", F.min("doc_id").over(Window.partitionBy("source", F.sha2("text", 256))).alias("existing")))
 query("stale_processing", with_ctes((), "SELECT event_id FROM events WHERE event_type = 'error' AND date_sub('second', ts, (SELECT max(ts) FROM events)) > 600"))(
     lambda s, f: table(s, f, "events").where("event_type = 'error'").join(F.broadcast(table(s, f, "events").agg(F.max("ts").alias("now")))).where(F.timestamp_diff("SECOND", "ts", "now") > 600).select("event_id")
@@ -211,7 +199,6 @@ def _revision(l):
     return shots.select("document_id", F.explode(F.from_json("payload", "array<struct<chunk_index:bigint,chunk_id:bigint,section:string>>")).alias("x")).select("document_id", "x.chunk_id", "x.chunk_index", "x.section")
 
 
-query("archive_revision", with_ctes(("lines",), "SELECT document_id, count(*)::BIGINT AS chunks, max(chunk_index) AS last FROM lines GROUP BY 1"))(lambda s, f: frame("lines", s, f).groupBy("document_id").agg(F.to_json(F.collect_list(F.struct("chunk_id", "chunk_index"))).alias("payload")).select("document_id", F.json_array_length("payload").cast("long").alias("chunks"), F.array_max(F.from_json("payload", "array<struct<chunk_index:bigint>>"))["chunk_index"].alias("last")))
 query("db_scan", with_ctes((), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"))(lambda s, f: table(s, f, "nation").join(table(s, f, "region"), c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name"))
 query("scan_txt", with_ctes((), "SELECT doc_id, i AS seq, p[i] AS content FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.]) ', '\\1' || chr(10) || chr(10), 'g'), '\\n\\s*\\n') AS p FROM documents), UNNEST(range(1, len(p) + 1)) AS u(i) WHERE trim(p[i]) <> ''"))(
     lambda s, f: table(s, f, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "([.]) ", "$1\n\n"), r"\n\s*\n")).alias("i", "content")).where("trim(content) <> ''").select("doc_id", (c("i") + 1).cast("long").alias("seq"), "content")
