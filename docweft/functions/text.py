@@ -125,6 +125,18 @@ def segments(c: Column) -> Column:
     return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
 
 
+#: White space behind sentence punctuation that ends no sentence: initials, abbreviations, and a word with a period before a small letter or digit.
+SENTENCE_END = (
+    r"(?<=[.!?])(?<!(?<![\p{L}\p{N}])[A-Z]\.)(?<!(?<![A-Za-z.])(?i:" + "|".join(a.replace(".", r"\.") for a in V.ABBREVIATIONS) + r")\.)(?:(?<![A-Za-z]\.)|(?!\s+[\p{Ll}\p{Nd}]))\s+"
+)
+
+
+def sentences(c: Column) -> Column:
+    """Sentences, trimmed: wrapped lines are joined, a line break ends one, abbreviations do not."""
+    joined = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\\n+(?=[a-z0-9(])", " "), "\\s*\\n\\s*", "\u0001")
+    return F.filter(F.transform(F.split(F.regexp_replace(joined, SENTENCE_END, "\u0001"), "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def citations(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\[(\d{1,2})\]"), F.lit(1)), lambda x: x.cast("int")))
 

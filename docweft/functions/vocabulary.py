@@ -68,3 +68,27 @@ ORDINALS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth
 RELATION_WEIGHTS = {"NEXT": 1.0, "PREV": 1.0, "SAME_PAGE": 0.7, "SAME_SECTION": 0.5}
 RELATION_PRIORITY = {"NEXT": 0, "PREV": 1, "SAME_PAGE": 2, "SAME_SECTION": 3}
 ENTITY_STOPWORDS = "a an and are as at be by did do does for from how in is it of on or that the their them this to was were what when where which who why with".split()
+
+# Fixed values of claim checks: abbreviations that end no sentence, and the words that carry negation, quantity, direction and cause.
+ABBREVIATIONS = "dr mr mrs ms prof rev sr jr st hon vs e.g i.e cf al fig eq sec dept est u.s u.k u.n e.u u.s.a a.m p.m".split()
+CLAIM_NEGATIONS = "not no never cannot can't doesn't don't isn't aren't wasn't weren't without nor none".split()
+CLAIM_QUANTIFIERS = "every each per all any some".split()
+NUMBER_WORDS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15",
+    "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "ninety": "90", "hundred": "100",
+}
+CLAIM_UNITS = "days weeks months years hours minutes seconds volts amps watts million billion thousand percent %".split()
+CLAIM_COMPARATIVES = ["cheaper", "faster", "slower", "more accurate", "less accurate", "more expensive"]
+CLAIM_INTENSIFIERS = "always never often sometimes usually typically generally only especially necessarily still even also all both roughly about approximately nearly almost quite very just".split()
+CLAIM_UNIVERSALS = ["always", "invariably", "in every case", "in all cases"]
+CLAIM_CAUSES = ["cause", "causes", "caused", "causing", "leads to", "lead to", "results in", "result in", "prevents", "prevent", "because", "due to", "as a result"]
+BINDING_GENERIC = (
+    "what which who whom whose when where why how according document table say says reported value amount much many does do did is was were are be been being the a an "
+    "of for to in on at by with from about as that this these those it its"
+).split()
+BINDING_MONEY = "monetary revenue income amount total sales profit price fee".split()
+BINDING_PERCENT = "percentage percent rate".split()
+BINDING_CHANGE = "increase decrease change growth grew rise fall decline".split()
+BINDING_VALUE_CUES = "much many amount value values total cost price number count percent percentage rate min max mean median score revenue".split()
+BINDING_VALUE_COLUMNS = "amount value total cost price revenue income salary min max mean median percent percentage rate count number unit usd score qty quantity growth".split()
+SHORT_UNITS = "km hpa usd req min kg cm mm mb gb ms m".split()

@@ -55,18 +55,6 @@ def top(scored: DataFrame, k: int, key: str = "question_id") -> DataFrame:
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def lexical_topk(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` by summed idf of the question terms in a chunk: ``terms(question_id, token)``, ``postings(token, chunk_id)``.
-
-    A stand-in for a database's own full-text rank, which feeds only ranks. The join runs on tokens that questions use.
-    """
-    used = postings.join(terms.select("token").distinct(), "token", "left_semi")
-    total = postings.select("chunk_id").distinct().count()
-    idf = used.groupBy("token").agg(F.log((total + 1.0) / (F.count(F.lit(1)) + 0.5)).alias("idf"))
-    hits = terms.join(used, "token").join(idf, "token").groupBy("question_id", "chunk_id").agg(F.round(F.sum("idf"), 6).alias("score"))
-    return top(hits, k)
-
-
 def rrf(streams: list[tuple[DataFrame, float]], k: int = 60, digits: int | None = None, most: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of ``(question_id, chunk_id, rank)`` streams: one union, one aggregation.
 

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
-from docweft.operators import graph, retrieve
+from docweft.functions import vocabulary as V
+from docweft.operators import fulltext, graph, retrieve
 from docweft.plans.base import frame, relation, with_ctes
-from docweft.plans.q_scalars import CONTENT, sql_tokens
+from docweft.plans.q_scalars import CONTENT, sql_list, sql_stem, sql_tokens
 from docweft.plans.registry import query
-from docweft.session import table
+from docweft.session import durable, table
 
 c = F.col
 
@@ -36,28 +37,51 @@ def dense(spark, sf):
     return retrieve.dense_topk(e.where("vec_id % 20 = 0").select(c("vec_id").alias("question_id"), c("embedding").alias("q")), e.select(c("vec_id").alias("chunk_id"), c("embedding").alias("v")), 20)
 
 
-#: Lexical stream: all words of all documents; a question is the first line of a document, for every id divisible by 20.
-@relation("tokens", f"SELECT doc_id AS chunk_id, UNNEST(list_distinct({sql_tokens('text')})) AS token FROM documents")
-def tokens(spark, sf):
-    return table(spark, sf, "documents").select(c("doc_id").alias("chunk_id"), F.explode(F.array_distinct(T.alnum_tokens(c("text")))).alias("token"))
-
-
-@relation("asked", f"SELECT doc_id AS question_id, UNNEST(list_distinct({sql_tokens('string_split(text, chr(10))[1]')})) AS token FROM documents WHERE doc_id % 20 = 0")
-def asked(spark, sf):
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, sf, "documents").where("doc_id % 20 = 0").select(c("doc_id").alias("question_id"), F.explode(F.array_distinct(T.alnum_tokens(first))).alias("token"))
-
-
-@relation("lexical", """SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT q.question_id, p.chunk_id, round(sum(ln(((SELECT count(DISTINCT chunk_id) FROM tokens) + 1.0::DOUBLE) / (i.n + 0.5::DOUBLE))), 6) AS score FROM asked q JOIN tokens p USING (token)
-  JOIN (SELECT token, count(*) AS n FROM tokens GROUP BY 1) i USING (token) GROUP BY 1, 2)) WHERE rank <= 20""", ("tokens", "asked"))
+#: Lexical stream: all words of all documents. Questions, for every id divisible by 20, are web searches over the words of a
+#: document's first line: all words, a phrase or a word, a word without another, a phrase or two words.
+@relation("searches", f"""SELECT doc_id AS question_id, CASE (doc_id // 20) % 4 WHEN 0 THEN w1 || ' ' || w2 WHEN 1 THEN '"' || w2 || ' ' || w3 || '" or ' || w1 WHEN 2 THEN w1 || ' -' || w4 ELSE '"' || w1 || ' ' || w2 || '" or ' || w3 || ' ' || w5 END AS question
+  FROM (SELECT doc_id, {", ".join(f"coalesce(w[{i}], '') AS w{i}" for i in range(1, 6))} FROM (SELECT doc_id, {sql_tokens('string_split(text, chr(10))[1]')} AS w FROM documents WHERE doc_id % 20 = 0))""")
+def searches(spark, sf):
+    words = table(spark, sf, "documents").where("doc_id % 20 = 0").select("doc_id", T.alnum_tokens(F.get(F.split("text", "\n"), F.lit(0))).alias("w"))
+    w = [F.coalesce(F.get("w", F.lit(i)), F.lit("")) for i in range(5)]
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else w[p] for p in parts])
+    form = F.floor(c("doc_id") / 20) % 4
+    question = F.when(form == 0, said(0, " ", 1)).when(form == 1, said('"', 1, " ", 2, '" or ', 0)).when(form == 2, said(0, " -", 3)).otherwise(said('"', 0, " ", 1, '" or ', 2, " ", 4))
+    return words.select(c("doc_id").alias("question_id"), question.alias("question"))
+
+
+STOP = f"list_contains({sql_list(V.QUERY_STOPWORDS)}, w)"
+relation("ft_units", f"""SELECT *, count(*) OVER (PARTITION BY question_id, unit) AS size FROM (SELECT question_id, alt, unit, excluded, place, {sql_stem('w')} AS lexeme FROM (
+  SELECT question_id, alt, unit, excluded, i AS place, ws[i] AS w FROM (SELECT question_id, unit, part[1] = '-' AS excluded, part, {sql_tokens('part')} AS ws, count(*) FILTER (part = 'or') OVER (PARTITION BY question_id ORDER BY unit) AS alt
+    FROM (SELECT question_id, u AS unit, ps[u] AS part FROM (SELECT question_id, regexp_extract_all(lower(question), '-?"[^"]*"|[^\\s"]+') AS ps FROM searches), UNNEST(range(1, len(ps) + 1)) AS t(u))), UNNEST(range(1, len(ws) + 1)) AS t(i) WHERE part <> 'or') WHERE NOT {STOP})""", ("searches",))
+relation("ft_words", f"SELECT chunk_id, pos, {sql_stem('w')} AS lexeme FROM (SELECT doc_id AS chunk_id, i AS pos, ws[i] AS w FROM (SELECT doc_id, {sql_tokens('text')} AS ws FROM documents), UNNEST(range(1, len(ws) + 1)) AS t(i)) WHERE NOT {STOP}")
+relation("ft_stands", "SELECT question_id, chunk_id, unit, min(pos) AS s, max(pos) AS e FROM ft_units JOIN ft_words USING (lexeme) GROUP BY question_id, chunk_id, unit, pos - place, size HAVING count(*) = size", ("ft_units", "ft_words"))
+relation("ft_fit", """SELECT DISTINCT question_id, chunk_id FROM (SELECT question_id, alt, chunk_id, count(DISTINCT unit) FILTER (NOT excluded) AS has, count(*) FILTER (excluded) AS bad FROM ft_stands JOIN (SELECT DISTINCT question_id, alt, unit, excluded FROM ft_units) USING (question_id, unit) GROUP BY ALL)
+  JOIN (SELECT question_id, alt, count(DISTINCT unit) FILTER (NOT excluded) AS needs FROM ft_units GROUP BY ALL) USING (question_id, alt) WHERE has = needs AND bad = 0""", ("ft_units", "ft_stands"))
+relation("ft_held", "SELECT * FROM ft_stands SEMI JOIN ft_fit USING (question_id, chunk_id) SEMI JOIN (SELECT question_id, unit FROM ft_units WHERE NOT excluded) USING (question_id, unit)", ("ft_units", "ft_stands", "ft_fit"))
+relation("ft_covers", """SELECT question_id, chunk_id, s, min(e) AS e FROM (SELECT question_id, chunk_id, e, max(s) AS s FROM (SELECT question_id, chunk_id, alt, e, min(last) AS s FROM (
+  SELECT question_id, chunk_id, alt, e, max(s) OVER (PARTITION BY question_id, chunk_id, alt, unit ORDER BY e) AS last FROM (SELECT DISTINCT question_id, chunk_id, e FROM ft_held) JOIN (SELECT DISTINCT question_id, alt, unit FROM ft_units WHERE NOT excluded) USING (question_id) LEFT JOIN ft_held USING (question_id, chunk_id, unit, e))
+  GROUP BY ALL HAVING count(*) = count(last)) GROUP BY ALL) GROUP BY ALL""", ("ft_units", "ft_held"))
+relation("ft_places", """SELECT question_id, chunk_id, pos, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY pos) AS n FROM (SELECT DISTINCT question_id, chunk_id, s + place - low AS pos
+  FROM ft_held JOIN (SELECT DISTINCT question_id, unit, place, min(place) OVER (PARTITION BY question_id, unit) AS low FROM ft_units) USING (question_id, unit))""", ("ft_units", "ft_held"))
+
+
+@relation("lexical", """SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT c.question_id, c.chunk_id, round(sum(0.1::DOUBLE / (1 + c.e - c.s - (b.n - a.n))), 6) AS score FROM ft_covers c
+  JOIN ft_places a ON a.question_id = c.question_id AND a.chunk_id = c.chunk_id AND a.pos = c.s JOIN ft_places b ON b.question_id = c.question_id AND b.chunk_id = c.chunk_id AND b.pos = c.e GROUP BY ALL) QUALIFY rank <= 20""", ("ft_covers", "ft_places"))
 def lexical(spark, sf):
-    p = frame("tokens", spark, sf)
-    return retrieve.lexical_topk(frame("asked", spark, sf), p, 20)
+    asked = durable(fulltext.units(frame("searches", spark, sf)))
+    index = fulltext.positions(table(spark, sf, "documents").select(c("doc_id").alias("chunk_id"), c("text").alias("content")), asked)
+    return fulltext.search(None, index, 20, asked)
 
 
 def both(spark, sf):
-    return frame("dense", spark, sf).select("question_id", "chunk_id", "rank"), frame("lexical", spark, sf).select("question_id", "chunk_id", "rank")
+    """The dense and the lexical stream, each computed once and written."""
+    return tuple(durable(frame(name, spark, sf).select("question_id", "chunk_id", "rank")) for name in ("dense", "lexical"))
+
+
+def on_both(spark, sf, plan):
+    """``plan`` on both streams, each computed once."""
+    return plan(*both(spark, sf))
 
 
 def fuse_sql(a: str, b: str, w1: float, w2: float, digits: int | None, most: int, k: int = 60) -> str:
@@ -86,7 +110,7 @@ query("hybrid_pool_sizing", with_ctes((), "SELECT item_id AS question_id, least(
 query("dual_path_rrf", with_ctes(("dense", "lexical"), fuse_sql("dense", "lexical", 0.7, 0.3, 8, 10)))(lambda s, f: fused(retrieve.rrf(list(zip(both(s, f), (0.7, 0.3), strict=True)), digits=8, most=10)))
 query("graph_primary_fuse", with_ctes(("dense", "lexical"), fuse_sql("dense", "lexical", 0.5, 0.5, None, 20)))(lambda s, f: fused(retrieve.rrf([(x, 0.5) for x in both(s, f)], most=20)))
 query("rrf_outer", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_id, x.rank AS dense_rank, y.rank AS lexical_rank FROM dense x FULL JOIN lexical y USING (question_id, chunk_id)"))(
-    lambda s, f: both(s, f)[0].withColumnRenamed("rank", "dense_rank").join(both(s, f)[1].withColumnRenamed("rank", "lexical_rank"), ["question_id", "chunk_id"], "full")
+    lambda s, f: on_both(s, f, lambda d, l: d.withColumnRenamed("rank", "dense_rank").join(l.withColumnRenamed("rank", "lexical_rank"), ["question_id", "chunk_id"], "full"))
 )
 INTERLEAVE = "SELECT question_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, stream, chunk_id) AS place FROM (SELECT question_id, chunk_id, min(rank) AS rank, min_by(stream, rank * 2 + stream) AS stream FROM (SELECT question_id, chunk_id, rank, 0 AS stream FROM dense UNION ALL SELECT question_id, chunk_id, rank, 1 FROM lexical) GROUP BY 1, 2)) WHERE place <= 8"
 
@@ -102,22 +126,22 @@ query("round_robin_interleave", with_ctes(("dense", "lexical"), INTERLEAVE))(int
 query("visual_text_interleave", with_ctes(("dense", "lexical"), INTERLEAVE.replace("place <= 8", "place <= 12")))(lambda s, f: interleave(s, f, 12))
 query("rank_within_stream", with_ctes(("dense",), "SELECT question_id, chunk_id, rank FROM dense"))(lambda s, f: frame("dense", s, f).select("question_id", "chunk_id", "rank"))
 query("concat_streams", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_id, 0::BIGINT AS stream, rank FROM dense UNION ALL SELECT question_id, chunk_id, 1, rank FROM lexical"))(
-    lambda s, f: both(s, f)[0].withColumn("stream", F.lit(0).cast("long")).unionByName(both(s, f)[1].withColumn("stream", F.lit(1).cast("long")))
+    lambda s, f: on_both(s, f, lambda d, l: d.withColumn("stream", F.lit(0).cast("long")).unionByName(l.withColumn("stream", F.lit(1).cast("long"))))
 )
 query("topk_per_stream", with_ctes(("dense", "lexical"), "SELECT question_id, stream, count(*)::BIGINT AS kept, (sum(CASE WHEN rank > 5 THEN 1 ELSE 0 END))::BIGINT AS truncated FROM (SELECT question_id, 'dense' AS stream, rank FROM dense UNION ALL SELECT question_id, 'lexical', rank FROM lexical) GROUP BY 1, 2"))(
-    lambda s, f: both(s, f)[0].withColumn("stream", F.lit("dense")).unionByName(both(s, f)[1].withColumn("stream", F.lit("lexical"))).groupBy("question_id", "stream").agg(F.count(F.lit(1)).alias("kept"), F.count_if(c("rank") > 5).alias("truncated"))
+    lambda s, f: on_both(s, f, lambda d, l: d.withColumn("stream", F.lit("dense")).unionByName(l.withColumn("stream", F.lit("lexical"))).groupBy("question_id", "stream").agg(F.count(F.lit(1)).alias("kept"), F.count_if(c("rank") > 5).alias("truncated")))
 )
 query("identity_dedupe", with_ctes(("dense", "lexical"), "SELECT question_id, count(*)::BIGINT AS identities, sum(n - 1)::BIGINT AS duplicates FROM (SELECT question_id, chunk_id, count(*) AS n FROM (SELECT question_id, chunk_id FROM dense UNION ALL SELECT question_id, chunk_id FROM lexical) GROUP BY 1, 2) GROUP BY 1"))(
-    lambda s, f: both(s, f)[0].unionByName(both(s, f)[1]).groupBy("question_id", "chunk_id").count().groupBy("question_id").agg(F.count(F.lit(1)).alias("identities"), F.sum(c("count") - 1).alias("duplicates"))
+    lambda s, f: on_both(s, f, lambda d, l: d.unionByName(l).groupBy("question_id", "chunk_id").count().groupBy("question_id").agg(F.count(F.lit(1)).alias("identities"), F.sum(c("count") - 1).alias("duplicates")))
 )
 query("fuse_evidence", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY stream, rank, chunk_id) AS place FROM (SELECT question_id, chunk_id, min(stream) AS stream, min_by(rank, stream) AS rank FROM (SELECT question_id, chunk_id, rank, 0 AS stream FROM dense WHERE rank <= 8 UNION ALL SELECT question_id, chunk_id, rank, 1 FROM lexical WHERE rank <= 8) GROUP BY 1, 2)) WHERE place <= 12"))(
-    lambda s, f: both(s, f)[0].where("rank <= 8").withColumn("stream", F.lit(0)).unionByName(both(s, f)[1].where("rank <= 8").withColumn("stream", F.lit(1))).groupBy("question_id", "chunk_id").agg(F.min(F.struct("stream", "rank")).alias("b")).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("b.stream", "b.rank", "chunk_id")).cast("long")).where("place <= 12").select("question_id", "chunk_id", "place")
+    lambda s, f: on_both(s, f, lambda d, l: d.where("rank <= 8").withColumn("stream", F.lit(0)).unionByName(l.where("rank <= 8").withColumn("stream", F.lit(1))).groupBy("question_id", "chunk_id").agg(F.min(F.struct("stream", "rank")).alias("b")).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("b.stream", "b.rank", "chunk_id")).cast("long")).where("place <= 12").select("question_id", "chunk_id", "place"))
 )
 query("augment_structure", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_id FROM dense WHERE rank <= 10 UNION ALL SELECT question_id, chunk_id FROM lexical l WHERE NOT EXISTS (SELECT 1 FROM dense d WHERE d.question_id = l.question_id AND d.chunk_id = l.chunk_id AND d.rank <= 10)"))(
-    lambda s, f: both(s, f)[0].where("rank <= 10").drop("rank").unionByName(both(s, f)[1].drop("rank").join(both(s, f)[0].where("rank <= 10"), ["question_id", "chunk_id"], "left_anti"))
+    lambda s, f: on_both(s, f, lambda d, l: d.where("rank <= 10").drop("rank").unionByName(l.drop("rank").join(d.where("rank <= 10"), ["question_id", "chunk_id"], "left_anti")))
 )
 query("order_bands", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_id, band, row_number() OVER (PARTITION BY question_id ORDER BY band, rank, chunk_id) AS place FROM (SELECT question_id, chunk_id, rank, 0::BIGINT AS band FROM dense WHERE rank <= 5 UNION ALL SELECT question_id, chunk_id, rank, 1 FROM lexical WHERE rank <= 2)"))(
-    lambda s, f: both(s, f)[0].where("rank <= 5").withColumn("band", F.lit(0).cast("long")).unionByName(both(s, f)[1].where("rank <= 2").withColumn("band", F.lit(1).cast("long"))).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("band", "rank", "chunk_id")).cast("long")).drop("rank")
+    lambda s, f: on_both(s, f, lambda d, l: d.where("rank <= 5").withColumn("band", F.lit(0).cast("long")).unionByName(l.where("rank <= 2").withColumn("band", F.lit(1).cast("long"))).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("band", "rank", "chunk_id")).cast("long")).drop("rank"))
 )
 query("select_evidence", with_ctes(("dense",), "SELECT question_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, chunk_id) AS place FROM (SELECT question_id, chunk_id, round(1.0::DOUBLE / (rank + 1) + 0.15::DOUBLE * score, 9) AS s FROM (SELECT d.*, row_number() OVER (PARTITION BY question_id, label ORDER BY rank) AS per FROM dense d JOIN embeddings e ON e.vec_id = d.chunk_id) WHERE per = 1)) WHERE place <= 6"))(
     lambda s, f: frame("dense", s, f).join(table(s, f, "embeddings").select(c("vec_id").alias("chunk_id"), "label"), "chunk_id").withColumn("per", F.row_number().over(Window.partitionBy("question_id", "label").orderBy("rank"))).where("per = 1").withColumn("s", F.round(1.0 / (c("rank") + 1) + 0.15 * c("score"), 9)).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("s"), "chunk_id")).cast("long")).where("place <= 6").select("question_id", "chunk_id", "place")
