@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.functions import text as T
 from docweft.functions.vocabulary import RELATION_PRIORITY, RELATION_WEIGHTS
 from docweft.session import durable
 
@@ -59,25 +60,98 @@ def neighbours(seeds: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     return ranked.where(F.col("rank") <= most).select("seed", "chunk_id", names.alias("relation"), F.col("rank").cast("long").alias("rank"))
 
 
-def ancestors(nodes: DataFrame, tree: DataFrame, deepest: int = 8) -> DataFrame:
-    """``node, ancestor, depth`` from ``tree(id, parent_id)``, nearest first; a repeated id ends the walk."""
-    level = nodes.select("node", F.col("node").alias("ancestor"), F.array("node").alias("_seen"))
-    out = None
-    for depth in range(1, deepest + 1):
-        level = level.join(tree.where("parent_id IS NOT NULL").select(F.col("id").alias("ancestor"), "parent_id"), "ancestor").where(~F.array_contains("_seen", F.col("parent_id")))
-        level = level.select("node", F.col("parent_id").alias("ancestor"), F.array_append("_seen", F.col("parent_id")).alias("_seen"))
-        part = level.select("node", "ancestor", F.lit(depth).alias("depth"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def descendants(roots: DataFrame, tree: DataFrame, deepest: int = 4, most: int = 10_000) -> DataFrame:
-    """``root, id, depth`` below ``roots(root)``, breadth first by (depth, id), at most ``most`` per root."""
-    frontier = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"))
-    reached = frontier
-    for depth in range(1, deepest + 1):
-        step = frontier.select("root", F.col("id").alias("parent_id")).join(tree, "parent_id").select("root", "id", F.lit(depth).alias("depth")).distinct()
-        frontier = durable(step.join(reached.select("root", "id"), ["root", "id"], "left_anti"))
-        reached = reached.unionByName(frontier)
+def closure(tree: DataFrame) -> DataFrame:
+    """``node, ancestor, depth`` of every node of ``tree(id, parent_id)``, by pointer doubling.
+
+    Round ``k`` knows each node's ancestors within ``2^k`` steps and the one exactly that far up; joining the two doubles both, so a
+    chain of ``n`` takes ``log n`` rounds. A walk ends at the root or before an id that it has met, so cycles give each other
+    member once. Rounds go on until one adds no pair.
+    """
+    links = tree.where("parent_id IS NOT NULL AND id IS NOT NULL").select(F.col("id").alias("node"), F.col("parent_id").alias("ancestor")).distinct()
+    jump = durable(links)
+    known, step = durable(links.where("node <> ancestor").withColumn("depth", F.lit(1).cast("long"))), 1
+    size = known.count()
+    while size:
+        above = known.select(F.col("node").alias("_far"), F.col("ancestor").alias("_up"), "depth").unionByName(jump.select(F.col("ancestor").alias("_far"), F.col("ancestor").alias("_up"), F.lit(0).cast("long").alias("depth")).distinct())
+        further = jump.withColumnRenamed("ancestor", "_far").join(above, "_far").where("node <> _up").select("node", F.col("_up").alias("ancestor"), (F.col("depth") + step).alias("depth"))
+        grown = durable(known.unionByName(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        jump = durable(jump.withColumnRenamed("ancestor", "_far").join(jump.select(F.col("node").alias("_far"), "ancestor"), "_far").select("node", "ancestor"))
+        known, step, before, size = grown, 2 * step, size, grown.count()
+        if size == before:
+            break
+    return known.select("node", "ancestor", F.col("depth").cast("int").alias("depth"))
+
+
+def ancestors(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """``node, ancestor, depth`` of ``nodes(node)``, at any depth; a repeated id ends the walk."""
+    return closure(tree).join(nodes.select("node").distinct(), "node", "left_semi")
+
+
+def descendants(roots: DataFrame, tree: DataFrame, deepest: int | None = None, most: int | None = None) -> DataFrame:
+    """``root, id, depth`` below ``roots(root)``; ``deepest`` asks for so many levels only, ``most`` for so many by (depth, id)."""
+    if deepest is None:
+        below = closure(tree).select(F.col("ancestor").alias("root"), F.col("node").alias("id"), "depth").join(roots.select("root").distinct(), "root", "left_semi")
+    else:
+        reached = frontier = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"))
+        for depth in range(1, deepest + 1):
+            step = frontier.select("root", F.col("id").alias("parent_id")).join(tree, "parent_id").select("root", "id", F.lit(depth).alias("depth")).distinct()
+            frontier = durable(step.join(reached.select("root", "id"), ["root", "id"], "left_anti"))
+            reached = reached.unionByName(frontier)
+        below = reached.where("depth > 0")
+    if most is None:
+        return below
     rank = F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))
-    return reached.where("depth > 0").withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+    return below.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
+def relation_rows(relations: DataFrame, mentions: DataFrame, entities: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Relations with the names of both ends and their source, ``owner, rid, subject_id, subject, predicate, object_id, object, quote, chunk_id, content, document_id``.
+
+    Both mentions must agree with the relation in owner, document and chunk, entities and document in owner, the chunk in document.
+    """
+    ends = relations
+    for end in ("subject", "object"):
+        at = mentions.select(F.col("mention_id").alias(f"{end}_mention"), F.col("entity_id").alias(f"{end}_id"), "owner", "document_id", "chunk_id")
+        names = entities.select(F.col("entity_id").alias(f"{end}_id"), "owner", F.col("name").alias(end))
+        ends = ends.join(at, [f"{end}_mention", "owner", "document_id", "chunk_id"]).join(names, [f"{end}_id", "owner"])
+    placed = ends.join(chunks.select("chunk_id", "document_id", "content"), ["chunk_id", "document_id"]).join(documents.select("document_id", "owner"), ["document_id", "owner"])
+    return placed.select("owner", "rid", "subject_id", "subject", "predicate", "object_id", "object", "quote", "chunk_id", "content", "document_id")
+
+
+def entity_seeds(questions: DataFrame, entities: DataFrame, most: int = 8) -> DataFrame:
+    """``question_id, owner, entity_id, name``: entities of the owner that a phrase of ``questions(question_id, owner, question)`` names, longest names first."""
+    named = questions.select("question_id", "owner", F.explode(T.phrases(F.col("question"))).alias("_name"))
+    met = named.join(entities.select("owner", "entity_id", "name", T.normalize(F.col("name")).alias("_name")), ["owner", "_name"])
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.length("_name")), "_name", "entity_id")
+    return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("question_id", "owner", "entity_id", "name")
+
+
+def walk_relations(seeds: DataFrame, rows: DataFrame, hops: int = 3, most_nodes: int = 48, most_rows: int = 128, most: int = 8) -> DataFrame:
+    """``question_id, chunk_id, document_id, hops, path, place``: source chunks that factual relations reach from ``seeds``, with the path.
+
+    Messages pass along relations in both directions; each carries its path. Per hop a question reads its first ``most_rows`` relations
+    by id (the subject is the anchor, if both ends are in the frontier); a node keeps the path of the first of them, and new nodes join up
+    to ``most_nodes``. A chunk whose text holds the relation's quote is evidence, once, by (hops, path).
+    """
+    visited = durable(seeds.select("question_id", "owner", "entity_id", F.array("name").alias("path")))
+    frontier, found = visited, None
+    held = F.coalesce(F.col("content").contains(F.trim("quote")) & (F.trim("quote") != ""), F.lit(False))
+    ends = rows.select("owner", "rid", F.col("subject_id").alias("near"), F.lit(0).alias("_side"), F.col("object_id").alias("far"), F.array("predicate", "object").alias("_step"), "chunk_id", "document_id", held.alias("_held"))
+    back = rows.select("owner", "rid", F.col("object_id").alias("near"), F.lit(1).alias("_side"), F.col("subject_id").alias("far"), F.array(F.concat(F.lit("← "), "predicate"), F.col("subject")).alias("_step"), "chunk_id", "document_id", held.alias("_held"))
+    both_ways = ends.unionByName(back)
+    for hop in range(1, hops + 1):
+        sent = frontier.select("question_id", "owner", F.col("entity_id").alias("near"), "path").join(both_ways, ["owner", "near"])
+        once = sent.withColumn("_o", F.row_number().over(Window.partitionBy("question_id", "rid").orderBy("_side"))).where("_o = 1")
+        read = once.withColumn("_o", F.row_number().over(Window.partitionBy("question_id").orderBy("rid"))).where(F.col("_o") <= most_rows)
+        read = durable(read.select("question_id", "owner", "rid", "far", F.concat("path", "_step").alias("path"), "chunk_id", "document_id", "_held"))
+        told = read.where("_held").select("question_id", "chunk_id", "document_id", F.lit(hop).cast("long").alias("hops"), F.array_join("path", " ").alias("path"))
+        found = told if found is None else found.unionByName(told)
+        if hop < hops:
+            fresh = read.groupBy("question_id", "owner", F.col("far").alias("entity_id")).agg(F.min(F.struct("rid", "path")).alias("_m")).join(visited.select("question_id", "entity_id"), ["question_id", "entity_id"], "left_anti")
+            room = visited.groupBy("question_id").agg((most_nodes - F.count(F.lit(1))).alias("_room"))
+            ranked = fresh.join(room, "question_id").withColumn("_r", F.row_number().over(Window.partitionBy("question_id").orderBy("_m.rid", "entity_id"))).where("_r <= _room")
+            frontier = durable(ranked.select("question_id", "owner", "entity_id", F.col("_m.path").alias("path")))
+            visited = visited.unionByName(frontier)
+    best = found.groupBy("question_id", "chunk_id", "document_id").agg(F.min(F.struct("hops", "path")).alias("_b")).select("question_id", "chunk_id", "document_id", "_b.hops", "_b.path")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("hops", "document_id", "chunk_id")).cast("long")
+    return best.withColumn("place", place).where(F.col("place") <= most)

@@ -44,8 +44,6 @@ def pairs(spark, sf):
     return frame("questions", spark, sf)
 
 
-query("relation_verdict")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(A.relation_verdict, "string")("question", "evidence").alias("verdict")))
-query("entity_alignment")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: A.alignment(e[:60], q, e), "boolean")("question", "evidence").alias("aligned")))
 query("support_points")(lambda s, f: pairs(s, f).select("question_id", F.posexplode(A.text_udf(lambda q, e: [t for _, t in A.support_points(q, [e])], "array<string>")("question", "evidence")).alias("place", "point")))
 query("retain_supported")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: A.retain_supported(e + " Nothing here is known.", [e]), "string")("question", "evidence").alias("answer")))
 query("prioritize_parts")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: A.promote_parts([q], A.sentences(e)), "array<int>")("question", "evidence").alias("order")))

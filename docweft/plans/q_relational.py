@@ -168,13 +168,6 @@ WORDS = "SELECT question_id, UNNEST(list_distinct(w)) AS t FROM (SELECT question
 query("rare_question_term", with_ctes(("questions",), f"SELECT question_id, min_by(t, k) AS term FROM (SELECT question_id, t, df * 1000000 + row_number() OVER (ORDER BY t) AS k FROM (SELECT question_id, t, count(*) OVER (PARTITION BY t) AS df FROM ({WORDS}))) GROUP BY 1"))(
     lambda s, f: frame("questions", s, f).select("question_id", F.explode(F.array_distinct(T.content_tokens(c("question")))).alias("t")).withColumn("df", F.count("*").over(Window.partitionBy("t"))).groupBy("question_id").agg(F.min(F.struct("df", "t")).alias("m")).select("question_id", c("m.t").alias("term"))
 )
-CELL = "SELECT chunk_id, UNNEST(list_transform(string_split(content, '|'), lambda x: trim(x))) AS cell FROM lines WHERE len(string_split(content, '|')) >= 3"
-query("table_answer", with_ctes(("lines",), f"SELECT cell, min(chunk_id) AS chunk_id FROM ({CELL}) WHERE length(cell) > 3 GROUP BY 1 HAVING count(DISTINCT chunk_id) = 1"))(
-    lambda s, f: frame("lines", s, f).where(F.size(F.split("content", r"\|")) >= 3).select("chunk_id", F.explode(F.transform(F.split("content", r"\|"), lambda x: F.trim(x))).alias("cell")).where(F.length("cell") > 3).groupBy("cell").agg(F.min("chunk_id").alias("chunk_id"), F.count_distinct("chunk_id").alias("n")).where("n = 1").drop("n")
-)
-query("table_row_evidence", with_ctes(("lines",), f"SELECT chunk_id, hits FROM (SELECT chunk_id, hits, row_number() OVER (PARTITION BY chunk_id // 1000000 ORDER BY hits DESC, chunk_id) AS r FROM (SELECT chunk_id, count(*) FILTER (contains(lower(cell), 'ing') OR contains(lower(cell), 'ment')) AS hits FROM ({CELL}) GROUP BY 1) WHERE hits > 0) WHERE r <= 2"))(
-    lambda s, f: frame("lines", s, f).where(F.size(F.split("content", r"\|")) >= 3).select("document_id", "chunk_id", F.size(F.filter(F.transform(F.split("content", r"\|"), lambda x: F.lower(F.trim(x))), lambda x: x.contains("ing") | x.contains("ment"))).cast("long").alias("hits")).where("hits > 0").withColumn("r", rn(["document_id"], F.desc("hits"), "chunk_id")).where("r <= 2").select("chunk_id", "hits")
-)
 query("novel_span_answer", with_ctes(("questions",), f"SELECT question_id, len(list_filter({sql_tokens('evidence')}, lambda t: NOT list_contains({sql_tokens('question')}, t)))::BIGINT AS novel FROM questions"))(lambda s, f: frame("questions", s, f).select("question_id", F.size(F.filter(T.alnum_tokens(c("evidence")), lambda t: ~F.array_contains(T.alnum_tokens(c("question")), t))).cast("long").alias("novel")))
 query("struct_eval_variants", with_ctes(("questions",), f"SELECT question_id, item_id FROM (SELECT q.question_id, b.item_id, row_number() OVER (PARTITION BY q.question_id ORDER BY len(list_intersect({sql_tokens('q.question')}, {sql_tokens('b.text')})) DESC, b.item_id) AS r FROM questions q, benchmark b) WHERE r <= 5"))(
     lambda s, f: table(s, f, "benchmark").select("item_id", F.array_distinct(T.alnum_tokens(c("text"))).alias("w")).join(retrieve.small(frame("questions", s, f).select("question_id", F.array_distinct(T.alnum_tokens(c("question"))).alias("q")))).select("question_id", "item_id", F.size(F.array_intersect("q", "w")).alias("v")).withColumn("r", rn(["question_id"], F.desc("v"), "item_id")).where("r <= 5").select("question_id", "item_id")
@@ -207,4 +200,3 @@ query("retrieve_evidence", with_ctes(("dense", "lexical"), "SELECT question_id,
     lambda s, f: frame("dense", s, f).where("rank <= 6").select("question_id", "chunk_id").union(frame("lexical", s, f).where("rank <= 6").select("question_id", "chunk_id")).distinct().join(table(s, f, "embeddings").select(c("vec_id").alias("chunk_id"), "label"), "chunk_id").groupBy("question_id").agg(F.count("*").alias("evidence"), F.count_distinct("label").alias("documents"))
 )
 query("rag_answer", with_ctes(("dense",), "SELECT question_id, CASE WHEN max(score) < 0.15 THEN 'insufficient' WHEN max(score) < 0.5 THEN 'partial' ELSE 'answered' END AS outcome FROM dense GROUP BY 1"))(lambda s, f: frame("dense", s, f).groupBy("question_id").agg(F.when(F.max("score") < 0.15, "insufficient").when(F.max("score") < 0.5, "partial").otherwise("answered").alias("outcome")))
-query("structured_answer_gate", with_ctes(("lines",), "SELECT document_id, CASE WHEN count(*) FILTER (len(string_split(content, '|')) >= 3) > 0 THEN 'table' WHEN count(*) >= 3 THEN 'list' ELSE 'generate' END AS resolver FROM lines GROUP BY 1"))(lambda s, f: frame("lines", s, f).groupBy("document_id").agg(F.when(F.count_if(F.size(F.split("content", r"\|")) >= 3) > 0, "table").when(F.count("*") >= 3, "list").otherwise("generate").alias("resolver")))

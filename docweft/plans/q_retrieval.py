@@ -192,11 +192,11 @@ def tree(spark, sf):
 query("direct_children", with_ctes(("tree",), "SELECT id FROM tree WHERE parent_id = 'n3'"))(lambda s, f: frame("tree", s, f).where("parent_id = 'n3'").select("id"))
 CHAIN = "SELECT a.id AS node, b.id AS ancestor, 1 AS depth FROM tree a JOIN tree b ON b.id = a.parent_id WHERE a.id LIKE 'o%' UNION ALL SELECT a.id, d.id, 2 FROM tree a JOIN tree b ON b.id = a.parent_id JOIN tree d ON d.id = b.parent_id WHERE a.id LIKE 'o%' UNION ALL SELECT a.id, e.id, 3 FROM tree a JOIN tree b ON b.id = a.parent_id JOIN tree d ON d.id = b.parent_id JOIN tree e ON e.id = d.parent_id WHERE a.id LIKE 'o%'"
 orders_ = lambda s, f: frame("tree", s, f).where("id LIKE 'o%'").select(c("id").alias("node"))
-query("parent_chain", with_ctes(("tree",), CHAIN))(lambda s, f: graph.ancestors(orders_(s, f), frame("tree", s, f), 4))
+query("parent_chain", with_ctes(("tree",), CHAIN))(lambda s, f: graph.ancestors(orders_(s, f), frame("tree", s, f)))
 query("parent_self_join", with_ctes(("tree",), "SELECT a.id, b.id AS parent FROM tree a JOIN tree b ON a.parent_id = b.id"))(lambda s, f: frame("tree", s, f).alias("a").join(frame("tree", s, f).alias("b"), F.expr("a.parent_id = b.id")).select("a.id", c("b.id").alias("parent")))
 DESC = "SELECT a.id AS root, b.id, 1 AS depth FROM tree a JOIN tree b ON b.parent_id = a.id WHERE a.id LIKE 'r%' UNION ALL SELECT a.id, d.id, 2 FROM tree a JOIN tree b ON b.parent_id = a.id JOIN tree d ON d.parent_id = b.id WHERE a.id LIKE 'r%' UNION ALL SELECT a.id, e.id, 3 FROM tree a JOIN tree b ON b.parent_id = a.id JOIN tree d ON d.parent_id = b.id JOIN tree e ON e.parent_id = d.id WHERE a.id LIKE 'r%'"
 roots = lambda s, f: frame("tree", s, f).where("id LIKE 'r%'").select(c("id").alias("root"))
-query("descendants", with_ctes(("tree",), f"SELECT root, id, depth FROM ({DESC}) QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, id) <= 10000"))(lambda s, f: graph.descendants(roots(s, f), frame("tree", s, f), 4))
+query("descendants", with_ctes(("tree",), f"SELECT root, id, depth FROM ({DESC}) "))(lambda s, f: graph.descendants(roots(s, f), frame("tree", s, f)))
 query("element_expand", with_ctes(("tree",), f"SELECT root, id, depth FROM ({DESC}) WHERE depth <= 2"))(lambda s, f: graph.descendants(roots(s, f), frame("tree", s, f), 2))
 query("structural_neighbourhood", with_ctes(("tree",), "SELECT id, 'self' AS role FROM tree WHERE id = 'c7' UNION ALL SELECT parent_id, 'parent' FROM tree WHERE id = 'c7' UNION ALL SELECT id, 'child' FROM tree WHERE parent_id = 'c7'"))(
     lambda s, f: frame("tree", s, f).where("id = 'c7' OR parent_id = 'c7'").select(F.explode(F.array_compact(F.array(F.when(c("id") == "c7", F.struct(c("id").alias("id"), F.lit("self").alias("role"))), F.when(c("id") == "c7", F.struct(c("parent_id").alias("id"), F.lit("parent").alias("role"))), F.when(c("parent_id") == "c7", F.struct(c("id").alias("id"), F.lit("child").alias("role")))))).alias("x")).select("x.*")
@@ -211,21 +211,65 @@ def relations(spark, sf):
         (c("l_orderkey") * 10 + c("l_linenumber")).alias("rid"), F.concat(F.lit("c"), c("o_custkey").cast("string")).alias("subject"), F.lower("o_orderpriority").alias("predicate"), F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("object"), c("l_orderkey").alias("chunk_id"))
 
 
-FRONT = "('c3', 'c7', 'p5', 'p12')"
-query("kg_relation_join", with_ctes(("relations",), f"SELECT rid, subject, predicate, object, chunk_id FROM relations WHERE subject IN {FRONT} OR object IN {FRONT} ORDER BY rid, chunk_id, subject, object LIMIT 128"))(
-    lambda s, f: frame("relations", s, f).where(f"subject IN {FRONT} OR object IN {FRONT}").orderBy("rid", "chunk_id", "subject", "object").limit(128)
-)
-query("kg_retrieve", with_ctes(("relations",), f"SELECT * FROM (WITH h AS (SELECT DISTINCT chunk_id, object AS far, 1 AS hops FROM relations WHERE subject IN {FRONT} UNION SELECT DISTINCT chunk_id, subject, 1 FROM relations WHERE object IN {FRONT}), g AS (SELECT chunk_id, hops FROM h UNION ALL SELECT r.chunk_id, 2 FROM relations r JOIN (SELECT DISTINCT far FROM h) x ON r.subject = x.far OR r.object = x.far) SELECT chunk_id, min(hops)::INTEGER AS hops FROM g GROUP BY 1)"))(
-    lambda s, f: _kg(frame("relations", s, f))
+# Facts of an owner's documents: an order says that a customer and a part are linked; an order divisible by 11 has a quote that its chunk lacks.
+SAID = "'cust' || o_custkey || ' ' || lower(o_orderpriority) || ' part' || (o_orderkey % 97)"
+relation(
+    "facts",
+    f"""SELECT o_orderkey AS rid, o_custkey AS document_id, 'u' || (o_custkey % 3) AS owner, o_custkey * 100 + o_orderkey % 3 AS chunk_id, lower(o_orderpriority) AS predicate, 'cust' || o_custkey AS subject, 'part' || (o_orderkey % 97) AS object,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'unread' ELSE {SAID} END AS quote, string_agg({SAID}, '. ') OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS content FROM orders""",
 )
 
 
-def _kg(r):
-    """Two hops in both directions from seed entities; the OR on two columns is a union of two equi joins."""
-    both_ways = r.select(c("subject").alias("near"), c("object").alias("far"), "chunk_id").unionByName(r.select(c("object").alias("near"), c("subject").alias("far"), "chunk_id"))
-    first = both_ways.where(f"near IN {FRONT}").select("chunk_id", "far").distinct()
-    second = both_ways.join(first.select(c("far").alias("near")).distinct(), "near", "left_semi").select("chunk_id", F.lit(2).alias("hops"))
-    return first.select("chunk_id", F.lit(1).alias("hops")).unionByName(second).groupBy("chunk_id").agg(F.min("hops").alias("hops"))
+@relation("linking", "SELECT c_custkey AS question_id, 'u' || (c_custkey % 3) AS owner, 'How is cust' || c_custkey || ' linked to part' || (c_custkey % 97) || '?' AS question FROM customer WHERE c_custkey % 20 = 0")
+def linking(spark, sf):
+    k = c("c_custkey")
+    return table(spark, sf, "customer").where("c_custkey % 20 = 0").select(k.alias("question_id"), F.concat(F.lit("u"), (k % 3).cast("string")).alias("owner"), F.concat(F.lit("How is cust"), k.cast("string"), F.lit(" linked to part"), (k % 97).cast("string"), F.lit("?")).alias("question"))
+
+
+def knowledge(spark, sf):
+    """The five tables of the entity graph: relations, mentions, entities, chunks, documents."""
+    key, text = c("o_orderkey"), lambda x: x.cast("string")
+    said = F.concat_ws(" ", F.concat(F.lit("cust"), text(c("document_id"))), "predicate", F.concat(F.lit("part"), text(c("rid") % 97)))
+    owner = F.concat(F.lit("u"), text(c("document_id") % 3))
+    base = table(spark, sf, "orders").select(key.alias("rid"), c("o_custkey").alias("document_id"), F.lower("o_orderpriority").alias("predicate")).withColumn("owner", owner).withColumn("chunk_id", c("document_id") * 100 + c("rid") % 3).withColumn("said", said)
+    ends = base.select("rid", "owner", "document_id", "chunk_id", F.explode(F.array(F.struct((c("rid") * 2).alias("mention_id"), F.concat(F.lit("cust"), text(c("document_id"))).alias("name")), F.struct((c("rid") * 2 + 1).alias("mention_id"), F.concat(F.lit("part"), text(c("rid") % 97)).alias("name")))).alias("m"))
+    ends = ends.select("owner", "document_id", "chunk_id", "m.mention_id", "m.name", F.concat_ws(":", "owner", "m.name").alias("entity_id"))
+    relations_ = base.select("owner", "rid", "predicate", "document_id", "chunk_id", (c("rid") * 2).alias("subject_mention"), (c("rid") * 2 + 1).alias("object_mention"), F.when(c("rid") % 11 == 0, "unread").otherwise(c("said")).alias("quote"))
+    chunks_ = base.groupBy("chunk_id", "document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rid", "said"))), lambda x: x["said"]), ". ").alias("content"))
+    return relations_, ends.drop("name"), ends.select("owner", "entity_id", "name").distinct(), chunks_, base.select("document_id", "owner").distinct()
+
+
+def linked(spark, sf):
+    """Questions' seed entities, and all relations with names and sources."""
+    relations_, mentions, entities, chunks_, documents = knowledge(spark, sf)
+    return graph.entity_seeds(frame("linking", spark, sf), entities), durable(graph.relation_rows(relations_, mentions, entities, chunks_, documents))
+
+
+TOKENS = sql_tokens("question")
+relation("fact_seeds", f"SELECT DISTINCT question_id, l.owner, name FROM linking l JOIN (SELECT DISTINCT owner, UNNEST([subject, object]) AS name FROM facts) e ON e.owner = l.owner AND list_contains({TOKENS}, e.name)", ("facts", "linking"))
+query("kg_relation_join", with_ctes(("facts", "fact_seeds"), "SELECT DISTINCT rid, subject, predicate, object, chunk_id, document_id FROM facts f JOIN fact_seeds s ON s.owner = f.owner AND (s.name = f.subject OR s.name = f.object)"))(lambda s, f: _at_seeds(*linked(s, f)))
+
+
+def _at_seeds(seeds, rows):
+    """Relations with a seed at either end; the OR on two columns is a union of two equi joins."""
+    ends = [rows.join(seeds.select("owner", c("entity_id").alias(side)).distinct(), ["owner", side], "left_semi").select("rid", "subject", "predicate", "object", "chunk_id", "document_id") for side in ("subject_id", "object_id")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
+def _walk_sql(hops, nodes, rows, most):
+    """One block of common table expressions per hop."""
+    out = ["v0 AS (SELECT question_id, owner, name AS node, [name] AS path FROM fact_seeds)", "w AS (SELECT owner, rid, subject AS near, 0 AS side, object AS far, [predicate, object] AS step, chunk_id, document_id, contains(content, quote) AS held FROM facts UNION ALL SELECT owner, rid, object, 1, subject, ['← ' || predicate, subject], chunk_id, document_id, contains(content, quote) FROM facts)"]
+    for h in range(1, hops + 1):
+        out.append(f"r{h} AS (SELECT * FROM (SELECT v.question_id, v.owner, rid, far, list_concat(path, step) AS path, chunk_id, document_id, held FROM {'v0' if h == 1 else f'n{h - 1}'} v JOIN w ON w.owner = v.owner AND w.near = v.node QUALIFY row_number() OVER (PARTITION BY v.question_id, rid ORDER BY side) = 1) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rid) <= {rows})")
+        if h < hops:
+            out.append(f"n{h} AS (SELECT question_id, owner, far AS node, path FROM (SELECT question_id, owner, far, min(rid) AS rid, min_by(path, rid) AS path FROM r{h} r WHERE NOT EXISTS (SELECT 1 FROM v{h - 1} v WHERE v.question_id = r.question_id AND v.node = r.far) GROUP BY 1, 2, 3) JOIN (SELECT question_id, {nodes} - count(*) AS room FROM v{h - 1} GROUP BY 1) USING (question_id) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rid, owner || ':' || far) <= room)")
+            out.append(f"v{h} AS (SELECT * FROM v{h - 1} UNION ALL SELECT * FROM n{h})")
+    found = " UNION ALL ".join(f"SELECT question_id, chunk_id, document_id, {h}::BIGINT AS hops, array_to_string(path, ' ') AS path FROM r{h} WHERE held" for h in range(1, hops + 1))
+    best = f"SELECT question_id, chunk_id, document_id, min(hops) AS hops, min_by(path, (hops, path)) AS path FROM ({found}) GROUP BY 1, 2, 3"
+    return f"SELECT * FROM (WITH {', '.join(out)} SELECT question_id, chunk_id, document_id, hops, path, row_number() OVER (PARTITION BY question_id ORDER BY hops, document_id, chunk_id) AS place FROM ({best}) QUALIFY place <= {most})"
+
+
+query("kg_retrieve", with_ctes(("facts", "fact_seeds"), _walk_sql(3, 48, 128, 8)))(lambda s, f: graph.walk_relations(*linked(s, f)))
 
 
 # Topics and budgets
