@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docweft.functions import text as T
 from docweft.operators import answers as A
 from docweft.operators import chunking as C
-from docweft.operators import retrieve
+from docweft.operators import near, retrieve
 from docweft.plans import q_relational  # noqa: F401  registers what the queries below build on
 from docweft.plans.base import frame, with_ctes
 from docweft.plans.registry import query
@@ -71,17 +71,8 @@ def bootstrap(spark, sf, rounds=200):
 query("bootstrap_ci")(bootstrap)
 
 
-def near_questions(spark, sf):
-    """Near-duplicate texts by blocked comparison: sorted texts meet their next few neighbours, then the exact ratio decides."""
-    a = frame("answers", spark, sf).select("example_id", "category", F.lower("predicted").alias("q"))
-    w = Window.partitionBy("category", F.substring("q", 1, 2)).orderBy("q", "example_id")
-    ahead = a.withColumn("all", F.array(*[F.struct(F.lead("example_id", k).over(w).alias("other"), F.lead("q", k).over(w).alias("r")) for k in (1, 2, 3)]))
-    near = ahead.select("example_id", "q", F.explode("all").alias("n")).where("n.other IS NOT NULL AND n.r <> q")
-    scored = near.withColumn("ratio", A.text_udf(lambda x, y: round(SequenceMatcher(None, x, y).ratio(), 3), "double")("q", "n.r")).where("ratio >= 0.85")
-    return scored.select("example_id", c("n.other").alias("other"), "ratio", F.when(c("ratio") >= 0.95, "DUPLICATE_PATTERN").otherwise("LEGITIMATE_VARIATION").alias("kind"))
-
-
-query("near_dups")(near_questions)
+# Near duplicates: whole benchmark items.
+query("near_dups")(lambda s, f: near.near_pairs(table(s, f, "benchmark").select(c("item_id").alias("id"), c("text").alias("q"))))
 
 
 def ann(spark, sf, k=10):

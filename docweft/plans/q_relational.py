@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
-from docweft.operators import retrieve
+from docweft.operators import folds, retrieve
 from docweft.plans.base import frame, relation, with_ctes
 from docweft.plans.q_scalars import CONTENT, sql_tokens
 from docweft.plans import q_retrieval  # noqa: F401  registers dense, lexical, edges, tree, islands
@@ -76,26 +76,18 @@ query("first_user_preview", with_ctes((), "SELECT conv_id, substr(min_by(text, t
 query("history_tail", with_ctes((), "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role IN ('user', 'assistant')) WHERE r <= 3"))(lambda s, f: table(s, f, "conversations").where("role IN ('user', 'assistant')").withColumn("r", rn(["conv_id"], F.desc("turn"))).where("r <= 3").select("conv_id", "turn", "role"))
 query("last_user_question", with_ctes((), "SELECT conv_id, trim(max_by(text, turn)) AS question FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1"))(lambda s, f: table(s, f, "conversations").where("role = 'user' AND trim(text) <> ''").groupBy("conv_id").agg(F.trim(F.max_by("text", "turn")).alias("question")))
 LEVEL = "(1 + chunk_index * 7 % 3)"
-HEADS = f"SELECT document_id, chunk_id, chunk_index, {LEVEL}::INT AS level, coalesce(topic, 'none') AS heading FROM chunks WHERE chunk_index < 60"
+HEADS = f"SELECT document_id, chunk_id, chunk_index, {LEVEL}::INT AS level, coalesce(topic, 'none') AS heading FROM chunks"
 
 
 @relation("headings", HEADS, ("chunks",))
 def headings(spark, sf):
     """Headings with levels 1 to 3 in sequence, made of the chunks."""
-    return frame("chunks", spark, sf).where("chunk_index < 60").select("document_id", "chunk_id", "chunk_index", (1 + c("chunk_index") * 7 % 3).cast("int").alias("level"), F.coalesce("topic", F.lit("none")).alias("heading"))
+    return frame("chunks", spark, sf).select("document_id", "chunk_id", "chunk_index", (1 + c("chunk_index") * 7 % 3).cast("int").alias("level"), F.coalesce("topic", F.lit("none")).alias("heading"))
 
 
 def heading_paths(spark, sf):
-    """Path of every heading: the fold ``path[:level-1] + [heading]`` as one JVM aggregate per document."""
-    h = frame("headings", spark, sf)
-    rows = h.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "level", "heading"))).alias("all"))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<chunk_id:bigint,path:string>>").alias("out"))
-
-    def step(s, x):
-        path = F.concat(F.slice(s["path"], F.lit(1), x["level"] - 1), F.array(x["heading"]))
-        return F.struct(path.alias("path"), F.array_append(s["out"], F.struct(x["chunk_id"].alias("chunk_id"), F.array_join(path, " > ").alias("path"))).alias("out"))
-
-    return rows.select(F.explode(F.aggregate("all", start, step)["out"]).alias("o")).select("o.*")
+    """Path of every heading: the fold ``path[:level-1] + [heading]`` along each document."""
+    return folds.along_documents(frame("headings", spark, sf), folds.HeadingStack(), "document_id", "chunk_index", "chunk_id").select("chunk_id", "path")
 
 
 query("heading_path_scan", with_ctes(("headings",), "SELECT chunk_id, array_to_string(path, ' > ') AS path FROM (WITH RECURSIVE r AS (SELECT document_id, chunk_id, chunk_index, [heading] AS path FROM headings WHERE chunk_index = 0 UNION ALL SELECT h.document_id, h.chunk_id, h.chunk_index, list_append(r.path[1:h.level - 1], h.heading) FROM r JOIN headings h ON h.document_id = r.document_id AND h.chunk_index = r.chunk_index + 1) SELECT * FROM r)"))(heading_paths)

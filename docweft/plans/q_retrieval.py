@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
-from docweft.operators import fulltext, graph, retrieve
+from docweft.operators import folds, fulltext, graph, retrieve
 from docweft.plans.base import frame, relation, with_ctes
 from docweft.plans.q_scalars import CONTENT, sql_list, sql_stem, sql_tokens
 from docweft.plans.registry import query
@@ -333,12 +333,15 @@ query("token_start_buckets", with_ctes(("buckets",), "SELECT chunk_id, bucket, b
 query("parent_bucket_join", with_ctes(("buckets",), "SELECT DISTINCT s.document_id, s.bucket, p.chunk_id FROM buckets s JOIN buckets p USING (document_id, bucket) WHERE s.chunk_id % 50 = 0"))(
     lambda s, f: frame("buckets", s, f).where("chunk_id % 50 = 0").select("document_id", "bucket").distinct().join(frame("buckets", s, f).select("document_id", "bucket", "chunk_id"), ["document_id", "bucket"])
 )
-PACKED = "SELECT document_id, chunk_index, chunk_id, token_count FROM chunks WHERE chunk_index < 30"
+PACKED = "SELECT document_id, chunk_index, chunk_id, token_count FROM chunks"
 
 
 def packed(spark, sf, budget=600):
-    k = frame("chunks", spark, sf).where("chunk_index < 30").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "token_count"))), lambda x: F.struct(x["chunk_id"].alias("id"), x["token_count"].alias("tokens"))).alias("items"))
-    return k.withColumn("p", retrieve.pack_skip(c("items"), budget)).select("document_id", c("p.used").alias("used"), F.array_join(c("p.ids").cast("array<string>"), ",").alias("included"))
+    """Chunks of each document in order within the budget; what does not fit is skipped."""
+    rows = folds.along_documents(frame("chunks", spark, sf).withColumn("tokens", c("token_count")), folds.SkipPacking(budget), "document_id", "chunk_index", "chunk_id")
+    kept = F.array_sort(F.collect_list(F.when(c("included"), F.struct("chunk_index", "chunk_id"))))
+    placed = rows.join(frame("chunks", spark, sf).select("chunk_id", "chunk_index"), "chunk_id")
+    return placed.groupBy("document_id").agg(F.max("used").alias("used"), F.array_join(F.transform(kept, lambda x: x["chunk_id"].cast("string")), ",").alias("included"))
 
 
 FOLD = f"""SELECT document_id, used, included FROM (WITH RECURSIVE k AS ({PACKED}), r AS (
