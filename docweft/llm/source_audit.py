@@ -4,7 +4,7 @@ A term is a maximal run of ASCII letters and non-ASCII characters, ``A-Z`` lower
 terms that lie in at least ``LEAST_DOCS`` of its documents. A (language, source) group with ``N`` kept words gives a kept term of
 ``count`` occurrences ``p = 1 + floor(10^9 (count + 5) / (N + 5 V))``; the divergence of two sources sums ``abs(p - q)``.
 
-1. Documents are split once. Words and, marked by a blank, each document's distinct words are exploded together, so that one
+1. Documents are split once. All words and each document's distinct words are exploded as two runs of the same row, so that one
    aggregation with map-side combine gives occurrences and document counts; a hot source or word shrinks before the shuffle.
 2. One window per (language, term), of at most one row per source, finds kept terms and their totals.
 3. Per pair of sources a *joint count histogram* is tallied: how many terms have (count in a, count in b). Only terms that both
@@ -34,7 +34,6 @@ MOST_TERMS = 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs between terms, once A-Z are lower-cased.
 BETWEEN = "[\\x00-\\x60\\x7B-\\x7F]+"
-MARK = " "
 
 
 def terms(text: Column) -> Column:
@@ -45,14 +44,12 @@ def terms(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``lang, source, term, n, docs``; every group also has the empty term, whose ``n`` counts its documents."""
+    """``lang, source, term, n, docs``; every group also has the empty term."""
     named = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
-    split = docs.select(named(lang).alias("lang"), named(source).alias("source"), F.filter(terms(F.col(f"`{text}`")), lambda t: t != "").alias("_t"))
-    distinct = F.transform(F.array_distinct("_t"), lambda t: F.concat(t, F.lit(MARK)))
-    each = split.select("lang", "source", F.explode(F.concat(F.array(F.lit("")), "_t", distinct)).alias("_m"))
-    marked = F.col("_m").endswith(MARK)
-    named_terms = each.select("lang", "source", F.when(marked, F.rtrim("_m")).otherwise(F.col("_m")).alias("term"), marked.alias("_d"))
-    return named_terms.groupBy("lang", "source", "term").agg(F.count_if(~F.col("_d")).alias("n"), F.count_if("_d").alias("docs"))
+    split = docs.select(named(lang).alias("lang"), named(source).alias("source"), terms(F.col(f"`{text}`")).alias("_t"))
+    runs = split.select("lang", "source", F.posexplode(F.array(F.concat(F.array(F.lit("")), "_t"), F.array_distinct("_t"))).alias("_once", "_t"))
+    each = runs.select("lang", "source", "_once", F.explode("_t").alias("term"))
+    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("_once") == 0).alias("n"), F.count_if(F.col("_once") == 1).alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
