@@ -153,18 +153,20 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @relation(
     "regions",
-    """SELECT p_partkey AS region_id, p_size AS page, x0, y0, least(x0 + 0.05 + (p_partkey % 5) * 0.08, 1.2) AS x1, least(y0 + 0.02 + (p_partkey % 3) * 0.03, 1.1) AS y1,
+    """SELECT p_partkey AS region_id, (p_partkey // 40)::INT AS page, x0, y0, least(x0 + CASE WHEN p_partkey % 23 = 0 THEN 0.8 ELSE 0.05 + (p_partkey % 5) * 0.08 END, 1.2) AS x1, least(y0 + 0.02 + (p_partkey % 3) * 0.03, 1.1) AS y1,
     CASE p_partkey % 4 WHEN 0 THEN 'figure' WHEN 1 THEN 'caption' WHEN 2 THEN 'table' ELSE 'text' END AS kind, p_name AS text
-    FROM (SELECT *, (p_partkey * 37 % 100) / 100.0::DOUBLE AS x0, (p_partkey * 53 % 97) / 100.0::DOUBLE AS y0 FROM part)""",
+    FROM (SELECT *, CASE WHEN p_partkey // 40 % 2 = 0 THEN (p_partkey % 2) * 0.55 + (p_partkey * 37 % 10) / 100.0::DOUBLE ELSE (p_partkey * 37 % 100) / 100.0::DOUBLE END AS x0, (p_partkey * 53 % 97) / 100.0::DOUBLE AS y0 FROM part)""",
 )
 def regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Page regions with boxes: parts; page is the size."""
+    """Page regions with boxes: parts, 40 to a page; every other page has two columns, crossed by some wide regions."""
     c = F.col
-    p = table(spark, sf, "part").withColumn("x0", (c("p_partkey") * 37 % 100) / 100.0).withColumn("y0", (c("p_partkey") * 53 % 97) / 100.0)
-    kind = F.element_at(F.array(*map(F.lit, ["figure", "caption", "table", "text"])), (c("p_partkey") % 4 + 1).cast("int"))
+    key = c("p_partkey")
+    x0 = F.when(F.floor(key / 40) % 2 == 0, (key % 2) * 0.55 + (key * 37 % 10) / 100.0).otherwise((key * 37 % 100) / 100.0)
+    p = table(spark, sf, "part").withColumn("x0", x0).withColumn("y0", (key * 53 % 97) / 100.0)
+    kind = F.element_at(F.array(*map(F.lit, ["figure", "caption", "table", "text"])), (key % 4 + 1).cast("int"))
+    width = F.when(key % 23 == 0, 0.8).otherwise(0.05 + (key % 5) * 0.08)
     return p.select(
-        c("p_partkey").alias("region_id"), c("p_size").alias("page"), "x0", "y0", F.least(c("x0") + 0.05 + (c("p_partkey") % 5) * 0.08, F.lit(1.2)).alias("x1"),
-        F.least(c("y0") + 0.02 + (c("p_partkey") % 3) * 0.03, F.lit(1.1)).alias("y1"), kind.alias("kind"), c("p_name").alias("text"),
+        key.alias("region_id"), F.floor(key / 40).cast("int").alias("page"), "x0", "y0", F.least(c("x0") + width, F.lit(1.2)).alias("x1"), F.least(c("y0") + 0.02 + (key % 3) * 0.03, F.lit(1.1)).alias("y1"), kind.alias("kind"), c("p_name").alias("text"),
     )
 
 

@@ -130,14 +130,6 @@ AREA = "((a.x1 - a.x0) * (a.y1 - a.y0))"
 query("bbox_overlap", with_ctes(("regions",), f"SELECT a.region_id, b.region_id AS inside FROM regions a JOIN regions b ON a.page = b.page AND a.region_id <> b.region_id WHERE round({OVER} / {AREA}, 9) > 0.5"))(
     lambda s, f: frame("regions", s, f).alias("a").join(frame("regions", s, f).alias("b"), F.expr("a.page = b.page AND a.region_id <> b.region_id")).where(F.expr(f"round(({OVER}) / {AREA}, 9) > 0.5")).select("a.region_id", c("b.region_id").alias("inside"))
 )
-COLUMN = "CASE WHEN x1 - x0 > 0.35 THEN 0 WHEN (x0 + x1) / 2 < 0.5 THEN 1 ELSE 2 END"
-query("order_regions", with_ctes(("regions",), f"SELECT region_id, row_number() OVER (PARTITION BY page ORDER BY {COLUMN}, y0, x0, region_id) AS place FROM regions"))(lambda s, f: frame("regions", s, f).withColumn("k", F.expr(COLUMN)).select("region_id", rn(["page"], "k", "y0", "x0", "region_id").cast("long").alias("place")))
-query("caption_link", with_ctes(("regions",), "SELECT region_id, figure FROM (SELECT a.region_id, b.region_id AS figure, row_number() OVER (PARTITION BY a.region_id ORDER BY round(abs(a.y0 - b.y1), 9), b.region_id) AS r FROM regions a JOIN regions b ON a.page = b.page AND a.kind = 'caption' AND b.kind IN ('figure', 'table') AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND round(abs(a.y0 - b.y1), 9) <= 0.08) WHERE r = 1"))(
-    lambda s, f: frame("regions", s, f).where("kind = 'caption'").alias("a").join(frame("regions", s, f).where("kind IN ('figure', 'table')").alias("b"), F.expr("a.page = b.page AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND round(abs(a.y0 - b.y1), 9) <= 0.08")).groupBy("a.region_id").agg(F.min(F.struct(F.expr("round(abs(a.y0 - b.y1), 9)").alias("g"), c("b.region_id").alias("figure"))).alias("m")).select("region_id", "m.figure")
-)
-query("spatial_regions", with_ctes(("regions",), "SELECT page, region_id FROM (SELECT page, region_id, row_number() OVER (PARTITION BY page ORDER BY 3 * contains(lower(text), 'a')::INT + (kind IN ('figure', 'table', 'caption'))::INT DESC, region_id) AS r FROM regions WHERE x0 BETWEEN 0 AND 1 AND x1 BETWEEN 0 AND 1 AND y0 BETWEEN 0 AND 1 AND y1 BETWEEN 0 AND 1) WHERE r <= 4"))(
-    lambda s, f: frame("regions", s, f).where("x0 BETWEEN 0 AND 1 AND x1 BETWEEN 0 AND 1 AND y0 BETWEEN 0 AND 1 AND y1 BETWEEN 0 AND 1").withColumn("v", 3 * F.lower("text").contains("a").cast("int") + c("kind").isin("figure", "table", "caption").cast("int")).withColumn("r", rn(["page"], F.desc("v"), "region_id")).where("r <= 4").select("page", "region_id")
-)
 query("validate_visual_patches", with_ctes((), "SELECT vec_id, len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 AS valid FROM embeddings"))(
     lambda s, f: table(s, f, "embeddings").select("vec_id", ((F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: ~F.isnan(x))).alias("valid"))
 )
@@ -150,7 +142,6 @@ LOGITS = "SELECT question_id, rid % 10 AS i, score AS s, round(score * 0.7 + (ri
 JOINT = f"SELECT a.question_id, a.i AS start_at, b.i AS end_at, round(a.s + b.e, 6) AS total FROM ({LOGITS}) a JOIN ({LOGITS}) b ON a.question_id = b.question_id AND b.i BETWEEN a.i AND a.i + 3"
 logits = lambda s, f: frame("results", s, f).where("question_id % 20 = 0").select("question_id", (c("rid") % 10).alias("i"), c("score").alias("s"), F.round(c("score") * 0.7 + c("rid") % 7, 6).alias("e"))
 joint = lambda s, f: logits(s, f).alias("a").join(logits(s, f).alias("b"), F.expr("a.question_id = b.question_id AND b.i BETWEEN a.i AND a.i + 3")).select("a.question_id", c("a.i").alias("start_at"), c("b.i").alias("end_at"), F.round(c("a.s") + c("b.e"), 6).alias("total"))
-query("extractive_span", with_ctes(("results",), f"SELECT question_id, max(total) AS total FROM ({JOINT}) GROUP BY 1"))(lambda s, f: joint(s, f).groupBy("question_id").agg(F.max("total").alias("total")))
 query("span_tiebreak", with_ctes(("results",), f"SELECT question_id, start_at, end_at FROM (SELECT DISTINCT question_id, start_at, end_at, total FROM ({JOINT})) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY total DESC, end_at - start_at, start_at) = 1"))(
     lambda s, f: joint(s, f).groupBy("question_id").agg(F.min(F.struct(-c("total"), c("end_at") - c("start_at"), c("start_at"), c("end_at"))).alias("m")).select("question_id", c("m.start_at").alias("start_at"), c("m.end_at").alias("end_at"))
 )
@@ -160,11 +151,6 @@ WORDS = "SELECT question_id, UNNEST(list_distinct(w)) AS t FROM (SELECT question
 query("rare_question_term", with_ctes(("questions",), f"SELECT question_id, min_by(t, k) AS term FROM (SELECT question_id, t, df * 1000000 + row_number() OVER (ORDER BY t) AS k FROM (SELECT question_id, t, count(*) OVER (PARTITION BY t) AS df FROM ({WORDS}))) GROUP BY 1"))(
     lambda s, f: frame("questions", s, f).select("question_id", F.explode(F.array_distinct(T.content_tokens(c("question")))).alias("t")).withColumn("df", F.count("*").over(Window.partitionBy("t"))).groupBy("question_id").agg(F.min(F.struct("df", "t")).alias("m")).select("question_id", c("m.t").alias("term"))
 )
-query("novel_span_answer", with_ctes(("questions",), f"SELECT question_id, len(list_filter({sql_tokens('evidence')}, lambda t: NOT list_contains({sql_tokens('question')}, t)))::BIGINT AS novel FROM questions"))(lambda s, f: frame("questions", s, f).select("question_id", F.size(F.filter(T.alnum_tokens(c("evidence")), lambda t: ~F.array_contains(T.alnum_tokens(c("question")), t))).cast("long").alias("novel")))
-query("struct_eval_variants", with_ctes(("questions",), f"SELECT question_id, item_id FROM (SELECT q.question_id, b.item_id, row_number() OVER (PARTITION BY q.question_id ORDER BY len(list_intersect({sql_tokens('q.question')}, {sql_tokens('b.text')})) DESC, b.item_id) AS r FROM questions q, benchmark b) WHERE r <= 5"))(
-    lambda s, f: table(s, f, "benchmark").select("item_id", F.array_distinct(T.alnum_tokens(c("text"))).alias("w")).join(retrieve.small(frame("questions", s, f).select("question_id", F.array_distinct(T.alnum_tokens(c("question"))).alias("q")))).select("question_id", "item_id", F.size(F.array_intersect("q", "w")).alias("v")).withColumn("r", rn(["question_id"], F.desc("v"), "item_id")).where("r <= 5").select("question_id", "item_id")
-)
-
 # Keyed state, batch forms
 query("conversation_append", with_ctes((), "SELECT conv_id, turn, role, substr(text, 1, 8000) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL) WHERE r <= 12"))(
     lambda s, f: table(s, f, "conversations").where("role IN ('user', 'assistant') AND text IS NOT NULL").withColumn("r", rn(["conv_id"], F.desc("turn"))).where("r <= 12").select("conv_id", "turn", "role", F.substring("text", 1, 8000).alias("content"))
