@@ -157,7 +157,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet | None:
     if not picked:
         return None
     cut = 4 * WINDOW * (TRAIN_WINDOWS + 1)  # training windows come from the front; prediction reads whole texts
-    chosen = learnable(docs).where(F.col("doc_id").isin(sorted(picked))).select("doc_id", F.substring("text", 1, cut).alias("text"), "lang").limit(2 * rows).collect()
+    chosen = learnable(docs).where(F.col("doc_id").isin(sorted(picked))).select("doc_id", F.substring("text", 1, cut).alias("text"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(2 * rows).collect()
     chosen.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     labels = sorted({r["lang"] for r in chosen})
     flat, owner, used = windows_of([r["text"] for r in chosen])
