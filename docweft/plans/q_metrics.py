@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
+from docweft.operators import scoring
 from docweft.operators import statistics as S
-from docweft.operators.retrieve import small
 from docweft.plans.base import frame, relation, with_ctes
 from docweft.plans.q_scalars import sql_tokens
 from docweft.plans.registry import query
@@ -172,8 +172,8 @@ query("failure_distribution", with_ctes(("results",), "SELECT category, count(*)
 query("chunk_stats", with_ctes(("chunks",), "SELECT topic, count(*)::BIGINT AS n, min(token_count) AS least, max(token_count) AS most, round(avg(token_count), 6) AS mean, round(median(token_count), 6) AS median, round(count(*) FILTER (token_count > 256)::DOUBLE / count(*), 6) AS over FROM chunks WHERE token_count > 0 GROUP BY 1"))(
     lambda s, f: frame("chunks", s, f).where("token_count > 0").groupBy("topic").agg(F.count(one).alias("n"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.round(F.avg("token_count"), 6).alias("mean"), F.round(F.median("token_count"), 6).alias("median"), F.round(F.count_if(c("token_count") > 256) / F.count(one), 6).alias("over"))
 )
-query("derive_gold_chunks", with_ctes(("lines",), "SELECT b.item_id, count(*)::BIGINT AS gold FROM benchmark b JOIN lines l ON contains(lower(l.content), lower(substr(b.text, 1, 30))) WHERE b.item_id % 4 = 0 GROUP BY 1"))(
-    lambda s, f: frame("lines", s, f).join(small(table(s, f, "benchmark").where("item_id % 4 = 0").select("item_id", F.lower(F.substring("text", 1, 30)).alias("t"))), F.lower("content").contains(c("t"))).groupBy("item_id").agg(F.count(one).alias("gold"))
+query("derive_gold_chunks", with_ctes(("lines",), "SELECT b.item_id, count(*)::BIGINT AS gold FROM benchmark b JOIN lines l ON contains(lower(l.content), lower(b.text)) GROUP BY 1"))(
+    lambda s, f: scoring.contained(frame("lines", s, f).select(c("chunk_id").alias("text_id"), F.lower("content").alias("text")), table(s, f, "benchmark").select("item_id", F.lower("text").alias("item"))).groupBy("item_id").agg(F.count(one).alias("gold"))
 )
 query("confirmation_split", with_ctes(("judged",), "SELECT example_id, CASE WHEN (row_number() OVER (PARTITION BY answerable, category ORDER BY example_id) - 1) % 2 = 0 THEN 'held_out' ELSE 'development' END AS part FROM judged"))(
     lambda s, f: frame("judged", s, f).select("example_id", F.when((F.row_number().over(Window.partitionBy("answerable", "category").orderBy("example_id")) - 1) % 2 == 0, "held_out").otherwise("development").alias("part"))

@@ -23,8 +23,8 @@ query("chunk_document_join", with_ctes(("lines",), "SELECT l.chunk_id, d.n_chars
 query("left_join_ready", with_ctes((), "SELECT d.source, count(*)::BIGINT AS n, count(*) FILTER (l.quality = 1) AS ready FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1"))(
     lambda s, f: table(s, f, "documents").join(table(s, f, "labels"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count_if(c("quality") == 1).alias("ready"))
 )
-query("page_pair_join", with_ctes(("chunks",), "SELECT chunk_id FROM chunks WHERE (document_id, page) IN (SELECT document_id, page FROM (SELECT DISTINCT document_id, page FROM chunks WHERE chunk_id % 101 = 0 AND page IS NOT NULL) ORDER BY document_id, page LIMIT 6)"))(
-    lambda s, f: frame("chunks", s, f).join(frame("chunks", s, f).where("chunk_id % 101 = 0 AND page IS NOT NULL").select("document_id", "page").distinct().orderBy("document_id", "page").limit(6), ["document_id", "page"], "left_semi").select("chunk_id")
+query("page_pair_join", with_ctes(("chunks",), "SELECT chunk_id FROM chunks WHERE (document_id, page) IN (SELECT document_id, page FROM (SELECT DISTINCT document_id, page FROM chunks WHERE chunk_id % 20 = 0 AND page IS NOT NULL) ORDER BY document_id, page LIMIT 6)"))(
+    lambda s, f: frame("chunks", s, f).join(frame("chunks", s, f).where("chunk_id % 20 = 0 AND page IS NOT NULL").select("document_id", "page").distinct().orderBy("document_id", "page").limit(6), ["document_id", "page"], "left_semi").select("chunk_id")
 )
 query("hydrate_candidates", with_ctes(("dense",), "SELECT question_id, chunk_id, rank, d.source, d.lang FROM dense JOIN documents d ON d.doc_id = chunk_id"))(
     lambda s, f: frame("dense", s, f).join(table(s, f, "documents").select(c("doc_id").alias("chunk_id"), "source", "lang"), "chunk_id").select("question_id", "chunk_id", "rank", "source", "lang")
@@ -58,8 +58,8 @@ VERDICT = "CASE WHEN usable = 0 THEN 'error' WHEN usable < n THEN 'partial' ELSE
 query("document_verdict", with_ctes(("chunks",), f"SELECT document_id, {VERDICT} AS verdict FROM (SELECT document_id, count(*) AS n, count(*) FILTER (token_count >= 4) AS usable FROM chunks GROUP BY 1)"))(
     lambda s, f: frame("chunks", s, f).groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(c("token_count") >= 4).alias("usable")).select("document_id", F.expr(VERDICT).alias("verdict"))
 )
-query("kg_status_rollup", with_ctes(("chunks",), "SELECT owner, CASE WHEN bool_or(topic IN ('view', 'click')) THEN 'available' WHEN bool_or(topic = 'signup') THEN 'pending' WHEN count(*) > 0 THEN 'unavailable' ELSE 'empty' END AS status FROM chunks WHERE chunk_id % 31 = 0 GROUP BY 1"))(
-    lambda s, f: frame("chunks", s, f).where("chunk_id % 31 = 0").groupBy("owner").agg(F.when(F.bool_or(c("topic").isin("view", "click")), "available").when(F.bool_or(c("topic") == "signup"), "pending").otherwise("unavailable").alias("status"))
+query("kg_status_rollup", with_ctes(("chunks",), "SELECT owner, CASE WHEN bool_or(topic IN ('view', 'click')) THEN 'available' WHEN bool_or(topic = 'signup') THEN 'pending' WHEN count(*) > 0 THEN 'unavailable' ELSE 'empty' END AS status FROM chunks GROUP BY 1"))(
+    lambda s, f: frame("chunks", s, f).groupBy("owner").agg(F.when(F.bool_or(c("topic").isin("view", "click")), "available").when(F.bool_or(c("topic") == "signup"), "pending").otherwise("unavailable").alias("status"))
 )
 query("document_edge_count", with_ctes(("edges",), "SELECT document_id, count(*)::BIGINT AS n FROM edges GROUP BY 1"))(lambda s, f: frame("edges", s, f).groupBy("document_id").agg(F.count("*").alias("n")))
 query("reliability_partition", with_ctes((), "SELECT user_id, count(*)::BIGINT AS n, max((props->>'k')::BIGINT) AS max_hop, count(*) FILTER (event_type = 'view') AS views, bool_or((props->>'k')::INT > 95) AS agreed FROM events GROUP BY 1"))(
@@ -113,8 +113,8 @@ query("union_distinct_nodes", with_ctes(("edges",), "SELECT document_id, count(*
 )
 
 # Geometry
-SPAN = "SELECT document_id, (chunk_index * 13 % 97)::BIGINT AS s, (chunk_index * 13 % 97 + 1 + token_count % 6)::BIGINT AS e FROM chunks WHERE chunk_index < 25"
-spans = lambda s, f: frame("chunks", s, f).where("chunk_index < 25").select("document_id", (c("chunk_index") * 13 % 97).alias("s"), (c("chunk_index") * 13 % 97 + 1 + c("token_count") % 6).alias("e"))
+SPAN = "SELECT document_id, (chunk_index * 13 % 97)::BIGINT AS s, (chunk_index * 13 % 97 + 1 + token_count % 6)::BIGINT AS e FROM chunks"
+spans = lambda s, f: frame("chunks", s, f).select("document_id", (c("chunk_index") * 13 % 97).alias("s"), (c("chunk_index") * 13 % 97 + 1 + c("token_count") % 6).alias("e"))
 query("merge_intervals", with_ctes(("chunks",), f"SELECT document_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY document_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY document_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM ({SPAN}))) GROUP BY document_id, g"))(lambda s, f: _merged(spans(s, f)))
 
 
@@ -161,7 +161,7 @@ query("dedupe_upload", with_ctes((), "SELECT doc_id, first_value(doc_id) OVER (P
 query("stale_processing", with_ctes((), "SELECT event_id FROM events WHERE event_type = 'error' AND date_sub('second', ts, (SELECT max(ts) FROM events)) > 600"))(
     lambda s, f: table(s, f, "events").where("event_type = 'error'").join(F.broadcast(table(s, f, "events").agg(F.max("ts").alias("now")))).where(F.timestamp_diff("SECOND", "ts", "now") > 600).select("event_id")
 )
-query("revision_sources", with_ctes(("lines",), "SELECT document_id, chunk_id, chunk_index, section FROM lines WHERE document_id < 50"))(lambda s, f: _revision(frame("lines", s, f).where("document_id < 50")))
+query("revision_sources", with_ctes(("lines",), "SELECT document_id, chunk_id, chunk_index, section FROM lines"))(lambda s, f: _revision(frame("lines", s, f)))
 
 
 def _revision(l):

@@ -160,8 +160,8 @@ query("element_seeds", with_ctes(("paths",), "SELECT doc_id FROM paths WHERE con
 query("plan_edges", with_ctes(("edges",), "SELECT * FROM edges"))(lambda s, f: frame("edges", s, f))
 for _rel, _name in (("NEXT','PREV", "next_prev_edges"), ("SAME_PAGE", "same_page_edges"), ("SAME_SECTION", "same_section_edges")):
     query(_name, with_ctes(("edges",), f"SELECT source, target, relation FROM edges WHERE relation IN ('{_rel}')"))(lambda s, f, _rel=_rel: frame("edges", s, f).where(f"relation IN ('{_rel}')").select("source", "target", "relation"))
-SEEDS = "SELECT chunk_id AS seed, chunk_id AS node FROM chunks WHERE chunk_id % 50 = 0"
-seeds = lambda s, f: frame("chunks", s, f).where("chunk_id % 50 = 0").select(c("chunk_id").alias("seed"), c("chunk_id").alias("node"))
+SEEDS = "SELECT chunk_id AS seed, chunk_id AS node FROM chunks WHERE chunk_id % 20 = 0"
+seeds = lambda s, f: frame("chunks", s, f).where("chunk_id % 20 = 0").select(c("chunk_id").alias("seed"), c("chunk_id").alias("node"))
 EXPAND = f"""SELECT seed, node, hops, weight FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, weight DESC, node) AS r FROM (
   SELECT seed, node, min(hops)::INTEGER AS hops, max_by(weight, -hops * 10 + weight) AS weight FROM (
     SELECT seed, node, 0 AS hops, 1.0::DOUBLE AS weight FROM ({SEEDS}) UNION ALL SELECT s.seed, e.target, 1, e.weight FROM ({SEEDS}) s JOIN edges e ON e.source = s.node
@@ -175,7 +175,7 @@ NEIGH = f"""SELECT seed, chunk_id, ['NEXT', 'PREV', 'SAME_PAGE', 'SAME_SECTION']
 query("expand_neighbours", with_ctes(("chunks", "edges"), NEIGH))(lambda s, f: graph.neighbours(seeds(s, f), frame("edges", s, f), 6))
 query("expand_long_form", with_ctes(("chunks", "edges"), NEIGH.replace("rank <= 6", "rank <= 4")))(lambda s, f: graph.neighbours(seeds(s, f), frame("edges", s, f), 4))
 query("min_by_best_row", with_ctes(("edges",), "SELECT target, min(source) AS source FROM edges e WHERE weight = (SELECT max(weight) FROM edges x WHERE x.target = e.target) GROUP BY 1"))(lambda s, f: frame("edges", s, f).groupBy("target").agg(F.min_by("source", F.struct(-c("weight"), c("source"))).alias("source")))
-query("edge_owner_join", with_ctes(("chunks", "edges"), "SELECT e.source, e.target, e.relation FROM edges e JOIN chunks k ON k.chunk_id = e.target WHERE k.owner = 'u1' AND e.source IN (SELECT chunk_id FROM chunks WHERE chunk_id % 50 = 0)"))(
+query("edge_owner_join", with_ctes(("chunks", "edges"), "SELECT e.source, e.target, e.relation FROM edges e JOIN chunks k ON k.chunk_id = e.target WHERE k.owner = 'u1' AND e.source IN (SELECT chunk_id FROM chunks WHERE chunk_id % 20 = 0)"))(
     lambda s, f: frame("edges", s, f).join(frame("chunks", s, f).where("owner = 'u1'").select(c("chunk_id").alias("target")), "target").join(seeds(s, f).select(c("node").alias("source")), "source", "left_semi").select("source", "target", "relation")
 )
 TREE = """SELECT 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders"""
@@ -303,13 +303,13 @@ query("lateral_topic_bounds", with_ctes(("chunks",), BOUNDS))(lambda s, f: bound
 query("running_bytes", with_ctes(("islands",), "SELECT chunk_id, (sum(strlen(content)) OVER (PARTITION BY document_id, island))::BIGINT AS total_bytes, (sum(strlen(content)) OVER (PARTITION BY document_id, island ORDER BY chunk_index, chunk_id))::BIGINT AS cumulative_bytes FROM islands"))(
     lambda s, f: frame("islands", s, f).select("chunk_id", F.sum(F.octet_length("content")).over(Window.partitionBy("document_id", "island")).cast("long").alias("total_bytes"), F.sum(F.octet_length("content")).over(Window.partitionBy("document_id", "island").orderBy("chunk_index", "chunk_id")).cast("long").alias("cumulative_bytes"))
 )
-TOPIC = "SELECT s.chunk_id AS seed, p.chunk_id FROM (SELECT * FROM islands WHERE chunk_id % 50 = 0 AND topic IS NOT NULL) s JOIN (SELECT *, sum(strlen(content)) OVER (PARTITION BY document_id, island ORDER BY chunk_index, chunk_id) AS cum FROM islands) p ON p.document_id = s.document_id AND p.island = s.island WHERE p.cum <= 18 OR p.chunk_id = s.chunk_id"
+TOPIC = "SELECT s.chunk_id AS seed, p.chunk_id FROM (SELECT * FROM islands WHERE chunk_id % 20 = 0 AND topic IS NOT NULL) s JOIN (SELECT *, sum(strlen(content)) OVER (PARTITION BY document_id, island ORDER BY chunk_index, chunk_id) AS cum FROM islands) p ON p.document_id = s.document_id AND p.island = s.island WHERE p.cum <= 18 OR p.chunk_id = s.chunk_id"
 
 
 def topic_rows(spark, sf):
     i = frame("islands", spark, sf)
     cum = i.withColumn("cum", F.sum(F.octet_length("content")).over(Window.partitionBy("document_id", "island").orderBy("chunk_index", "chunk_id")))
-    s = i.where("chunk_id % 50 = 0 AND topic IS NOT NULL").select(c("chunk_id").alias("seed"), "document_id", "island")
+    s = i.where("chunk_id % 20 = 0 AND topic IS NOT NULL").select(c("chunk_id").alias("seed"), "document_id", "island")
     return cum.join(s, ["document_id", "island"]).where("cum <= 18 OR chunk_id = seed").select("seed", "chunk_id")
 
 
@@ -330,8 +330,8 @@ def buckets(spark, sf):
 
 
 query("token_start_buckets", with_ctes(("buckets",), "SELECT chunk_id, bucket, bad::BIGINT AS bad FROM buckets"))(lambda s, f: frame("buckets", s, f).select("chunk_id", "bucket", "bad"))
-query("parent_bucket_join", with_ctes(("buckets",), "SELECT DISTINCT s.document_id, s.bucket, p.chunk_id FROM buckets s JOIN buckets p USING (document_id, bucket) WHERE s.chunk_id % 50 = 0"))(
-    lambda s, f: frame("buckets", s, f).where("chunk_id % 50 = 0").select("document_id", "bucket").distinct().join(frame("buckets", s, f).select("document_id", "bucket", "chunk_id"), ["document_id", "bucket"])
+query("parent_bucket_join", with_ctes(("buckets",), "SELECT DISTINCT s.document_id, s.bucket, p.chunk_id FROM buckets s JOIN buckets p USING (document_id, bucket) WHERE s.chunk_id % 20 = 0"))(
+    lambda s, f: frame("buckets", s, f).where("chunk_id % 20 = 0").select("document_id", "bucket").distinct().join(frame("buckets", s, f).select("document_id", "bucket", "chunk_id"), ["document_id", "bucket"])
 )
 PACKED = "SELECT document_id, chunk_index, chunk_id, token_count FROM chunks"
 
