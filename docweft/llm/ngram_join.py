@@ -46,6 +46,8 @@ DEEPEST = 8
 RECALL = 0.9999
 #: Bytes of one value in a label.
 VALUE = 2
+#: Rows (id and hash of a text) that may go to every task: 16 bytes each.
+MOST_BROADCAST = 1 << 17
 #: Documents whose exact neighbours tell the recall of a depth, and their shingles at most.
 SAMPLE_DOCS = 128
 SAMPLE_SHINGLES = 1 << 20
@@ -61,8 +63,11 @@ def chance(threshold: float, depth: int, trees: int = TREES) -> float:
 
 def sampled(docs: DataFrame, text: str = "text", docs_at_most: int = SAMPLE_DOCS) -> list[np.ndarray]:
     """Shingle sets of a bounded sample of documents, in the order of a hash of their texts."""
-    first = docs.where(F.col(text) != "").select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(docs_at_most)
-    values, bounds = shingle_sets([r["text"] for r in first.collect()])
+    hashed = docs.where(F.col(text) != "").select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # Only hashes are ordered; each of the few chosen texts then comes once, however often it is repeated.
+    chosen = sorted({r["h"] for r in hashed.select("h").orderBy("h").limit(docs_at_most).collect()})
+    found = {r["h"]: r["text"] for r in hashed.where(F.col("h").isin(chosen)).groupBy("h").agg(F.first("text").alias("text")).collect()} if chosen else {}
+    values, bounds = shingle_sets([found[h] for h in chosen])
     out: dict[bytes, np.ndarray] = {}
     size = 0
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -307,7 +312,8 @@ def _joined(docs: DataFrame, text: str, threshold: tuple[int, int], trees: int,
     tasks = durable(alone.unionByName(pairs.distinct()))
     ends = F.array_distinct(F.array("first", "second"))
     met = tasks.select(F.xxhash64("first", "second").alias("task"), "first", "second", F.explode(ends).alias("block")).join(placed.select("block", "key", "sid", "copies", "at_id", "at_tk"), "block")
-    wanted = placed.select("at_id", "at_tk").distinct()
+    wanted = durable(placed.select("at_id", "at_tk").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # else texts are dealt by id
     same = lambda a, b: a["doc_id"].eqNullSafe(b["at_id"]) & (a["tk"] == b["at_tk"])
     with_text = texts.join(wanted, same(texts, wanted), "left_semi")
     ready = (
@@ -358,12 +364,16 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     own = docs.columns
     found = _joined(docs, text, THRESHOLD, TREES, RECALL)
     best = found.where("sid IS NOT NULL AND doc_id <=> best_id AND tk = best_tk").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col(text)).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
+    ordered = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col(text)).alias("_key"), ordered.alias("_order"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
     blank = F.coalesce(F.col(f"_row.`{text}`"), F.lit("")).rlike(f"^{SPACE_RUN}$|^$")
-    standing = rows.where(~blank).join(best, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")), "left_semi")
-    ordered = F.xxhash64(*[F.col(f"_row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    once = standing.groupBy("_doc", "_key").agg(F.min_by("_row", ordered).alias("_row")).select("_row")
-    return once.unionByName(rows.where(blank).select("_row")).select("_row.*")
+    standing = (F.col("_doc").eqNullSafe(F.col("_id"))) & (F.col("_key") == F.col("_tk"))
+    # Repeats are found on narrow rows; whole rows are dealt once, and only those of repeated rows are aggregated.
+    narrow = rows.where(~blank).select("_doc", "_key", "_order").join(best, standing, "left_semi").groupBy("_doc", "_key").agg(F.min("_order").alias("_least"), F.count(F.lit(1)).alias("_k"))
+    least = durable(narrow.toDF("_id", "_tk", "_least", "_k"))
+    met = rows.where(~blank).join(least, standing & (F.col("_order") == F.col("_least")))
+    once = met.where("_k > 1").groupBy("_doc", "_key").agg(F.min_by("_row", "_order").alias("_row")).select("_row")
+    return met.where("_k = 1").select("_row").unionByName(once).unionByName(rows.where(blank).select("_row")).select("_row.*")
 
 
 @query("op10_ngram_join")
