@@ -12,22 +12,13 @@ from docweft.functions import vocabulary as V
 
 ABBREVIATIONS = {"e.g", "i.e", "etc", "dr", "mr", "mrs", "ms", "vs", "fig", "no", "st", "al", "approx"}
 TOKEN = re.compile(r"[a-z0-9][a-z0-9.%/-]*")
-NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 CITATION = re.compile(r"\s*\[\d{1,2}\]")
-NEGATIONS = {"not", "no", "never", "neither", "nor", "without", "cannot"}
-UNIVERSALS = {"all", "every", "always", "only", "none"}
-COMPARATIVES = {"more": 1, "higher": 1, "greater": 1, "larger": 1, "above": 1, "less": -1, "lower": -1, "fewer": -1, "smaller": -1, "below": -1}
-UNITS = {"%": "percent", "percent": "percent", "kg": "kg", "km": "km", "m": "m", "s": "s", "days": "days", "years": "years"}
 
 
 def tokens(text: str) -> list[str]:
     return [t for t in TOKEN.findall(text.lower()) if t not in V.CONTENT_STOPWORDS]
 
 
-def stem(token: str) -> str:
-    return next((token[: -len(s)] for s in V.SUFFIXES if token.endswith(s) and len(token) - len(s) >= 4), token)
-
-
 def sentences(text: str) -> list[str]:
     """Sentences with wrapped lines joined and abbreviations kept together."""
     text = re.sub(r"\n+(?=[a-z0-9(])", " ", text or "")
@@ -57,79 +48,6 @@ def claims(answer: str) -> list[str]:
     return out
 
 
-def support(claim: str, evidence: str) -> float:
-    """Share of the claim's content words that the evidence has."""
-    own, there = tokens(CITATION.sub("", claim)), set(tokens(evidence))
-    figures = set(NUMBER.findall(evidence))
-    hit = sum(t in there or (NUMBER.fullmatch(t.rstrip(".;,:!?")) is not None and t.rstrip(".;,:!?") in figures) for t in own)
-    return hit / len(own) if own else 0.0
-
-
-def relation_verdict(claim: str, evidence: str) -> str:
-    """SUPPORTED, CONTRADICTED or INSUFFICIENT by numbers, negation, direction and universality of one evidence sentence."""
-    own, there = ({t.rstrip(".%/-") for t in tokens(x)} for x in (claim, evidence))
-    words, other = set(re.findall(r"[a-z]+", claim.lower())), set(re.findall(r"[a-z]+", evidence.lower()))
-    subject = {stem(t) for t in own if not NUMBER.fullmatch(t)}
-    shared = len(subject & {stem(t) for t in there}) / max(1, len(subject))
-    if shared < 0.5:
-        return "INSUFFICIENT"
-    if bool(words & NEGATIONS) != bool(other & NEGATIONS):
-        return "CONTRADICTED"
-    a, b = {COMPARATIVES[w] for w in words if w in COMPARATIVES}, {COMPARATIVES[w] for w in other if w in COMPARATIVES}
-    if a and b and a.isdisjoint(b):
-        return "CONTRADICTED"
-    figures, known = set(NUMBER.findall(claim)), set(NUMBER.findall(evidence))
-    if figures and not figures <= known:
-        return "CONTRADICTED" if known and shared >= 0.8 else "INSUFFICIENT"
-    if words & UNIVERSALS and not other & UNIVERSALS:
-        return "INSUFFICIENT"
-    units, seen = {UNITS[w] for w in words if w in UNITS}, {UNITS[w] for w in other if w in UNITS}
-    if units and seen and units.isdisjoint(seen):
-        return "CONTRADICTED"
-    return "SUPPORTED" if shared >= 0.7 else "INSUFFICIENT"
-
-
-def alignment(claim: str, question: str, evidence: str) -> bool:
-    """Whether the rarest term of the question stands beside the claim in one table row, list item or sentence."""
-    units = [u for line in evidence.split("\n") for u in ([line] if "|" in line or re.match(r"\s*[-*]", line) else sentences(line))]
-    stems = [{stem(t) for t in tokens(u)} for u in units]
-    asked = [stem(t) for t in tokens(question) if t not in V.QUESTION_WORDS and t not in V.GENERIC_TERMS]
-    seen = [t for t in asked if any(t in s for s in stems)]
-    if not seen:
-        return True
-    rare = min(seen, key=lambda t: (sum(t in s for s in stems), t))
-    wanted = {stem(t) for t in tokens(CITATION.sub("", claim))}
-    return any(rare in s and (wanted & s) for s in stems)
-
-
-def support_points(question: str, blocks: list[str], most: int = 3) -> list[tuple[int, str]]:
-    """Evidence sentences that cover the question, by overlap, none too like one chosen before."""
-    asked = {stem(t) for t in tokens(question)}
-    found = []
-    for i, block in enumerate(blocks):
-        for j, sentence in enumerate(sentences(block)):
-            own = {stem(t) for t in tokens(sentence)}
-            if len(own) >= 4 and asked and len(own & asked) / len(asked) >= 0.25:
-                found.append((-len(own & asked) / len(asked), i, j, sentence, own))
-    chosen: list[tuple] = []
-    for item in sorted(found, key=lambda x: x[:3]):
-        if len(chosen) < most and all(len(item[4] & c[4]) / len(item[4] | c[4]) < 0.6 for c in chosen):
-            chosen.append(item)
-    return [(c[1] + 1, c[3]) for c in chosen]
-
-
-def retain_supported(answer: str, blocks: list[str], least: float = 0.6) -> str:
-    """The answer's supported claims, each with the numbers of the blocks that support it."""
-    out = []
-    for claim in claims(answer):
-        by = [i + 1 for i, b in enumerate(blocks) if support(claim, b) >= least]
-        if by:
-            text = CITATION.sub("", claim).rstrip()
-            end = text[-1] if text[-1] in ".!?" else ""
-            out.append(f"{text[: len(text) - len(end)].rstrip()} {' '.join(f'[{n}]' for n in by)}{end}")
-    return " ".join(out)
-
-
 def promote_parts(parts: list[str], passages: list[str]) -> list[int]:
     """Order of passages with the best one for each question part moved to the front."""
     left, front = list(range(len(passages))), []

@@ -44,8 +44,6 @@ def pairs(spark, sf):
     return frame("questions", spark, sf)
 
 
-query("support_points")(lambda s, f: pairs(s, f).select("question_id", F.posexplode(A.text_udf(lambda q, e: [t for _, t in A.support_points(q, [e])], "array<string>")("question", "evidence")).alias("place", "point")))
-query("retain_supported")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: A.retain_supported(e + " Nothing here is known.", [e]), "string")("question", "evidence").alias("answer")))
 query("prioritize_parts")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: A.promote_parts([q], A.sentences(e)), "array<int>")("question", "evidence").alias("order")))
 query("prepare_prompt")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: "\n".join(A.fit_prompt(q, [e, e], [q], 400)["evidence"]), "string")("question", "evidence").alias("prompt")))
 query("validate_diagram")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: all(A.valid_diagrams(f"```\n[{e[:20]} [1]]\n```", e)), "boolean")("question", "evidence").alias("valid")))
@@ -53,7 +51,6 @@ query("filter_diagrams")(lambda s, f: pairs(s, f).where(A.text_udf(lambda q, e:
 query("kg_parse_relations")(
     lambda s, f: frame("relations", s, f).select("rid", F.to_json(F.array(F.struct("subject", "predicate", "object", F.concat_ws(" ", "subject", "predicate", "object").alias("quote")))).alias("raw"), F.concat_ws(" ", F.lit("so"), "subject", "predicate", "object").alias("chunk")).select("rid", F.size(A.text_udf(lambda r, k: [" ".join(x) for x in A.parse_triples(r, k)], "array<string>")("raw", "chunk")).alias("relations"))
 )
-query("qa_rerank")(lambda s, f: frame("dense", s, f).withColumn("qa", F.round(F.abs(F.hash("question_id", "chunk_id")) / float(1 << 31), 6)).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("qa"), "rank"))).where("place <= 8").select("question_id", "chunk_id", "place"))
 query("route_query", with_ctes(("questions",), "SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'graph' WHEN question_id % 3 = 1 THEN 'semantic' ELSE 'both' END AS route FROM questions"))(lambda s, f: pairs(s, f).select("question_id", F.when(c("question_id") % 3 == 0, "graph").when(c("question_id") % 3 == 1, "semantic").otherwise("both").alias("route")))
 query("fuse_document_evidence", with_ctes(("headings",), "SELECT document_id, chunk_id, heading FROM headings WHERE chunk_index < 10"))(lambda s, f: frame("headings", s, f).where("chunk_index < 10").select("document_id", "chunk_id", "heading"))
 query("structured_query_controls", with_ctes(("dense", "lexical"), "SELECT 'dense' AS system, count(*)::BIGINT AS n FROM dense UNION ALL SELECT 'lexical', count(*)::BIGINT FROM lexical"))(lambda s, f: frame("dense", s, f).select(F.lit("dense").alias("system")).unionByName(frame("lexical", s, f).select(F.lit("lexical").alias("system"))).groupBy("system").agg(F.count("*").alias("n")))

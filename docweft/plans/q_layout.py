@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
-from docweft.operators import layout, spans, variants
+from docweft.operators import layout, service, spans, variants
 from docweft.plans.base import frame, relation, with_ctes
 from docweft.plans.q_scalars import QTERMS, sql_list, sql_tokens
 from docweft.plans.registry import query
-from docweft.session import table
+from docweft.session import durable, table
 
 c = F.col
 
@@ -52,17 +52,81 @@ query(
     ),
 )(lambda s, f: spans.joint_span(frame("logits", s, f)))
 PIECES = "regexp_extract_all(s, '[a-zA-Z0-9]+|[^a-zA-Z0-9]+')"
+
+
+def novel_sql(source: str, keys: str = "question_id") -> str:
+    """``keys, answer, confidence`` of ``source`` with ``question, evidence``: the longest new run of the sentence closest to the question."""
+    return f"""SELECT {keys}, CASE WHEN v IS NULL OR v = 0 THEN '' WHEN n > 0 THEN regexp_replace(run, '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g') ELSE s END AS answer, round(coalesce(v, 0), 6) AS confidence FROM (
+        SELECT {keys}, v, s, run, len(regexp_extract_all(run, '[a-zA-Z0-9]+')) AS n, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, k) AS r FROM (SELECT {keys}, v, s, k, runs[k] AS run FROM (
+        SELECT {keys}, v, s, string_split(array_to_string(list_transform({PIECES}, lambda p: CASE WHEN regexp_matches(p, '^[a-zA-Z0-9]') AND (list_contains({sql_list(V.QUERY_STOPWORDS)}, lower(p)) OR list_contains(t, lower(p))) THEN chr(1) ELSE p END), ''), chr(1)) AS runs FROM (
+        SELECT {keys}, t, trim(ss[i]) AS s, CASE WHEN len(t) = 0 THEN 0 ELSE len(list_intersect(t, {sql_tokens('ss[i]')}))::DOUBLE / len(t) END AS v, row_number() OVER (PARTITION BY {keys} ORDER BY v DESC, i) AS best
+        FROM (SELECT {keys}, {QTERMS} AS t, list_filter(string_split(regexp_replace(evidence, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS ss FROM {source}), UNNEST(range(1, len(ss) + 1)) AS u(i)) WHERE best = 1), UNNEST(range(1, len(runs) + 1)) AS u(k))) WHERE r = 1"""
+
+
+query("novel_span_answer", with_ctes(("questions",), novel_sql("questions")))(lambda s, f: spans.novel_span(frame("questions", s, f)).select("question_id", "answer", "confidence"))
+
+
+# Answers: a document whose id is divisible by 20 asks with its first line; its nearest vectors' documents answer with theirs.
+relation("firsts", "SELECT doc_id, source, string_split(text, chr(10))[1] AS content FROM documents WHERE text IS NOT NULL")
+relation("asking", "SELECT doc_id AS question_id, content AS question FROM firsts WHERE doc_id % 20 = 0", ("firsts",))
+relation("retrieved", "SELECT d.question_id, d.chunk_id, k.source AS document_id, d.rank, d.score, k.content FROM dense d JOIN firsts k ON k.doc_id = d.chunk_id WHERE d.chunk_id <> d.question_id", ("dense", "firsts"))
+relation("contexts", "SELECT question_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, sum(length(content)) OVER (PARTITION BY question_id ORDER BY rank) AS used FROM retrieved) WHERE used <= 4000 GROUP BY 1", ("retrieved",))
+
+
+def asking(spark, sf):
+    """Questions, and the chunks that the dense stream finds for them."""
+    firsts = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "source", F.get(F.split("text", "\n"), F.lit(0)).alias("content"))
+    questions = firsts.where("doc_id % 20 = 0").select(c("doc_id").alias("question_id"), c("content").alias("question"))
+    found = frame("dense", spark, sf).where("chunk_id <> question_id").join(firsts.select(c("doc_id").alias("chunk_id"), c("source").alias("document_id"), "content"), "chunk_id")
+    return questions, durable(found.select("question_id", "chunk_id", "document_id", "rank", "score", "content"))
+
+
+query(
+    "rag_answer",
+    with_ctes(
+        ("asking", "retrieved", "contexts"),
+        f"""SELECT m.question_id, coalesce(a.answer, '') AS answer, round(CASE WHEN m.read THEN coalesce(a.confidence, 0) WHEN m.first < 0.15 THEN greatest(m.first, 0) ELSE 0 END, 6) AS confidence,
+        NOT m.read OR trim(coalesce(a.answer, '')) = '' OR (coalesce(a.confidence, 0) < 0.3 AND m.best < 0.5) AS insufficient, m.read AND trim(coalesce(a.answer, '')) <> '' AND contains(lower(m.context), lower(trim(coalesce(a.answer, '')))) AS grounded,
+        coalesce(m.sources, 0) AS sources, coalesce(m.documents, 0) AS documents, coalesce(m.mean, 0) AS mean_score, round(coalesce(m.best, 0), 4) AS best_score
+        FROM (SELECT *, coalesce(first >= 0.15 AND trim(context) <> '', false) AS read FROM asking LEFT JOIN (SELECT question_id, count(*) AS sources, count(DISTINCT document_id) AS documents, round(avg(score), 4) AS mean, max(score) AS best, min_by(score, rank) AS first FROM retrieved GROUP BY 1) USING (question_id)
+          LEFT JOIN contexts USING (question_id)) m LEFT JOIN ({novel_sql("(SELECT question_id, question, context AS evidence FROM asking JOIN contexts USING (question_id))")}) a ON a.question_id = m.question_id AND m.read""",
+    ),
+)(lambda s, f: service.rag_answer(*asking(s, f), spans.novel_span))
 query(
-    "novel_span_answer",
+    "qa_rerank",
     with_ctes(
-        ("questions",),
-        f"""SELECT question_id, CASE WHEN v IS NULL OR v = 0 THEN '' WHEN n > 0 THEN regexp_replace(run, '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g') ELSE s END AS answer, round(coalesce(v, 0), 6) AS confidence FROM (
-        SELECT question_id, v, s, run, len(regexp_extract_all(run, '[a-zA-Z0-9]+')) AS n, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, k) AS r FROM (SELECT question_id, v, s, k, runs[k] AS run FROM (
-        SELECT question_id, v, s, string_split(array_to_string(list_transform({PIECES}, lambda p: CASE WHEN regexp_matches(p, '^[a-zA-Z0-9]') AND (list_contains({sql_list(V.QUERY_STOPWORDS)}, lower(p)) OR list_contains(t, lower(p))) THEN chr(1) ELSE p END), ''), chr(1)) AS runs FROM (
-        SELECT question_id, t, trim(ss[i]) AS s, CASE WHEN len(t) = 0 THEN 0 ELSE len(list_intersect(t, {sql_tokens('ss[i]')}))::DOUBLE / len(t) END AS v, row_number() OVER (PARTITION BY question_id ORDER BY v DESC, i) AS best
-        FROM (SELECT question_id, {QTERMS} AS t, list_filter(string_split(regexp_replace(evidence, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS ss FROM questions), UNNEST(range(1, len(ss) + 1)) AS u(i)) WHERE best = 1), UNNEST(range(1, len(runs) + 1)) AS u(k))) WHERE r = 1""",
+        ("asking", "retrieved"),
+        f"""SELECT question_id, chunk_id, qa, row_number() OVER (PARTITION BY question_id ORDER BY qa DESC NULLS LAST, rank, chunk_id) AS place FROM retrieved JOIN asking USING (question_id) LEFT JOIN (SELECT question_id, chunk_id, confidence AS qa
+        FROM ({novel_sql("(SELECT question_id, chunk_id, question, content AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, chunk_id) AS r FROM retrieved JOIN asking USING (question_id)) WHERE r <= 8 AND trim(content) <> '')", "question_id, chunk_id")})) USING (question_id, chunk_id)""",
     ),
-)(lambda s, f: spans.novel_span(frame("questions", s, f)).select("question_id", "answer", "confidence"))
+)(lambda s, f: _reranked(*asking(s, f)))
+
+
+def _reranked(questions, found):
+    return service.qa_rerank(found.join(questions, "question_id"), spans.novel_span)
+
+
+# Points and repair: benchmark items ask or answer; their evidence is every line that holds most of their words.
+def _evidence(spark, sf, key):
+    found = frame("attributed", spark, sf).select(c("claim_id").alias(key), c("block_id").alias("block"))
+    return durable(found.join(frame("lines", spark, sf).select(c("chunk_id").alias("block"), "content"), "block").select(key, "block", "content"))
+
+
+def support_points(spark, sf):
+    marks = F.element_at(F.array(F.lit(5), F.lit(10), F.lit(15)), (c("question_id") % 3 + 1).cast("int"))
+    return service.support_points(frame("questions", spark, sf).select("question_id", "question", F.lit("").alias("answer"), marks.alias("marks")), _evidence(spark, sf, "question_id"))
+
+
+query("support_points")(support_points)
+
+
+def retain_supported(spark, sf):
+    items = table(spark, sf, "benchmark").select(c("item_id").alias("answer_id"), F.posexplode(T.sentences(c("text"))).alias("place", "claim"))
+    claims = items.select(F.concat_ws(":", "answer_id", "place").alias("claim_id"), "answer_id", "place", "claim", F.lit(None).cast("string").alias("question"), F.array().cast("array<bigint>").alias("stated"))
+    return service.retain_supported(claims, _evidence(spark, sf, "answer_id"))
+
+
+query("retain_supported")(retain_supported)
 
 
 # Variants: a document whose id is divisible by 20 asks with its first line about its own lines; every line is a chunk and an element, whose

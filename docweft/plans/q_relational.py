@@ -177,4 +177,3 @@ query("scan_txt", with_ctes((), "SELECT doc_id, i AS seq, p[i] AS content FROM (
 query("retrieve_evidence", with_ctes(("dense", "lexical"), "SELECT question_id, count(*)::BIGINT AS evidence, count(DISTINCT label) AS documents FROM (SELECT question_id, chunk_id FROM dense WHERE rank <= 6 UNION SELECT question_id, chunk_id FROM lexical WHERE rank <= 6) JOIN embeddings ON vec_id = chunk_id GROUP BY 1"))(
     lambda s, f: frame("dense", s, f).where("rank <= 6").select("question_id", "chunk_id").union(frame("lexical", s, f).where("rank <= 6").select("question_id", "chunk_id")).distinct().join(table(s, f, "embeddings").select(c("vec_id").alias("chunk_id"), "label"), "chunk_id").groupBy("question_id").agg(F.count("*").alias("evidence"), F.count_distinct("label").alias("documents"))
 )
-query("rag_answer", with_ctes(("dense",), "SELECT question_id, CASE WHEN max(score) < 0.15 THEN 'insufficient' WHEN max(score) < 0.5 THEN 'partial' ELSE 'answered' END AS outcome FROM dense GROUP BY 1"))(lambda s, f: frame("dense", s, f).groupBy("question_id").agg(F.when(F.max("score") < 0.15, "insufficient").when(F.max("score") < 0.5, "partial").otherwise("answered").alias("outcome")))
