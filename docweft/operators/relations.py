@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
+from docweft.session import durable
 
 SUPPORTED, CONTRADICTED, INSUFFICIENT = "SUPPORTED", "CONTRADICTED", "INSUFFICIENT_EVIDENCE"
 #: Shares of a claim's words in a sentence for support, sameness of subject, contradiction and negation; of a question's for bare values; paraphrase.
@@ -202,13 +203,14 @@ def _judged(claims: DataFrame, blocks: DataFrame, similar: Column | None) -> Dat
     """``claim_id, part, supporting, contradicting, misbound, best, unknown`` of claims and parts, each on its own."""
     told = claims.withColumn("claim", F.trim(T.strip_citations(F.coalesce(F.col("claim"), F.lit("")))))
     told = features(told, "claim", "c_").withColumn("asked_stems", F.when(F.trim(F.coalesce("question", F.lit(""))) != "", content(F.col("question"))))
-    told = told.withColumn("value_only", value_only())
+    told = durable(told.withColumn("value_only", value_only()))  # both feature sets meet several times: computed once each
     bound = bound_to_tables(told.where("claim <> ''").join(blocks, "answer_id"))
     named = F.filter(F.slice(F.regexp_extract_all("claim", F.lit(r"[A-Za-z][\w-]*"), F.lit(0)), 2, 1 << 20), lambda w: w.rlike("^[A-Z]") & (w != "I"))
     seen = bound.select("claim_id", "part", "block", "binding", F.transform(F.array_distinct(named), F.lower).alias("_names"), F.lower("content").alias("_text"))
     seen = seen.withColumn("_found", F.filter("_names", lambda w: F.col("_text").contains(w)))
     per_block = seen.select("claim_id", "part", "block", "binding", "_names", "_found")
     said = features(blocks.select("answer_id", "block", F.explode(T.sentences(F.col("content"))).alias("sentence")).distinct(), "sentence", "s_").withColumn("_sid", F.struct("block", "sentence"))
+    said = durable(said)
     left = told.where("claim <> ''").select("claim_id", "part", "answer_id", F.explode(keys("c_", False)).alias("_key"))
     right = said.select("answer_id", "_sid", F.explode(keys("s_", True)).alias("_key"))
     pairs = left.join(right, ["answer_id", "_key"]).select("claim_id", "part", "answer_id", "_sid").distinct()
