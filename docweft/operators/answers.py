@@ -99,23 +99,6 @@ def valid_diagrams(answer: str, evidence: str) -> list[bool]:
     return out
 
 
-def parse_triples(raw: str, chunk: str, most: int = 3) -> list[tuple[str, str, str]]:
-    """Relations of a JSON list whose quote is literal in the chunk and holds both ends; no loops, no repeats."""
-    try:
-        items = json.loads(raw)
-    except (TypeError, ValueError):
-        return []
-    out: list[tuple[str, str, str]] = []
-    for item in items if isinstance(items, list) else []:
-        if not isinstance(item, dict):
-            continue
-        s, p, o, quote = (str(item.get(k, "")).strip() for k in ("subject", "predicate", "object", "quote"))
-        fits = all(0 < len(x) <= n for x, n in ((s, 120), (p, 80), (o, 120), (quote, 400)))
-        if fits and quote in chunk and s in quote and o in quote and s.lower() != o.lower() and (s, p, o) not in out:
-            out.append((s, p, o))
-    return out[:most]
-
-
 def validate_bytes(data: bytes, extension: str) -> str:
     """Empty string for a file that is what its extension says, else the reason."""
     kind = extension.lower().lstrip(".")

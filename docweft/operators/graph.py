@@ -155,3 +155,26 @@ def walk_relations(seeds: DataFrame, rows: DataFrame, hops: int = 3, most_nodes:
     best = found.groupBy("question_id", "chunk_id", "document_id").agg(F.min(F.struct("hops", "path")).alias("_b")).select("question_id", "chunk_id", "document_id", "_b.hops", "_b.path")
     place = F.row_number().over(Window.partitionBy("question_id").orderBy("hops", "document_id", "chunk_id")).cast("long")
     return best.withColumn("place", place).where(F.col("place") <= most)
+
+
+#: Relations of one chunk at most, and letters of an entity, a predicate and a quote.
+MOST_PARSED, ENTITY_CHARS, PREDICATE_CHARS, QUOTE_CHARS = 3, 120, 80, 400
+
+
+def parse_relations(raw: Column, chunk: Column) -> Column:
+    """``array<struct<subject, predicate, object, quote>>`` of a model's JSON list: at most three, each quoted literally from ``chunk``.
+
+    Both ends must stand in the quote and differ; a repeated triple counts once; text that is no such list gives none.
+    """
+    fields = ("subject", "predicate", "object", "quote")
+    items = F.coalesce(F.from_json(raw, f"array<struct<{','.join(f'{n}:string' for n in fields)}>>"), F.array().cast(f"array<struct<{','.join(f'{n}:string' for n in fields)}>>"))
+    trimmed = F.transform(items, lambda x: F.struct(*[F.trim(F.coalesce(x[n], F.lit(""))).alias(n) for n in fields]))
+    sized = lambda c, most: F.length(c).between(1, most)
+    fits = F.filter(
+        trimmed,
+        lambda x: sized(x["subject"], ENTITY_CHARS) & sized(x["object"], ENTITY_CHARS) & sized(x["predicate"], PREDICATE_CHARS) & sized(x["quote"], QUOTE_CHARS)
+        & chunk.contains(x["quote"]) & x["quote"].contains(x["subject"]) & x["quote"].contains(x["object"]) & (F.lower(x["subject"]) != F.lower(x["object"])),
+    )
+    same = lambda a, b: (a["subject"] == b["subject"]) & (a["predicate"] == b["predicate"]) & (a["object"] == b["object"])
+    once = F.filter(fits, lambda x, i: ~F.exists(F.slice(fits, F.lit(1), i), lambda y: same(x, y)))
+    return F.slice(once, 1, MOST_PARSED)

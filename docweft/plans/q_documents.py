@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docweft.functions import text as T
 from docweft.operators import answers as A
 from docweft.operators import chunking as C
-from docweft.operators import near, retrieve
+from docweft.operators import graph, near, retrieve
 from docweft.plans import q_relational  # noqa: F401  registers what the queries below build on
 from docweft.plans.base import frame, with_ctes
 from docweft.plans.registry import query
@@ -48,9 +48,17 @@ query("prioritize_parts")(lambda s, f: pairs(s, f).select("question_id", A.text_
 query("prepare_prompt")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: "\n".join(A.fit_prompt(q, [e, e], [q], 400)["evidence"]), "string")("question", "evidence").alias("prompt")))
 query("validate_diagram")(lambda s, f: pairs(s, f).select("question_id", A.text_udf(lambda q, e: all(A.valid_diagrams(f"```\n[{e[:20]} [1]]\n```", e)), "boolean")("question", "evidence").alias("valid")))
 query("filter_diagrams")(lambda s, f: pairs(s, f).where(A.text_udf(lambda q, e: any(A.valid_diagrams(f"```\n[{e.split(' ')[0]} [1]]\n```", e)), "boolean")("question", "evidence")).select("question_id"))
-query("kg_parse_relations")(
-    lambda s, f: frame("relations", s, f).select("rid", F.to_json(F.array(F.struct("subject", "predicate", "object", F.concat_ws(" ", "subject", "predicate", "object").alias("quote")))).alias("raw"), F.concat_ws(" ", F.lit("so"), "subject", "predicate", "object").alias("chunk")).select("rid", F.size(A.text_udf(lambda r, k: [" ".join(x) for x in A.parse_triples(r, k)], "array<string>")("raw", "chunk")).alias("relations"))
-)
+# A model's answer per relation: no JSON for ids divisible by 5, an unsaid quote for those divisible by 7, the triple twice for the rest.
+query("kg_parse_relations", with_ctes(("relations",), "SELECT rid, subject, predicate, object FROM relations WHERE rid % 5 <> 0 AND rid % 7 <> 0"))(lambda s, f: parsed_relations(frame("relations", s, f)))
+
+
+def parsed_relations(rows):
+    said = F.concat_ws(" ", "subject", "predicate", "object")
+    triple = F.struct("subject", "predicate", "object", F.when(c("rid") % 7 == 0, "unsaid").otherwise(said).alias("quote"))
+    raw = F.when(c("rid") % 5 == 0, "no list").otherwise(F.to_json(F.array(triple, triple)))
+    return rows.select("rid", F.inline(graph.parse_relations(raw, F.concat(F.lit("so "), said)))).drop("quote")
+
+
 query("route_query", with_ctes(("questions",), "SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'graph' WHEN question_id % 3 = 1 THEN 'semantic' ELSE 'both' END AS route FROM questions"))(lambda s, f: pairs(s, f).select("question_id", F.when(c("question_id") % 3 == 0, "graph").when(c("question_id") % 3 == 1, "semantic").otherwise("both").alias("route")))
 query("fuse_document_evidence", with_ctes(("headings",), "SELECT document_id, chunk_id, heading FROM headings WHERE chunk_index < 10"))(lambda s, f: frame("headings", s, f).where("chunk_index < 10").select("document_id", "chunk_id", "heading"))
 query("structured_query_controls", with_ctes(("dense", "lexical"), "SELECT 'dense' AS system, count(*)::BIGINT AS n FROM dense UNION ALL SELECT 'lexical', count(*)::BIGINT FROM lexical"))(lambda s, f: frame("dense", s, f).select(F.lit("dense").alias("system")).unionByName(frame("lexical", s, f).select(F.lit("lexical").alias("system"))).groupBy("system").agg(F.count("*").alias("n")))

@@ -128,12 +128,20 @@ query("rank_within_stream", with_ctes(("dense",), "SELECT question_id, chunk_id,
 query("concat_streams", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_id, 0::BIGINT AS stream, rank FROM dense UNION ALL SELECT question_id, chunk_id, 1, rank FROM lexical"))(
     lambda s, f: on_both(s, f, lambda d, l: d.withColumn("stream", F.lit(0).cast("long")).unionByName(l.withColumn("stream", F.lit(1).cast("long"))))
 )
-query("topk_per_stream", with_ctes(("dense", "lexical"), "SELECT question_id, stream, count(*)::BIGINT AS kept, (sum(CASE WHEN rank > 5 THEN 1 ELSE 0 END))::BIGINT AS truncated FROM (SELECT question_id, 'dense' AS stream, rank FROM dense UNION ALL SELECT question_id, 'lexical', rank FROM lexical) GROUP BY 1, 2"))(
-    lambda s, f: on_both(s, f, lambda d, l: d.withColumn("stream", F.lit("dense")).unionByName(l.withColumn("stream", F.lit("lexical"))).groupBy("question_id", "stream").agg(F.count(F.lit(1)).alias("kept"), F.count_if(c("rank") > 5).alias("truncated")))
+STREAMS = "SELECT question_id, chunk_id, 0::BIGINT AS stream, rank FROM dense UNION ALL SELECT question_id, chunk_id, 1, rank FROM lexical"
+query("topk_per_stream", with_ctes(("dense", "lexical"), f"SELECT question_id, stream, chunk_id, rank, greatest(count(*) OVER (PARTITION BY question_id, stream) - 5, 0) AS truncated FROM ({STREAMS}) QUALIFY rank <= 5"))(
+    lambda s, f: on_both(s, f, lambda d, l: _streams(d, l).withColumn("truncated", F.greatest(F.count(F.lit(1)).over(Window.partitionBy("question_id", "stream")) - 5, F.lit(0))).where("rank <= 5"))
 )
-query("identity_dedupe", with_ctes(("dense", "lexical"), "SELECT question_id, count(*)::BIGINT AS identities, sum(n - 1)::BIGINT AS duplicates FROM (SELECT question_id, chunk_id, count(*) AS n FROM (SELECT question_id, chunk_id FROM dense UNION ALL SELECT question_id, chunk_id FROM lexical) GROUP BY 1, 2) GROUP BY 1"))(
-    lambda s, f: on_both(s, f, lambda d, l: d.unionByName(l).groupBy("question_id", "chunk_id").count().groupBy("question_id").agg(F.count(F.lit(1)).alias("identities"), F.sum(c("count") - 1).alias("duplicates")))
+query("identity_dedupe", with_ctes(("dense", "lexical"), f"SELECT question_id, chunk_id, min(stream) AS stream, min_by(rank, stream) AS rank, count(*) - 1 AS duplicates FROM ({STREAMS}) GROUP BY 1, 2"))(
+    lambda s, f: on_both(s, f, lambda d, l: _streams(d, l).groupBy("question_id", "chunk_id").agg(F.min("stream").alias("stream"), F.min_by("rank", "stream").alias("rank"), (F.count(F.lit(1)) - 1).alias("duplicates")))
 )
+
+
+def _streams(d, l):
+    """Both streams, the dense one first."""
+    return d.withColumn("stream", F.lit(0).cast("long")).unionByName(l.withColumn("stream", F.lit(1).cast("long")))
+
+
 query("fuse_evidence", with_ctes(("dense", "lexical"), "SELECT question_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY stream, rank, chunk_id) AS place FROM (SELECT question_id, chunk_id, min(stream) AS stream, min_by(rank, stream) AS rank FROM (SELECT question_id, chunk_id, rank, 0 AS stream FROM dense WHERE rank <= 8 UNION ALL SELECT question_id, chunk_id, rank, 1 FROM lexical WHERE rank <= 8) GROUP BY 1, 2)) WHERE place <= 12"))(
     lambda s, f: on_both(s, f, lambda d, l: d.where("rank <= 8").withColumn("stream", F.lit(0)).unionByName(l.where("rank <= 8").withColumn("stream", F.lit(1))).groupBy("question_id", "chunk_id").agg(F.min(F.struct("stream", "rank")).alias("b")).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("b.stream", "b.rank", "chunk_id")).cast("long")).where("place <= 12").select("question_id", "chunk_id", "place"))
 )

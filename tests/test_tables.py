@@ -97,3 +97,18 @@ def test_walk_keeps_paths_and_checks_quotes(spark):
 @pytest.mark.parametrize("text,want", [("Dr. Who is 5 m.", ["dr."]), ("12 volts rail here", ["12", "volts"]), ("", [])])
 def test_subject(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(alignment.subject(F.col("t")).alias("s")).first().s == want
+
+
+def test_parsed_relations_are_quoted_literally(spark):
+    import json
+
+    item = lambda s, p, o, q: {"subject": s, "predicate": p, "object": o, "quote": q}
+    chunk = "so a p b, and c q d. Long " + "x" * 500
+    cases = [
+        (json.dumps([item("a", "p", "b", "a p b"), item("a", "p", "a", "a p a"), item(" a ", "p", "b", "so a p b")]), [("a", "p", "b")]),
+        (json.dumps([item("c", "q", "d", "c q d"), item("c", "q", "e", "c q d"), item("c", "q", "d", "unsaid c q d"), item("", "q", "d", "c q d"), item("C", "q", "c", "c q d"), item("a", "p", "b", "a p b, and c q d"), {}]), [("c", "q", "d"), ("a", "p", "b")]),
+        (json.dumps([item("a", k, "b", "a p b") for k in "12345"]), [("a", "1", "b"), ("a", "2", "b"), ("a", "3", "b")]),
+        (json.dumps([item("x", "p", "Long", "Long " + "x" * 500)]), []), ("no list", []), ("", []), (None, []), ("[1, null]", []),
+    ]
+    frame = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i long, raw string").withColumn("r", graph.parse_relations(F.col("raw"), F.lit(chunk)))
+    assert {r.i: [(x.subject, x.predicate, x.object) for x in r.r] for r in frame.collect()} == {i: want for i, (_, want) in enumerate(cases)}
