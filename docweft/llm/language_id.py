@@ -72,8 +72,29 @@ class ByteNet:
         chance = np.exp(logits)
         return chance / chance.sum(axis=1, keepdims=True), hidden, where, contexts
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy; the max pool sends each gradient to the one context that won."""
+        chance, hidden, where, contexts = self._forward(x)
+        delta = chance
+        delta[np.arange(len(y)), y] -= 1
+        delta /= len(y)
+        grads = {"out": hidden.T @ delta, "bias": delta.sum(axis=0), "embed": np.zeros_like(self.weights["embed"])}
+        back = (delta @ self.weights["out"].T) * (hidden > 0)
+        left = 0
+        for width, count in FILTERS.items():
+            g = back[:, left : left + count]
+            left += count
+            won = np.take_along_axis(contexts[width], where[width][:, :, None], 1)
+            grads[f"filter{width}"] = np.einsum("nf,nfd->df", g, won)
+            grads[f"shift{width}"] = g.sum(axis=0)
+            to_context = g[:, :, None] * self.weights[f"filter{width}"].T[None]
+            for k in range(width):
+                byte = np.take_along_axis(x, where[width] + k, 1)
+                np.add.at(grads["embed"], byte, to_context[:, :, k * EMBED : (k + 1) * EMBED])
+        return grads
+
     def fit(self, windows: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, seed: int = 4) -> "ByteNet":
-        """Adam on the cross entropy; the max pool sends each gradient to the one context that won."""
+        """Adam on the cross entropy."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -82,26 +103,8 @@ class ByteNet:
             order = rng.permutation(len(windows))
             for at in range(0, len(order), BATCH):
                 batch = order[at : at + BATCH]
-                x, y = windows[batch], target[batch]
-                chance, hidden, where, contexts = self._forward(x)
-                delta = chance
-                delta[np.arange(len(y)), y] -= 1
-                delta /= len(y)
-                grads = {"out": hidden.T @ delta, "bias": delta.sum(axis=0), "embed": np.zeros_like(self.weights["embed"])}
-                back = (delta @ self.weights["out"].T) * (hidden > 0)
-                left = 0
-                for width, count in FILTERS.items():
-                    g = back[:, left : left + count]
-                    left += count
-                    won = np.take_along_axis(contexts[width], where[width][:, :, None], 1)
-                    grads[f"filter{width}"] = np.einsum("nf,nfd->df", g, won)
-                    grads[f"shift{width}"] = g.sum(axis=0)
-                    to_context = g[:, :, None] * self.weights[f"filter{width}"].T[None]
-                    for k in range(width):
-                        byte = np.take_along_axis(x, where[width] + k, 1)
-                        np.add.at(grads["embed"], byte, to_context[:, :, k * EMBED : (k + 1) * EMBED])
                 step += 1
-                for key, g in grads.items():
+                for key, g in self.gradients(windows[batch], target[batch]).items():
                     first[key] = 0.9 * first[key] + 0.1 * g
                     second[key] = 0.999 * second[key] + 0.001 * g * g
                     scale = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)

@@ -41,6 +41,42 @@ def test_folded_tables_equal_the_network():
     assert np.allclose(np.exp(language_id.log_chances(net.folded(), windows)), chance, atol=1e-4)
 
 
+def plain_chances(net, window):
+    """One window, position by position and filter by filter."""
+    w, pooled = net.weights, []
+    for width, count in language_id.FILTERS.items():
+        for f in range(count):
+            responses = [sum(float(w["embed"][window[at + k]] @ w[f"filter{width}"][k * language_id.EMBED : (k + 1) * language_id.EMBED, f]) for k in range(width)) for at in range(len(window) - width + 1)]
+            pooled.append(max(0.0, max(responses) + float(w[f"shift{width}"][f])))
+    logits = np.array(pooled) @ w["out"] + w["bias"]
+    return np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+
+
+def test_network_is_a_plain_convolution():
+    net = language_id.ByteNet(["a", "b", "c"])
+    windows = np.random.default_rng(1).integers(0, 256, (3, 40))
+    chance, *_ = net._forward(windows)
+    assert np.allclose(chance, [plain_chances(net, w) for w in windows], atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    net = language_id.ByteNet(["a", "b", "c"])
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 256, (6, 30)), rng.integers(0, 3, 6)
+    loss = lambda: -np.log(net._forward(x)[0][np.arange(6), y]).mean()
+    for key, grad in net.gradients(x, y).items():
+        largest = np.argsort(np.abs(grad), axis=None)[-3:]
+        for at in (np.unravel_index(i, grad.shape) for i in [*largest, *rng.integers(0, grad.size, 3)]):
+            before, step = net.weights[key][at], 1e-6
+            net.weights[key][at] = before + step
+            up = loss()
+            net.weights[key][at] = before - step
+            down = loss()
+            net.weights[key][at] = before
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-6 + 1e-3 * abs(grad[at]), (key, at)
+
+
 def test_language_odd_rows(spark, odd, none):
     got = language_id.predict(odd, language_id.ByteNet(["en", "fr"])).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (2, 3, 4)} == {"und"} and language_id.train(none) is None
