@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
-from docweft.operators import relations
+from docweft.operators import relations, retrieve
 from docweft.session import durable
 
 #: Characters of a context, the least score of the best chunk, confidence and score below which an answer is a guess.
@@ -108,3 +108,33 @@ def retain_supported(claims: DataFrame, blocks: DataFrame, similar: Column | Non
     )
     repaired = (F.col("kept") > 0) & (F.col("kept") < F.col("claims")) & F.col("_passed")
     return per.select("answer_id", F.when(repaired, F.col("_kept")).otherwise(F.col("_all")).alias("answer"), "claims", "kept", repaired.alias("repaired"))
+
+
+#: Depth of the candidate pool and its share of ``top_k``, weights of the dense and structural path, of text and graph.
+POOL_LEAST, POOL_MOST, POOL_TIMES, PATHS, TEXT_AND_GRAPH = 20, 32, 3, (0.7, 0.3), (0.5, 0.5)
+
+
+def routed(questions: DataFrame) -> DataFrame:
+    """``question_id, path``: the route of ``questions(question_id, route, graph_state)`` where a graph is ready, else ``semantic``; no route means ``both``."""
+    path = F.when(F.coalesce(F.col("graph_state") == "available", F.lit(False)), F.coalesce("route", F.lit("both"))).otherwise("semantic")
+    return questions.select("question_id", path.alias("path"))
+
+
+def retrieve_evidence(questions: DataFrame, dense: DataFrame, lexical: DataFrame, structure: DataFrame | None, graph: DataFrame, top_k: int = 5, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``question_id, path, chunk_id, place`` of every question, one plan from streams of ``(question_id, chunk_id, rank)`` to evidence.
+
+    Questions for text fuse the dense and the lexical stream, then the structural path, in a pool deeper than ``top_k``; questions for
+    the graph take its stream; questions for both fuse the two. ``rerank`` may reorder the pool: it takes and gives
+    ``question_id, chunk_id, rank``.
+    """
+    paths = durable(routed(questions))
+    for_text, for_graph = paths.where("path <> 'graph'").select("question_id"), paths.where("path <> 'semantic'").select("question_id")
+    pool = min(POOL_MOST, max(POOL_LEAST, POOL_TIMES * top_k))
+    asked = lambda stream, who: stream.select("question_id", "chunk_id", "rank").join(who, "question_id", "left_semi")
+    text = retrieve.rrf([(asked(dense, for_text), 1.0), (asked(lexical, for_text), 1.0)], most=pool)
+    if structure is not None:
+        text = retrieve.rrf([(text, PATHS[0]), (asked(structure, for_text), PATHS[1])], digits=8, most=pool)
+    fused = retrieve.rrf([(text, TEXT_AND_GRAPH[0]), (asked(graph, for_graph), TEXT_AND_GRAPH[1])], most=pool).select("question_id", "chunk_id", "rank")
+    ordered = fused if rerank is None else rerank(fused)
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "chunk_id")).cast("long")
+    return ordered.withColumn("place", place).where(F.col("place") <= top_k).join(paths, "question_id").select("question_id", "path", "chunk_id", "place")

@@ -8,6 +8,8 @@ from docweft.functions import text as T
 from docweft.functions import vocabulary as V
 from docweft.operators import layout, service, spans, variants
 from docweft.plans.base import frame, relation, with_ctes
+from docweft.plans import q_evidence  # noqa: F401  registers walk, attributed
+from docweft.plans.q_retrieval import fuse_sql
 from docweft.plans.q_scalars import QTERMS, sql_list, sql_tokens
 from docweft.plans.registry import query
 from docweft.session import durable, table
@@ -106,6 +108,22 @@ def _reranked(questions, found):
     return service.qa_rerank(found.join(questions, "question_id"), spans.novel_span)
 
 
+# Retrieval as one plan: the route is a column of the questions, the graph is ready for three in four; graph and structure are walks from dense hits.
+relation("paths_of", "SELECT DISTINCT question_id, CASE WHEN question_id // 20 % 4 = 0 THEN 'semantic' WHEN question_id // 20 % 3 = 0 THEN 'graph' WHEN question_id // 20 % 3 = 1 THEN 'semantic' ELSE 'both' END AS path FROM dense", ("dense",))
+for _name, _stream, _path in (("d_text", "dense", "graph"), ("l_text", "lexical", "graph"), ("s_text", "walk", "graph"), ("g_graph", "walk", "semantic")):
+    relation(_name, f"SELECT s.question_id, s.chunk_id, s.rank FROM {_stream} s JOIN paths_of p ON p.question_id = s.question_id AND p.path <> '{_path}'", (_stream, "paths_of"))
+relation("hybrid_text", fuse_sql("d_text", "l_text", 1.0, 1.0, None, 20), ("d_text", "l_text"))
+relation("text_paths", fuse_sql("hybrid_text", "s_text", 0.7, 0.3, 8, 20), ("hybrid_text", "s_text"))
+query("retrieve_evidence", with_ctes(("text_paths", "g_graph"), f"SELECT question_id, path, chunk_id, rank AS place FROM ({fuse_sql('text_paths', 'g_graph', 0.5, 0.5, None, 5)}) JOIN paths_of USING (question_id)"))(lambda s, f: _retrieved(s, f))
+
+
+def _retrieved(spark, sf):
+    streams = {name: durable(frame(name, spark, sf).select("question_id", "chunk_id", "rank")) for name in ("dense", "lexical", "walk")}
+    turn = F.floor(c("question_id") / 20)
+    questions = streams["dense"].select("question_id").distinct().select("question_id", F.when(turn % 3 == 0, "graph").when(turn % 3 == 1, "semantic").alias("route"), F.when(turn % 4 != 0, "available").alias("graph_state"))
+    return service.retrieve_evidence(questions, streams["dense"], streams["lexical"], streams["walk"], streams["walk"])
+
+
 # Points and repair: benchmark items ask or answer; their evidence is every line that holds most of their words.
 def _evidence(spark, sf, key):
     found = frame("attributed", spark, sf).select(c("claim_id").alias(key), c("block_id").alias("block"))

@@ -174,6 +174,3 @@ query("db_scan", with_ctes((), "SELECT n_name, r_name FROM nation JOIN region ON
 query("scan_txt", with_ctes((), "SELECT doc_id, i AS seq, p[i] AS content FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.]) ', '\\1' || chr(10) || chr(10), 'g'), '\\n\\s*\\n') AS p FROM documents), UNNEST(range(1, len(p) + 1)) AS u(i) WHERE trim(p[i]) <> ''"))(
     lambda s, f: table(s, f, "documents").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "([.]) ", "$1\n\n"), r"\n\s*\n")).alias("i", "content")).where("trim(content) <> ''").select("doc_id", (c("i") + 1).cast("long").alias("seq"), "content")
 )
-query("retrieve_evidence", with_ctes(("dense", "lexical"), "SELECT question_id, count(*)::BIGINT AS evidence, count(DISTINCT label) AS documents FROM (SELECT question_id, chunk_id FROM dense WHERE rank <= 6 UNION SELECT question_id, chunk_id FROM lexical WHERE rank <= 6) JOIN embeddings ON vec_id = chunk_id GROUP BY 1"))(
-    lambda s, f: frame("dense", s, f).where("rank <= 6").select("question_id", "chunk_id").union(frame("lexical", s, f).where("rank <= 6").select("question_id", "chunk_id")).distinct().join(table(s, f, "embeddings").select(c("vec_id").alias("chunk_id"), "label"), "chunk_id").groupBy("question_id").agg(F.count("*").alias("evidence"), F.count_distinct("label").alias("documents"))
-)

@@ -54,3 +54,21 @@ def test_repair_keeps_supported_claims_with_sources(spark):
         1: ("The lidar array requires calibration every 30 days [1].", 2, 1, True), 2: (said[2][0], 1, 1, False), 3: (said[3][0], 1, 0, False), 4: ("The power rail operates at 12 volts [1]!", 2, 1, True),
     }
     assert service.retain_supported(c.where(F.lit(False)), b).count() == 0
+
+
+def test_evidence_follows_its_route(spark):
+    q = [(1, "graph", "available"), (2, "semantic", "available"), (3, None, "available"), (4, "graph", "pending"), (5, "graph", None)]
+    questions = spark.createDataFrame(q, "question_id long, route string, graph_state string")
+    stream = lambda ids: spark.createDataFrame([(i, x, k + 1) for i, *_ in q for k, x in enumerate(ids)], "question_id long, chunk_id long, rank long")
+    dense, lexical, structure, graph = stream([1, 2]), stream([2, 3]), stream([3]), stream([9, 1])
+
+    def found(**more):
+        out = {}
+        for r in service.retrieve_evidence(questions, dense, lexical, structure, graph, **more).orderBy("place").collect():
+            out.setdefault((r.question_id, r.path), []).append(r.chunk_id)
+        return out
+
+    text = [3, 2, 1]
+    assert found() == {(1, "graph"): [9, 1], (2, "semantic"): text, (3, "both"): [1, 3, 9, 2], (4, "semantic"): text, (5, "semantic"): text}
+    last = found(top_k=1, rerank=lambda pool: pool.withColumn("rank", -F.col("chunk_id")))
+    assert last == {(1, "graph"): [9], (2, "semantic"): [3], (3, "both"): [9], (4, "semantic"): [3], (5, "semantic"): [3]}
