@@ -5,10 +5,8 @@ from __future__ import annotations
 import uuid
 from difflib import SequenceMatcher
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docweft.functions import text as T
 from docweft.operators import answers as A
 from docweft.operators import chunking as C
 from docweft.operators import graph, near, retrieve

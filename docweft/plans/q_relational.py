@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweft.functions import text as T
 from docweft.operators import folds, retrieve
 from docweft.plans.base import frame, relation, with_ctes
-from docweft.plans.q_scalars import CONTENT, sql_tokens
+from docweft.plans.q_scalars import CONTENT
 from docweft.plans import q_retrieval  # noqa: F401  registers dense, lexical, edges, tree, islands
 from docweft.plans.registry import query
 from docweft.session import table

@@ -9,7 +9,7 @@ from docweft.functions import text as T
 from docweft.functions import vocabulary as V
 from docweft.operators import folds, fulltext, graph, retrieve
 from docweft.plans.base import frame, relation, with_ctes
-from docweft.plans.q_scalars import CONTENT, sql_list, sql_stem, sql_tokens
+from docweft.plans.q_scalars import sql_list, sql_stem, sql_tokens
 from docweft.plans.registry import query
 from docweft.session import durable, table
 
