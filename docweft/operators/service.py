@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
-from docweft.operators import relations, retrieve
+from docweft.operators import graph, relations, retrieve
 from docweft.session import durable
 
 #: Characters of a context, the least score of the best chunk, confidence and score below which an answer is a guess.
@@ -120,7 +120,7 @@ def routed(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", path.alias("path"))
 
 
-def retrieve_evidence(questions: DataFrame, dense: DataFrame, lexical: DataFrame, structure: DataFrame | None, graph: DataFrame, top_k: int = 5, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def retrieve_evidence(questions: DataFrame, dense: DataFrame, lexical: DataFrame, structure: DataFrame | None, entity_graph: DataFrame, top_k: int = 5, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``question_id, path, chunk_id, place`` of every question, one plan from streams of ``(question_id, chunk_id, rank)`` to evidence.
 
     Questions for text fuse the dense and the lexical stream, then the structural path, in a pool deeper than ``top_k``; questions for
@@ -134,7 +134,30 @@ def retrieve_evidence(questions: DataFrame, dense: DataFrame, lexical: DataFrame
     text = retrieve.rrf([(asked(dense, for_text), 1.0), (asked(lexical, for_text), 1.0)], most=pool)
     if structure is not None:
         text = retrieve.rrf([(text, PATHS[0]), (asked(structure, for_text), PATHS[1])], digits=8, most=pool)
-    fused = retrieve.rrf([(text, TEXT_AND_GRAPH[0]), (asked(graph, for_graph), TEXT_AND_GRAPH[1])], most=pool).select("question_id", "chunk_id", "rank")
+    fused = retrieve.rrf([(text, TEXT_AND_GRAPH[0]), (asked(entity_graph, for_graph), TEXT_AND_GRAPH[1])], most=pool).select("question_id", "chunk_id", "rank")
     ordered = fused if rerank is None else rerank(fused)
     place = F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "chunk_id")).cast("long")
     return ordered.withColumn("place", place).where(F.col("place") <= top_k).join(paths, "question_id").select("question_id", "path", "chunk_id", "place")
+
+
+#: Evidence of each stream, of both, and headings above a structural hit.
+MOST_SEMANTIC, MOST_STRUCTURAL, MOST_FUSED, MOST_HEADINGS = 8, 8, 12, 3
+
+
+def fuse_document_evidence(asked: DataFrame, semantic: DataFrame, elements: DataFrame) -> DataFrame:
+    """``question_id, stream, id, context, place``: semantic hits, then structural ones with the nearest three headings above them.
+
+    ``asked(question_id, document_id, element_id, rank)``, ``semantic(question_id, id, rank)``, ``elements(document_id, element_id, parent_id,
+    heading)``. An element of another document than asked is left out, so evidence cannot leak; ``context`` reads from the top down.
+    """
+    own = asked.join(elements.select("document_id", "element_id"), ["document_id", "element_id"])
+    tree = elements.select(F.col("element_id").alias("id"), "parent_id")
+    above = graph.ancestors(own.select(F.col("element_id").alias("node")), tree).where(F.col("depth") <= MOST_HEADINGS)
+    named = above.join(elements.select(F.col("element_id").alias("ancestor"), "heading"), "ancestor").groupBy(F.col("node").alias("element_id"))
+    contexts_ = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "heading"))), lambda x: x["heading"]), " > ").alias("context"))
+    structural = own.join(contexts_, "element_id", "left").select("question_id", F.lit(1).alias("stream"), F.col("element_id").alias("id"), "context", "rank")
+    both = semantic.select("question_id", F.lit(0).alias("stream"), "id", F.lit(None).cast("string").alias("context"), "rank").unionByName(structural)
+    nth = both.withColumn("_r", F.row_number().over(Window.partitionBy("question_id", "stream").orderBy("rank", "id")))
+    kept = nth.where(((F.col("stream") == 0) & (F.col("_r") <= MOST_SEMANTIC)) | ((F.col("stream") == 1) & (F.col("_r") <= MOST_STRUCTURAL)))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("stream", "_r")).cast("long")
+    return kept.withColumn("place", place).where(F.col("place") <= MOST_FUSED).select("question_id", "stream", "id", "context", "place")

@@ -9,7 +9,7 @@ from docweft.functions import vocabulary as V
 from docweft.operators import layout, service, spans, variants
 from docweft.plans.base import frame, relation, with_ctes
 from docweft.plans import q_evidence  # noqa: F401  registers walk, attributed
-from docweft.plans.q_retrieval import fuse_sql
+from docweft.plans.q_retrieval import CHAIN, fuse_sql
 from docweft.plans.q_scalars import QTERMS, sql_list, sql_tokens
 from docweft.plans.registry import query
 from docweft.session import durable, table
@@ -124,6 +124,25 @@ def _retrieved(spark, sf):
     return service.retrieve_evidence(questions, streams["dense"], streams["lexical"], streams["walk"], streams["walk"])
 
 
+# Evidence of one document: a customer's dearest orders are structural hits in the element tree; orders divisible by 7 lie in another document.
+query(
+    "fuse_document_evidence",
+    with_ctes(
+        ("dense", "ranked", "tree"),
+        f"""SELECT question_id, stream, id, context, row_number() OVER (PARTITION BY question_id ORDER BY stream, r) AS place FROM (SELECT question_id, 0 AS stream, chunk_id::VARCHAR AS id, NULL::VARCHAR AS context, row_number() OVER (PARTITION BY question_id ORDER BY rank, chunk_id::VARCHAR) AS r FROM dense QUALIFY r <= 8
+        UNION ALL SELECT question_id, 1, 'o' || item, context, row_number() OVER (PARTITION BY question_id ORDER BY rank, 'o' || item) AS r FROM ranked LEFT JOIN (SELECT node, string_agg(ancestor, ' > ' ORDER BY depth DESC) AS context FROM ({CHAIN}) GROUP BY 1) ON node = 'o' || item WHERE question_id % 20 = 0 AND item % 7 <> 0 QUALIFY r <= 8) QUALIFY place <= 12""",
+    ),
+)(lambda s, f: _fused_document(s, f))
+
+
+def _fused_document(spark, sf):
+    order = F.concat(F.lit("o"), c("item").cast("string"))
+    asked = frame("ranked", spark, sf).where("question_id % 20 = 0").select("question_id", F.lit(1).alias("document_id"), order.alias("element_id"), "rank")
+    other = c("id").startswith("o") & (F.substring("id", 2, 20).cast("long") % 7 == 0)
+    elements = frame("tree", spark, sf).select(F.when(other, 2).otherwise(1).alias("document_id"), c("id").alias("element_id"), "parent_id", c("id").alias("heading"))
+    return service.fuse_document_evidence(asked, frame("dense", spark, sf).select("question_id", c("chunk_id").cast("string").alias("id"), "rank"), elements)
+
+
 # Points and repair: benchmark items ask or answer; their evidence is every line that holds most of their words.
 def _evidence(spark, sf, key):
     found = frame("attributed", spark, sf).select(c("claim_id").alias(key), c("block_id").alias("block"))

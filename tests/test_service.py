@@ -72,3 +72,13 @@ def test_evidence_follows_its_route(spark):
     assert found() == {(1, "graph"): [9, 1], (2, "semantic"): text, (3, "both"): [1, 3, 9, 2], (4, "semantic"): text, (5, "semantic"): text}
     last = found(top_k=1, rerank=lambda pool: pool.withColumn("rank", -F.col("chunk_id")))
     assert last == {(1, "graph"): [9], (2, "semantic"): [3], (3, "both"): [9], (4, "semantic"): [3], (5, "semantic"): [3]}
+
+
+def test_document_evidence_has_headings_and_does_not_leak(spark):
+    elements = spark.createDataFrame([(1, "a", None, "A"), (1, "b", "a", "B"), (1, "c", "b", "C"), (1, "d", "c", "D"), (1, "e", "d", "E"), (2, "x", "a", "X")], "document_id long, element_id string, parent_id string, heading string")
+    asked = spark.createDataFrame([(1, 1, "e", 1), (1, 1, "x", 2), (1, 1, "b", 3), (1, 1, "a", 4), (1, 1, "gone", 5), (2, 2, "x", 1)], "question_id long, document_id long, element_id string, rank long")
+    semantic = spark.createDataFrame([(1, str(k), k) for k in range(10)], "question_id long, id string, rank long")
+    got = {}
+    for r in service.fuse_document_evidence(asked, semantic, elements).orderBy("place").collect():
+        got.setdefault(r.question_id, []).append((r.id, r.context))
+    assert got == {1: [(str(k), None) for k in range(8)] + [("e", "B > C > D"), ("b", "A"), ("a", None)], 2: [("x", "A")]}
