@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweft.operators.retrieve import small
+
 
 def average_rank(value: str, by: list[str]) -> Column:
     """Rank with ties sharing their mean."""
@@ -12,6 +14,30 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(group.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def value_ranks(frame: DataFrame, value: str, by: list[str], name: str = "avg_rank", weight: str | None = None) -> DataFrame:
+    """One row per group and distinct value: its ``average_rank``. Windows see distinct values only; ``weight`` counts rows."""
+    counts = frame.groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*by, value, (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+
+
+def with_average_rank(frame: DataFrame, value: str, by: list[str], name: str = "avg_rank", weight: str | None = None) -> DataFrame:
+    """``frame`` with the average rank of ``value`` in its group; few distinct values go to every task, many are joined."""
+    ranks = small(value_ranks(frame, value, by, name, weight).withColumnsRenamed({k: f"_r_{k}" for k in (*by, value)}))
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in (*by, value)]
+    return frame.join(ranks, same).drop(*[f"_r_{k}" for k in (*by, value)])
+
+
+def spearman(frame: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """``rho`` per group: the correlation of average ranks, from counts of (a, b) pairs; ranks are centred on their mean ``(n + 1) / 2``."""
+    pairs = frame.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w"))
+    ranked = with_average_rank(with_average_rank(pairs, a, by, "_a", "_w"), b, by, "_b", "_w")
+    sizes = pairs.groupBy(*by).agg(((F.sum("_w") + 1) / 2).alias("_mean")).withColumnsRenamed({k: f"_s_{k}" for k in by})
+    met = ranked.join(small(sizes), [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by])
+    x, y, w = F.col("_a") - F.col("_mean"), F.col("_b") - F.col("_mean"), F.col("_w")
+    return met.groupBy(*by).agg(F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))).alias("rho"))
+
+
 def auc(frame: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
     """``roc_auc`` and Mann-Whitney ``u`` per group.
 

@@ -113,7 +113,7 @@ def _wilson(x):
 
 
 RANKS = "rank() OVER (PARTITION BY category ORDER BY score) + (count(*) OVER (PARTITION BY category, score) - 1) / 2.0::DOUBLE"
-query("rank_average", with_ctes(("results",), f"SELECT rid, {RANKS} AS avg_rank FROM results"))(lambda s, f: frame("results", s, f).select("rid", S.average_rank("score", ["category"]).alias("avg_rank")))
+query("rank_average", with_ctes(("results",), f"SELECT rid, {RANKS} AS avg_rank FROM results"))(lambda s, f: S.with_average_rank(frame("results", s, f).select("rid", "category", "score"), "score", ["category"]).select("rid", "avg_rank"))
 AUC = f"SELECT category, s - p * (p + 1) / 2.0::DOUBLE AS u, p, n FROM (SELECT category, sum(r) FILTER (correct) AS s, count(*) FILTER (correct) AS p, count(*) FILTER (NOT correct) AS n FROM (SELECT category, correct, {RANKS} AS r FROM results) GROUP BY 1)"
 query("roc_auc", with_ctes(("results",), f"SELECT category, round(u / (p * n), 6) AS roc_auc FROM ({AUC})"))(lambda s, f: S.auc(frame("results", s, f), "score", "correct", ["category"]).select("category", F.round("roc_auc", 6).alias("roc_auc")))
 query("mann_whitney_u", with_ctes(("results",), f"SELECT category, u FROM ({AUC})"))(lambda s, f: S.auc(frame("results", s, f), "score", "correct", ["category"]).select("category", "u"))
@@ -134,7 +134,7 @@ def _overlap(r):
 
 query("pearson", with_ctes(("results",), "SELECT category, round(corr(score, confidence), 6) AS r FROM results GROUP BY 1"))(lambda s, f: frame("results", s, f).groupBy("category").agg(F.round(F.corr("score", "confidence"), 6).alias("r")))
 query("spearman_matrix", with_ctes(("results",), "SELECT category, round(corr(a, b), 6) AS rho FROM (SELECT category, rank() OVER (PARTITION BY category ORDER BY score) + (count(*) OVER (PARTITION BY category, score) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY category ORDER BY confidence) + (count(*) OVER (PARTITION BY category, confidence) - 1) / 2.0::DOUBLE AS b FROM results) GROUP BY 1"))(
-    lambda s, f: frame("results", s, f).select("category", S.average_rank("score", ["category"]).alias("a"), S.average_rank("confidence", ["category"]).alias("b")).groupBy("category").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    lambda s, f: S.spearman(frame("results", s, f), "score", "confidence", ["category"]).select("category", F.round("rho", 6).alias("rho"))
 )
 query("cohen_d", with_ctes(("results",), "SELECT category, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d FROM (SELECT category, avg(score) FILTER (correct) AS m1, avg(score) FILTER (NOT correct) AS m0, var_samp(score) FILTER (correct) AS v1, var_samp(score) FILTER (NOT correct) AS v0, count(*) FILTER (correct) AS n1, count(*) FILTER (NOT correct) AS n0 FROM results GROUP BY 1)"))(
     lambda s, f: frame("results", s, f).groupBy("category").agg(*[g(F.when(k, c("score"))).alias(a + n) for n, k in (("1", c("correct")), ("0", ~c("correct"))) for a, g in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]).select("category", F.round((c("m1") - c("m0")) / F.sqrt(((c("n1") - 1) * c("v1") + (c("n0") - 1) * c("v0")) / (c("n1") + c("n0") - 2)), 6).alias("d"))
