@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Units of one task, about.
+TASK_UNITS = 1 << 19
 #: Candidates that a reranker sees at most.
 MOST_RERANKED = 32
 
@@ -59,10 +61,15 @@ def evidence_units(units: DataFrame, spans: DataFrame) -> DataFrame:
     ``units(question_id, unit, alternative, document, start, end)``: an alternative needs all of its spans;
     ``spans(question_id, document, lo, hi, tokens)``: what was retrieved.
     """
-    key = ["question_id", "unit", "alternative", "document", "start", "end"]
-    met = units.join(spans, ["question_id", "document"], "left").withColumn("_in", F.coalesce((F.col("lo") <= F.col("start")) & (F.col("end") <= F.col("hi")), F.lit(False)))
-    need = met.groupBy(*key).agg(F.bool_or("_in").alias("_in"))
-    whole = need.groupBy("question_id", "unit", "alternative").agg(F.bool_and("_in").alias("_in")).groupBy("question_id", "unit").agg(F.bool_or("_in").alias("_in"))
+    # A unit is covered if, of the spans that begin at or before its start, the greatest end reaches its own: no pairs are made.
+    given = spans.where("lo IS NOT NULL AND hi IS NOT NULL").select("question_id", "document", F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.col("hi").alias("_to"), F.lit(None).cast(units.schema["unit"].dataType).alias("unit"), F.lit(None).cast(units.schema["alternative"].dataType).alias("alternative"))
+    asked = units.select("question_id", "document", F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("end").alias("_to"), "unit", "alternative")
+    dealt = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.count() // TASK_UNITS)
+    placed = asked.unionByName(given).repartition(dealt, "question_id")
+    so_far = Window.partitionBy("question_id", "document").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = placed.withColumn("_hi", F.max(F.when(F.col("_kind") == 0, F.col("_to"))).over(so_far)).where("_kind = 1")
+    held = F.coalesce((F.col("_to") <= F.col("_hi")) & F.col("_at").isNotNull() & F.col("question_id").isNotNull() & F.col("document").isNotNull(), F.lit(False))
+    whole = reach.groupBy("question_id", "unit", "alternative").agg(F.bool_and(held).alias("_in")).groupBy("question_id", "unit").agg(F.bool_or("_in").alias("_in"))
     per = whole.groupBy("question_id").agg(F.count(F.lit(1)).alias("units"), F.count_if("_in").alias("covered"))
     cost = spans.groupBy("question_id").agg(F.sum("tokens").alias("_t"))
     return per.join(cost, "question_id", "left").select("question_id", "units", "covered", F.round(F.col("covered") / F.col("units"), 6).alias("rer"), F.round(F.when(F.col("_t") > 0, F.col("covered") * 1000.0 / F.col("_t")), 6).alias("ect"))
