@@ -1,5 +1,8 @@
 """Full text in tiles: several blocks and columns, repeated questions, alternatives that count although something excludes them."""
 
+import numpy as np
+import pyarrow as pa
+
 from docweft.operators import covers, fulltext
 from tests.test_fulltext import plain_score
 
@@ -18,3 +21,19 @@ def test_excluded_alternatives_still_count(spark, monkeypatch):
         want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
     assert got == want
     assert (0, 1, 115, 10.1) in got
+
+
+def test_rows_of_a_tile_come_in_any_order():
+    """Words 1 and 2 in 200 chunks, asked alone, both, and one without the other; batches mix questions and postings."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 5, int(rng.integers(0, 40))) for _ in range(200)]
+    rows = [(int(w), chunk * 7, pos, None) for chunk, text in enumerate(texts) for pos, w in enumerate(text)]
+    rows += [(1, 0, 0, 0), (1, 1, 0, 0), (2, 1, 1, 2), (1, 2, 0, 0), (2, 2, 1, 3)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    columns = list(zip(*rows, strict=True))
+    table = pa.table({"word": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "pos": pa.array(columns[2], pa.int32()), "mark": pa.array(columns[3], pa.int64())})
+    got = {(q, c): s for b in covers._met(200)(iter(table.to_batches(max_chunksize=97))) for q, c, s in zip(*(x.to_pylist() for x in b.columns), strict=True)}
+    want = {(0, i * 7): round(0.1 * (t == 1).sum(), 6) for i, t in enumerate(texts) if (t == 1).any()}
+    want |= {(2, i * 7): s for i, t in enumerate(texts) if (t == 1).any() and not (t == 2).any() for s in [want[0, i * 7]]}
+    assert {k: v for k, v in got.items() if k[0] != 1} == want
+    assert {c for q, c in got if q == 1} == {i * 7 for i, t in enumerate(texts) if (t == 1).any() and (t == 2).any()}
