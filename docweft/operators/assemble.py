@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text as T
+from docweft.operators.retrieve import small
+from docweft.session import durable
 
 #: Shortest sentence of a fallback answer, chunks of one resumable batch, rows of one part of a snapshot.
 SHORTEST, BATCH, PART = 45, 24, 1000
 #: Words that mark a sentence as metadata.
 METADATA = ["copyright", "isbn", "published"]
+#: Lists that questions meet first, and how many times as many those meet that are left.
+FIRST_HEADS, MORE = 128, 16
 
 
 def topic(rows: DataFrame, cap: int) -> DataFrame:
@@ -87,12 +91,25 @@ def lists(lines: DataFrame) -> DataFrame:
 def list_answer(asked: DataFrame, items: DataFrame, shared: int = 2) -> DataFrame:
     """``question_id, chunk_id``: the item at the asked place of the only list whose heading shares ``shared`` words or more.
 
-    ``asked(question_id, tokens, position)``, ``items`` as ``lists`` gives them. Several such lists give no answer.
+    ``asked(question_id, tokens, position)``, ``items`` as ``lists`` gives them, ``heading`` only needed where ``item`` is 1. Several
+    such lists give no answer, so two of them settle a question: questions meet ``FIRST_HEADS`` lists first, those left ``MORE`` times
+    as many, and in the end all lists. What meets many lists, by frequent words, has gone by then.
     """
-    heads = items.where("item = 1").select("document_id", "list", F.explode(F.array_distinct(T.content_tokens(F.col("heading")))).alias("token"))
-    met = asked.select("question_id", F.explode("tokens").alias("token")).join(heads, "token").groupBy("question_id", "document_id", "list").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= shared)
-    only = met.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"), F.min("document_id").alias("document_id"), F.min("list").alias("list")).where("_n = 1")
-    at = only.join(asked.select("question_id", F.col("position").alias("item")), "question_id")
+    order = F.xxhash64("document_id", "list").alias("_h")
+    heads = durable(items.where("item = 1").select("document_id", "list", F.array_distinct(T.content_tokens(F.col("heading"))).alias("_w"), order))
+    words = asked.select("question_id", F.explode("tokens").alias("token"))
+    most, least, width = heads.count(), -(1 << 63), 1 << 64
+
+    def met(part: DataFrame) -> DataFrame:
+        pairs = words.join(small(part.select("document_id", "list", F.explode("_w").alias("token"))), "token").groupBy("question_id", "document_id", "list").agg(F.count(F.lit(1)).alias("_n"))
+        return pairs.where(F.col("_n") >= shared).groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"), F.min("document_id").alias("document_id"), F.min("list").alias("list"))
+
+    size = FIRST_HEADS
+    while size < most:
+        several = met(heads.where(F.col("_h") < least + width * size // most)).where("_n > 1")
+        words = durable(words.join(several.select("question_id"), "question_id", "left_anti"))
+        size *= MORE
+    at = met(heads).where("_n = 1").join(asked.select("question_id", F.col("position").alias("item")), "question_id")
     return at.join(items, ["document_id", "list", "item"]).select("question_id", "chunk_id")
 
 

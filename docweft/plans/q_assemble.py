@@ -101,7 +101,7 @@ query(
         SELECT q.question_id, q.position, h.document_id, h.list FROM ({ASKED}) q JOIN (SELECT document_id, list, list_distinct({CONTENT('heading')}) AS w FROM listed WHERE item = 1) h ON len(list_filter(q.tokens, lambda t: list_contains(h.w, t))) >= 2)
         GROUP BY 1 HAVING count(*) = 1) JOIN listed USING (document_id, list, item)""",
     ),
-)(lambda s, f: A.list_answer(_asked(table(s, f, "documents")), durable(listed(s, f))))
+)(lambda s, f: A.list_answer(_asked(table(s, f, "documents")), durable(listed(s, f).select("document_id", "list", "item", "chunk_id", F.when(c("item") == 1, c("heading")).alias("heading")))))
 
 
 def _asked(documents):

@@ -27,6 +27,21 @@ def test_lists_need_a_heading_and_two_items_and_answers_one_list(spark):
     assert rows(A.list_answer(asked, found), "question_id", "chunk_id") == [(1, 102), (2, 110)]
 
 
+def test_list_answers_meet_few_lists_first(spark, monkeypatch):
+    """Two lists settle a question, in whichever round it meets them; those met once or never go on to all lists."""
+    monkeypatch.setattr(A, "FIRST_HEADS", 2)
+    monkeypatch.setattr(A, "MORE", 3)
+    heads = [[f"w{i}", f"x{i}"] + ["frequent", "words"] * (i % 3 == 0) for i in range(60)]
+    items = spark.createDataFrame([(d, 0, k, 100 * d + k, " ".join(h) if k == 1 else None) for d, h in enumerate(heads) for k in (1, 2)], "document_id long, list long, item long, chunk_id long, heading string")
+    tokens = [[f"w{i}", f"x{i}"] + ["frequent", "words"] * (i % 4 == 0) for i in range(80)]
+    asked = spark.createDataFrame([(q, t, q % 2 + 1) for q, t in enumerate(tokens)], "question_id long, tokens array<string>, position long")
+    want = []
+    for q, t in enumerate(tokens):
+        met = [d for d, h in enumerate(heads) if len(set(h) & set(t)) >= 2]
+        want += [(q, 100 * met[0] + q % 2 + 1)] if len(met) == 1 else []
+    assert rows(A.list_answer(asked, items), "question_id", "chunk_id") == want and len(want) == 45
+
+
 def test_fallback_orders_by_shared_names_and_counts_equal_sentences_once(spark):
     good = "Later the old bridge of Norwich was rebuilt in stone by its town."
     text = f"Too short here. Some long sentence about nothing of any interest at all! {good} {good} This long sentence only carries the copyright of the book."
