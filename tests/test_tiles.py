@@ -1,6 +1,7 @@
 """Vectors in tiles against plain Python: ties by id, missing and zero vectors, several tiles, recall of inverted lists."""
 
 import numpy as np
+import pyarrow as pa
 
 from docweft.operators import retrieve, tiles
 
@@ -43,3 +44,24 @@ def test_inverted_lists_read_few_and_find_most(spark):
     assert len(exact & found) >= 0.9 * len(exact)
     centres, probes = tiles.fitted(v.select("v").toArrow().column("v"), 20, 10, 0.95)
     assert len(centres) == 20 and probes <= 10
+
+
+def test_single_precision_only_leaves_out_what_cannot_be_kept():
+    """Cosines lie closer together than single precision tells them apart; ids and scores are those of double precision."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    given = base + rng.normal(size=(3000, 64)) * 1e-3 * rng.random((3000, 1))
+    given[7], given[2000:2100] = 0, given[:100]
+    asked = np.vstack([base + rng.normal(size=(20, 64)) * 1e-3, np.zeros((1, 64))])
+    tile = tiles._Asked(30, 6)
+    tile.add(np.arange(21), pa.array(asked.tolist()))
+    for at in range(0, 3000, 700):
+        tile.meet(np.arange(at, min(at + 700, 3000)), pa.array(given[at : at + 700].tolist()))
+    assert tile.single.dtype == np.float32
+    length = np.linalg.norm(given, axis=1)
+    for q in range(20):
+        score = np.round(given @ asked[q] / np.where(length > 0, length, 1) / np.linalg.norm(asked[q]), 6)
+        score[7] = tiles.NO_SCORE
+        want = np.lexsort((np.arange(3000), -score))[:30]
+        assert tile.found[q].tolist() == want.tolist() and tile.score[q].tolist() == score[want].tolist()
+    assert tile.found[20].tolist() == list(range(30)) and set(tile.score[20]) == {tiles.NO_SCORE}
