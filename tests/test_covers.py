@@ -37,3 +37,19 @@ def test_rows_of_a_tile_come_in_any_order():
     want |= {(2, i * 7): s for i, t in enumerate(texts) if (t == 1).any() and not (t == 2).any() for s in [want[0, i * 7]]}
     assert {k: v for k, v in got.items() if k[0] != 1} == want
     assert {c for q, c in got if q == 1} == {i * 7 for i, t in enumerate(texts) if (t == 1).any() and (t == 2).any()}
+
+
+def test_columns_of_a_task_share_what_was_found(spark, monkeypatch):
+    """Many columns in two tasks: a task gives the best of all its columns once, not of each, with ties by chunk across columns."""
+    monkeypatch.setattr(covers, "COLUMN_POSTINGS", 40)
+    texts = ["red " * (i % 7) + "pump blue " * (i % 3) + "gap " * (i % 5) + "red" for i in range(300)]
+    asked = ["red", "red blue", '"pump blue" or gap red', "red -gap", "blue -pump or gap pump"]
+    posed = fulltext.units(spark.createDataFrame(list(enumerate(asked)), "question_id long, question string"))
+    known = sorted({r.lexeme for r in posed.collect()})
+    words = spark.createDataFrame([(w, i) for i, w in enumerate(known)], "lexeme string, word long")
+    postings = fulltext.packed(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"), known)
+    found = covers.best(posed.join(words, "lexeme"), postings, 5, 2).collect()
+    for q, question in enumerate(asked):
+        own = sorted((-r.score, r.chunk_id) for r in found if r.question_id == q)
+        assert 5 <= len(own) <= 10
+        assert own[:5] == sorted((-s, i) for i, s in ((i, plain_score(question, t)) for i, t in enumerate(texts)) if s is not None)[:5]
