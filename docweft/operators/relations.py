@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
+from docweft.operators.retrieve import small
 from docweft.session import durable
 
 SUPPORTED, CONTRADICTED, INSUFFICIENT = "SUPPORTED", "CONTRADICTED", "INSUFFICIENT_EVIDENCE"
@@ -199,22 +200,31 @@ def bound_to_tables(bound: DataFrame) -> DataFrame:
     return out.withColumn("binding", decided).select(*bound.columns, "binding")
 
 
-def _judged(claims: DataFrame, blocks: DataFrame, similar: Column | None) -> DataFrame:
+def sentences(blocks: DataFrame) -> DataFrame:
+    """The different sentences of ``blocks(answer_id, block, content)`` with their features, written."""
+    said = blocks.select("answer_id", "block", F.explode(T.sentences(F.col("content"))).alias("sentence")).distinct()
+    return durable(features(said, "sentence", "s_").withColumn("_sid", F.struct("block", "sentence")))
+
+
+def _judged(claims: DataFrame, blocks: DataFrame, similar: Column | None, said: DataFrame) -> DataFrame:
     """``claim_id, part, supporting, contradicting, misbound, best, unknown`` of claims and parts, each on its own."""
     told = claims.withColumn("claim", F.trim(T.strip_citations(F.coalesce(F.col("claim"), F.lit("")))))
     told = features(told, "claim", "c_").withColumn("asked_stems", F.when(F.trim(F.coalesce("question", F.lit(""))) != "", content(F.col("question"))))
     told = durable(told.withColumn("value_only", value_only()))  # both feature sets meet several times: computed once each
-    bound = bound_to_tables(told.where("claim <> ''").join(blocks, "answer_id"))
+    few = small(told)  # few claims go to every task, so that no features are shuffled
+    bound = bound_to_tables(few.where("claim <> ''").join(blocks, "answer_id"))
     named = F.filter(F.slice(F.regexp_extract_all("claim", F.lit(r"[A-Za-z][\w-]*"), F.lit(0)), 2, 1 << 20), lambda w: w.rlike("^[A-Z]") & (w != "I"))
     seen = bound.select("claim_id", "part", "block", "binding", F.transform(F.array_distinct(named), F.lower).alias("_names"), F.lower("content").alias("_text"))
     seen = seen.withColumn("_found", F.filter("_names", lambda w: F.col("_text").contains(w)))
     per_block = seen.select("claim_id", "part", "block", "binding", "_names", "_found")
-    said = features(blocks.select("answer_id", "block", F.explode(T.sentences(F.col("content"))).alias("sentence")).distinct(), "sentence", "s_").withColumn("_sid", F.struct("block", "sentence"))
-    said = durable(said)
-    left = told.where("claim <> ''").select("claim_id", "part", "answer_id", F.explode(keys("c_", False)).alias("_key"))
-    right = said.select("answer_id", "_sid", F.explode(keys("s_", True)).alias("_key"))
-    pairs = left.join(right, ["answer_id", "_key"]).select("claim_id", "part", "answer_id", "_sid").distinct()
-    met = pairs.join(told, ["claim_id", "part", "answer_id"]).join(said, ["answer_id", "_sid"])
+    if few is not told:
+        asked = F.broadcast(told.where("claim <> ''").withColumn("_ck", keys("c_", False)))
+        met = said.withColumn("_sk", keys("s_", True)).join(asked, "answer_id").where(F.arrays_overlap("_ck", "_sk"))
+    else:
+        left = told.where("claim <> ''").select("claim_id", "part", "answer_id", F.explode(keys("c_", False)).alias("_key"))
+        right = said.select("answer_id", "_sid", F.explode(keys("s_", True)).alias("_key"))
+        pairs = left.join(right, ["answer_id", "_key"]).select("claim_id", "part", "answer_id", "_sid").distinct()
+        met = pairs.join(told, ["claim_id", "part", "answer_id"]).join(said, ["answer_id", "_sid"])
     ruled = met.select("claim_id", "part", F.col("block"), relation(similar).alias("_r"), F.round(_share(F.col("c_token_stems"), F.col("s_stems")), 4).alias("_o"))
     folded = ruled.groupBy("claim_id", "part", "block").agg(F.bool_or(F.col("_r") == "supports").alias("_yes"), F.bool_or(F.col("_r") == "contradicts").alias("_no"), F.max("_o").alias("_best"))
     merged = per_block.join(folded, ["claim_id", "part", "block"], "left")
@@ -226,9 +236,9 @@ def _judged(claims: DataFrame, blocks: DataFrame, similar: Column | None) -> Dat
     )
 
 
-def verify_claims(claims: DataFrame, blocks: DataFrame, similar: Column | None = None) -> DataFrame:
+def verify_claims(claims: DataFrame, blocks: DataFrame, similar: Column | None = None, said: DataFrame | None = None) -> DataFrame:
     """``claim_id, label, supporting, contradicting, citation_ok, misbound, best`` of ``claims(claim_id, answer_id, claim, question, stated)``
-    against ``blocks(answer_id, block, content)``, the evidence of each answer."""
+    against ``blocks(answer_id, block, content)``, the evidence of each answer; ``said`` are its ``sentences``, if known."""
     whole = claims.select("claim_id", "answer_id", "claim", "question", F.lit(0).alias("part"))
     parts = F.filter(F.transform(F.split(F.trim(T.strip_citations(F.coalesce(F.col("claim"), F.lit("")))), r"\s+(?:and|but)\s+"), lambda x: F.trim(x)), lambda x: x != "")
     split = claims.where(F.size(parts) > 1).select("claim_id", "answer_id", "question", F.posexplode(F.filter(parts, lambda x: F.size(T.content_tokens(x)) >= 2)).alias("_k", "claim"))
@@ -237,7 +247,7 @@ def verify_claims(claims: DataFrame, blocks: DataFrame, similar: Column | None =
     label = (
         F.when(F.size("contradicting") > 0, CONTRADICTED).when(F.size("supporting") > 0, F.when(F.col("unknown"), INSUFFICIENT).otherwise(SUPPORTED)).otherwise(INSUFFICIENT)
     )
-    judged = _judged(every.join(for_claims.select("claim_id"), "claim_id", "left_semi"), blocks, similar).withColumn("label", label)
+    judged = _judged(every.join(for_claims.select("claim_id"), "claim_id", "left_semi"), blocks, similar, sentences(blocks) if said is None else said).withColumn("label", label)
     own = judged.where("part = 0")
     of_parts = judged.where("part > 0").groupBy("claim_id").agg(
         F.bool_and(F.col("label") == SUPPORTED).alias("_all"), F.bool_or(F.col("label") == CONTRADICTED).alias("_any"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("supporting")))).alias("_supporting"),

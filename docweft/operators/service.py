@@ -93,13 +93,14 @@ def retain_supported(claims: DataFrame, blocks: DataFrame, similar: Column | Non
     with support get the numbers of its blocks before the final punctuation, and what is kept is judged once more with these as stated
     sources. An answer that is fully supported, or whose repair does not pass, stays as it is.
     """
-    told = claims.drop("stated").join(durable(relations.verify_claims(claims, blocks, similar)), "claim_id")
+    said = relations.sentences(blocks)  # both rounds judge the same evidence
+    told = claims.drop("stated").join(durable(relations.verify_claims(claims, blocks, similar, said)), "claim_id")
     plain = F.trim(T.strip_citations(F.coalesce(F.col("claim"), F.lit(""))))
     mark = F.when(plain.rlike(r"[.!?]\z"), F.right(plain, F.lit(1))).otherwise("")
     body = F.substring(plain, F.lit(1), F.length(plain) - F.length(mark))
     cited = F.concat(body, F.lit(" "), F.array_join(F.transform("supporting", lambda b: F.concat(F.lit("["), b.cast("string"), F.lit("]"))), " "), mark)
     kept = durable(told.withColumn("_good", F.col("label") == relations.SUPPORTED).withColumn("_cited", cited))
-    again = relations.verify_claims(kept.where("_good").select("claim_id", "answer_id", F.col("_cited").alias("claim"), "question", F.col("supporting").alias("stated")), blocks, similar)
+    again = relations.verify_claims(kept.where("_good").select("claim_id", "answer_id", F.col("_cited").alias("claim"), "question", F.col("supporting").alias("stated")), blocks, similar, said)
     passed = again.select("claim_id", ((F.col("label") == relations.SUPPORTED) & F.col("citation_ok")).alias("_again"))
     joined = lambda field, sep: F.array_join(F.transform(F.array_sort(F.collect_list(field)), lambda x: x["t"]), sep)
     per = kept.join(passed, "claim_id", "left").groupBy("answer_id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
+from docweft.operators import claims as K
 from docweft.operators import layout, service, spans, variants
 from docweft.plans.base import frame, relation, with_ctes
 from docweft.plans import q_evidence  # noqa: F401  registers walk, attributed
@@ -146,7 +147,7 @@ def _fused_document(spark, sf):
 # Points and repair: benchmark items ask or answer; their evidence is every line that holds most of their words.
 def _evidence(spark, sf, key):
     found = frame("attributed", spark, sf).select(c("claim_id").alias(key), c("block_id").alias("block"))
-    return durable(found.join(frame("lines", spark, sf).select(c("chunk_id").alias("block"), "content"), "block").select(key, "block", "content"))
+    return K.evidence(found, frame("lines", spark, sf).select(c("chunk_id").alias("block"), "content"), key)
 
 
 def support_points(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweft.functions import text as T
 from docweft.functions import vocabulary as V
 from docweft.operators import alignment, relations, tables
+from docweft.operators import claims as K
 from docweft.plans.base import frame, relation, with_ctes
 from docweft.plans.q_scalars import sql_list, sql_tokens, sql_without
 from docweft.plans.registry import query
@@ -118,8 +119,7 @@ def relation_verdict(spark, sf):
     items = table(spark, sf, "benchmark").select(c("item_id").alias("answer_id"), F.posexplode(T.sentences(c("text"))).alias("k", "claim"))
     claims = items.select(F.concat_ws(":", "answer_id", "k").alias("claim_id"), "answer_id", "claim", F.lit(None).cast("string").alias("question"), F.array().cast("array<bigint>").alias("stated"))
     found = frame("attributed", spark, sf).select(c("claim_id").alias("answer_id"), c("block_id").alias("block"))
-    blocks = found.join(frame("lines", spark, sf).select(c("chunk_id").alias("block"), "content"), "block")
-    return relations.verify_claims(claims, durable(blocks.select("answer_id", "block", "content")))
+    return relations.verify_claims(claims, K.evidence(found, frame("lines", spark, sf).select(c("chunk_id").alias("block"), "content"), "answer_id"))
 
 
 query("relation_verdict")(relation_verdict)
