@@ -53,3 +53,13 @@ def test_columns_of_a_task_share_what_was_found(spark, monkeypatch):
         own = sorted((-r.score, r.chunk_id) for r in found if r.question_id == q)
         assert 5 <= len(own) <= 10
         assert own[:5] == sorted((-s, i) for i, s in ((i, plain_score(question, t)) for i, t in enumerate(texts)) if s is not None)[:5]
+
+
+def test_rows_of_one_chunk_share_a_column(spark, monkeypatch):
+    """A chunk in a long and a short row is one chunk, although a task takes the longest first and a column for every chunk."""
+    monkeypatch.setattr(covers, "COLUMN_POSTINGS", 1)
+    texts = [(i, "red pump " * i) for i in range(1, 30)] + [(40, "red " * 50), (40, "filler " * 60 + "pump")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, content string")
+    asked = fulltext.units(spark.createDataFrame([(1, "red pump")], "question_id long, question string"))
+    got = {r.chunk_id: r.score for r in fulltext.find(asked, chunks, 50).collect()}
+    assert set(got) == {*range(1, 30), 40} and got == {r.chunk_id: r.score for r in fulltext.search(None, fulltext.positions(chunks), 50, asked).collect()}
